@@ -26,8 +26,8 @@ from . import bytespans as B
 from . import pretokens as P
 from .tables import texts, written
 
-#: Distinct pre-tokens whose ids a worker remembers, at most.
-REMEMBERED = 1 << 18
+#: Distinct pre-tokens whose ids a worker remembers, at most (and those of one block).
+REMEMBERED = 1 << 19
 
 
 class Encoder:
@@ -39,40 +39,46 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         added = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.special, self.special_ids = [s for s, _ in added], [i for _, i in added]
+        # In a byte-level vocabulary a token has a character for each byte.
+        self.width = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.width[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.entry: dict[int, int] = {}
+        self.size, self.first, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        self.n_ids = 0
+
+    def remember(self, keys: list[int], raw: list[bytes]) -> None:
+        """One library call for all of them; the bytes tell which ids are whose."""
+        [found] = self.library.encode_batch_fast([[b.decode() for b in raw]], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))) + 1
+        size = np.diff(ends, prepend=0)
+        self.entry.update(zip(keys, range(len(self.entry), len(self.entry) + len(keys)), strict=True))
+        self.size.append(size)
+        self.first.append(self.n_ids + ends - size)
+        self.ids.append(ids)
+        self.n_ids += len(ids)
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each pre-token, and all their ids in a row."""
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         keys, one, which = P.distinct(data, start, end)
-        if len(self.known) > REMEMBERED:
+        if len(self.entry) > REMEMBERED:
             self.clear()
-        slot = np.searchsorted(self.known, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = slot < len(self.known)
-        hit[inside] = self.known[slot[inside]] == keys[inside]
-        entry = np.zeros(len(keys), np.int64)
-        entry[hit] = self.where[slot[hit]]
-        fresh = np.flatnonzero(~hit)
-        if len(fresh):
+        names, known = keys.tolist(), self.entry
+        if fresh := [i for i, k in enumerate(names) if k not in known]:
             raw = data.tobytes()
-            found = [e.ids for e in self.library.encode_batch([raw[start[i] : end[i]].decode() for i in one[fresh]], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            entry[fresh] = len(self.size) + np.arange(len(fresh))
-            self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())))
-            known, where = np.append(self.known, keys[fresh]), np.append(self.where, entry[fresh])
-            order = np.argsort(known)
-            self.known, self.where = known[order], where[order]
-        entry = entry[which]
-        group, place = B.ragged(self.size[entry])
-        return self.size[entry], self.ids[self.first[entry][group] + place]
+            self.remember([names[i] for i in fresh], [raw[start[one[i]] : end[one[i]]] for i in fresh])
+        for column in ("size", "first", "ids") if len(self.size) > 32 else ():
+            setattr(self, column, [np.concatenate(getattr(self, column))])
+        size, first, ids = (x[0] if len(x) == 1 else np.concatenate(x) for x in (self.size, self.first, self.ids))
+        entry = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[which]
+        group, place = B.ragged(size[entry])
+        return size[entry], ids[first[entry][group] + place]
 
 
 @functools.cache
@@ -87,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int = 0) -> Data
         from pyspark import TaskContext
 
         model, part_id, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
-        for part, data, offs in B.blocks(batches):
+        for part, data, offs in B.blocks(batches, size=2 * B.BLOCK):
             segs, doc, before = P.segments(part.column("text"), model.special)
             if segs is not None:
                 data, offs = B.utf8(pa.array(segs, pa.large_string()))
