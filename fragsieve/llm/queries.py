@@ -44,12 +44,28 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+#: Verdict and rule (host and path), as the contract fixes them.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .host_reputation import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -72,5 +88,32 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+_OP8_FIT = " UNION ALL ".join(
+    f"SELECT page_id, {len(r)} size, '{r}' rule, '{v}' verdict FROM u WHERE (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/'):]}')" for v, r in URL_RULES
+)
+
+
+def _op8_strength(key: str) -> str:
+    between = "(spread - t * (b / t) * (b / t) - (k - 1) * (b / t) * (1 - b / t)) / (t - squares / t)"
+    return f"""(SELECT CASE WHEN t > 0 AND k > 1 AND t > squares / t AND {between} > 0 THEN least(1000.0, greatest(1.0, (b / t) * (1 - b / t) / ({between}) - 1)) ELSE 1000.0 END FROM
+      (SELECT sum(bad)::DOUBLE b, sum(n)::DOUBLE t, count(*) k, sum(n::DOUBLE * n) squares, sum(bad::DOUBLE * bad / n) spread FROM (SELECT sum(n) n, sum(bad) bad FROM leveled WHERE n > 0 GROUP BY {key})))"""
+
+
+_OP8 = f"""
+WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM pages),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path FROM r),
+fit AS ({_OP8_FIT}),
+best AS (SELECT page_id, arg_max(rule, size) rule, arg_max(verdict, size) verdict FROM fit GROUP BY 1),
+hosts AS (SELECT host, count(verdict) n, count(*) FILTER (verdict = 'block') bad FROM u LEFT JOIN best USING (page_id) GROUP BY 1),
+leveled AS (SELECT *, regexp_extract(host, '[^.]*$') suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM hosts),
+p AS (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) p0, {_op8_strength("suffix")} m1, {_op8_strength("domain")} m2, {_op8_strength("host")} m3 FROM leveled),
+s AS (SELECT suffix, (sum(bad) + any_value(m1) * any_value(p0)) / (sum(n) + any_value(m1)) ps FROM leveled, p GROUP BY 1),
+d AS (SELECT domain, (sum(bad) + any_value(m2) * any_value(ps)) / (sum(n) + any_value(m2)) pd FROM leveled JOIN s USING (suffix), p GROUP BY 1),
+h AS (SELECT host, (bad + m3 * pd) / (n + m3) mean, n + m3 total FROM leveled JOIN d USING (domain), p)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN mean - 1.64 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) verdict
+FROM u LEFT JOIN best USING (page_id) JOIN h USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_winnowing": _OP5}
+    return {"op5_winnowing": _OP5, "op8_host_reputation": _OP8}
