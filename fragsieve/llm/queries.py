@@ -20,6 +20,12 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .additive_ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
