@@ -52,7 +52,7 @@ class Codebooks:
         return sum(self.books[k][codes[:, k]] for k in range(len(self.books)))
 
 
-def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 6, joint: int = 2, seed: int = 3) -> Codebooks:
+def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 4, joint: int = 1, seed: int = 3) -> Codebooks:
     """Residual k-means, then all codebooks together by least squares, encoded anew each time."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -165,7 +165,7 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return v.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, books: int = 8, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 160, block: int = 4096, query_block: int = 256, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, every: int = 20, k: int = 20, books: int = 24, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 192, block: int = 4096, query_block: int = 256, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Vectors that are null, zero or hold null or non-finite components take no part,

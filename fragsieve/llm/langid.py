@@ -94,13 +94,18 @@ def fit(rows: list[tuple[str, bytes, bytes]], epochs: int = 12, rate: float = 0.
     return model
 
 
-def train(docs: DataFrame, per_lang: int = 800, parts: int = 3, held: int = 1, min_words: int = 1) -> Model:
+def train(docs: DataFrame, per_lang: int = 800, parts: int = 3, held: int = 1, bound: int = 1_000_000) -> Model:
     """Fit on at most ``per_lang`` documents of each language (those with the least hash of their id) outside the held-out part."""
     known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % parts != held))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # row_number() up to a limit is cut in each task before the shuffle.
-    drawn = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_lang).select("doc_id").distinct()
-    sample = known.join(drawn, "doc_id", "left_semi").select("lang", "text")
+    # First by slices of a language, so that a frequent language isn't ranked in one task.
+    key = [F.xxhash64("doc_id"), F.col("doc_id")]
+    drawn = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("slice"))
+    for group in (["lang", "slice"], ["lang"]):
+        drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*key))).where(F.col("nth") <= per_lang)
+    drawn = drawn.select("doc_id").distinct()
+    # A few hundred ids of each language; with very many languages the join is a shuffle.
+    few = drawn.count() <= bound
+    sample = known.join(F.broadcast(drawn) if few else drawn, "doc_id", "left_semi").select("lang", "text")
     return fit([(r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in sample.mapInArrow(_bags, "lang string, buckets binary, counts binary").toLocalIterator()])
 
 
