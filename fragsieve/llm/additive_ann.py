@@ -52,8 +52,8 @@ class Codebooks:
         return sum(self.books[k][codes[:, k]] for k in range(len(self.books)))
 
 
-def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 4, joint: int = 1, seed: int = 3) -> Codebooks:
-    """Residual k-means, then all codebooks together by least squares, encoded anew each time."""
+def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 4, joint: int = 2, seed: int = 3) -> Codebooks:
+    """Residual k-means, then the codebooks in turn by least squares given the others, for codes that are encoded anew."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     d = x.shape[1] if len(x) else 1
@@ -70,15 +70,16 @@ def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 4, joint: int
         books[k], rest = centers, rest - centers[near]
     out = Codebooks(books)
     for _ in range(joint if len(x) > size else 0):
-        codes = out.encode(x, beam).astype(np.int64) + np.arange(m) * size
-        gram, right = np.zeros((m * size, m * size)), np.zeros((m * size, d))
-        for a in range(m):
-            np.add.at(right, codes[:, a], x)
-            for b in range(m):
-                np.add.at(gram, (codes[:, a], codes[:, b]), 1.0)
-        gram[np.diag_indices(m * size)] += 0.1
-        right += 0.1 * out.books.reshape(-1, d)
-        out = Codebooks(np.linalg.solve(gram, right).reshape(m, size, d).astype(np.float32))
+        codes = out.encode(x, beam)
+        error = x - out.decode(codes)
+        for k in list(range(m)) * 2:  # each codebook's least squares, given the others
+            count = np.bincount(codes[:, k], minlength=size)
+            sums = np.zeros((size, d), np.float32)
+            np.add.at(sums, codes[:, k], error)
+            step = sums / np.maximum(count, 1)[:, None]
+            out.books[k] += step
+            error -= step[codes[:, k]]
+        out = Codebooks(out.books)
     return out
 
 
