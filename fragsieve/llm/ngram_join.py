@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +103,9 @@ def _prefixes(size: int, percent: int, frequent: object, filled: object):
             keys, of = keys[shared], of[shared]
             s1, s2 = (np.where(count > 0, np.add.reduceat(B.mixed(grams ^ np.uint64(c)), first), np.uint64(0)) if len(grams) else np.zeros(n, np.uint64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
             has = np.bincount(of, minlength=n) > 0
-            kept = pa.array(has)
-            shown = pa.compute.if_else(kept, part.column("text"), pa.scalar(None, part.column("text").type))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys, of, n), shown.cast(pa.string())], names=["doc_id", "n", "s1", "s2", "keys", "text"])
+            column = part.column("text")
+            shown = pa.array([column[i].as_py() if h else None for i, h in enumerate(has.tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys, of, n), shown], names=["doc_id", "n", "s1", "s2", "keys", "text"])
 
     return run
 
