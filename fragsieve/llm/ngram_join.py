@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytespans as B
@@ -45,8 +45,12 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
         owner.append(doc[own])
         grams.append(B.gram_hashes(h, k)[own])
     owner, grams = np.concatenate(owner), np.concatenate(grams)
-    order = np.lexsort((grams, owner))
-    owner, grams = owner[order], grams[order]
+    if len(np.unique(n[n < size])) > (n.min(initial=size) == 0):  # short texts stand after the others
+        order = np.argsort(owner, kind="stable")
+        owner, grams = owner[order], grams[order]
+    cut = np.searchsorted(owner, np.arange(len(offs)))
+    for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        grams[i:j].sort()
     fresh = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])] if len(owner) else np.zeros(0, bool)
     return owner[fresh], grams[fresh]
 
@@ -61,6 +65,13 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _signature(grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, independent of each other (0 for empty sets)."""
+    if not len(grams):
+        return [np.zeros(len(count), np.int64)] * 2
+    return [np.where(count > 0, np.add.reduceat(B.mixed(grams ^ np.uint64(c)), first), np.uint64(0)).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+
+
 def _signed(size: int, thin: int):
     """``doc_id``, set size, a 128-bit signature of the set, and about one in ``thin`` of its shingles (a different choice for each row)."""
 
@@ -71,17 +82,17 @@ def _signed(size: int, thin: int):
             owner, grams = shingle_sets(data, offs, size)
             count = np.bincount(owner, minlength=n)
             first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
-            s1, s2 = (np.where(count > 0, np.add.reduceat(B.mixed(grams ^ np.uint64(c)), first), np.uint64(0)) if len(grams) else np.zeros(n, np.uint64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
+            s1, s2 = _signature(grams, first, count)
             keys = B.row_keys(row, n).astype(np.uint64)
             some = B.mixed(grams ^ B.mixed(keys)[owner]) % np.uint64(thin) == 0
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(grams[some], owner[some], n)], names=["doc_id", "n", "s1", "s2", "some"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1), pa.array(s2), _lists(grams[some], owner[some], n)], names=["doc_id", "n", "s1", "s2", "some"])
             row += n
 
     return run
 
 
 def _prefixes(size: int, percent: int, frequent: object, filled: object):
-    """Signature, and the columns that can decide a pair; with ``filled``, only those that more than one row has, and the text where there are any."""
+    """Signature, and the columns that can decide a pair; with ``filled``, only those that more than one row has, and where in the order they end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in B.blocks(batches):
@@ -90,7 +101,7 @@ def _prefixes(size: int, percent: int, frequent: object, filled: object):
             count = np.bincount(owner, minlength=n)
             first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
             late = _member(grams, frequent.value)
-            order = np.lexsort((grams, late, owner))
+            order = np.argsort(2 * owner + late, kind="stable")
             place = np.arange(len(grams)) - first[owner]
             needed = count - (count * percent + 99) // 100 + 1
             use = place < needed[owner]
@@ -98,26 +109,36 @@ def _prefixes(size: int, percent: int, frequent: object, filled: object):
             if filled is None:
                 yield pa.RecordBatch.from_arrays([_lists(keys, of, n)], names=["keys"])
                 continue
-            slot = (keys >> np.uint64(37)).astype(np.int64)
-            shared = (filled.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            shared = np.ones(len(keys), bool)
+            for slot in _slots(keys):
+                shared[shared] = (filled.value[slot[shared] >> 3] >> (slot[shared] & 7).astype(np.uint8)) & 1 == 1
             keys, of = keys[shared], of[shared]
-            s1, s2 = (np.where(count > 0, np.add.reduceat(B.mixed(grams ^ np.uint64(c)), first), np.uint64(0)) if len(grams) else np.zeros(n, np.uint64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-            has = np.bincount(of, minlength=n) > 0
-            column = part.column("text")
-            shown = pa.array([column[i].as_py() if h else None for i, h in enumerate(has.tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys, of, n), shown], names=["doc_id", "n", "s1", "s2", "keys", "text"])
+            last = np.minimum(first + needed - 1, max(len(grams) - 1, 0))
+            edge = np.where(count > 0, (late[order][last].astype(np.uint64) << np.uint64(62)) | (grams[order][last] >> np.uint64(2)), np.uint64(0)) if len(grams) else np.zeros(n, np.uint64)
+            s1, s2 = _signature(grams, first, count)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1), pa.array(s2), pa.array(edge.view(np.int64)), _lists(keys, of, n)], names=["doc_id", "n", "s1", "s2", "edge", "keys"])
 
     return run
 
 
+def _slots(keys: np.ndarray) -> list[np.ndarray]:
+    """Four slots of the filter for each key."""
+    other, low = B.mixed(keys), np.uint64(_SLOTS - 1)
+    return [((v >> np.uint64(k)) & low).astype(np.int64) for v in (keys, other) for k in (5, 35)]
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(batch.column("key").to_numpy().view(np.uint64))).astype(np.int32))], names=["slot"])
+
+
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``key``, all of a chunk of slots in one task, to the chunk's bits."""
+    """Rows of ``slot``, all of a chunk of slots in one task, to the chunk's bits."""
     bits: dict[int, np.ndarray] = {}
     for batch in batches:
-        slot = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(37)).astype(np.int64)
-        for c in np.unique(slot // _CHUNK):
-            own = bits.setdefault(int(c), np.zeros(_CHUNK, bool))
-            own[slot[slot // _CHUNK == c] % _CHUNK] = True
+        slot = np.sort(batch.column("slot").to_numpy())
+        for own in np.split(slot, np.flatnonzero(np.diff(slot // _CHUNK)) + 1) if len(slot) else ():
+            bits.setdefault(int(own[0] // _CHUNK), np.zeros(_CHUNK, bool))[own % _CHUNK] = True
     if bits:
         yield pa.RecordBatch.from_pydict({"chunk": list(bits), "bits": [np.packbits(b, bitorder="little").tobytes() for b in bits.values()]})
 
@@ -155,11 +176,46 @@ def _overlaps(size: int, percent: int, blocks: int = 8):
     return run
 
 
-def similar(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose overlap is enough, written."""
-    text = rows.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    other = rows.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    met = pairs.join(text, "b").join(other, "a")
+def _chosen(size: int, filled: object):
+    """Signature and text of the rows whose id the filter holds (and of those without one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = ids.fill_null(0).to_numpy().view(np.uint64)
+            use = np.ones(len(known), bool)
+            for slot in _slots(known):
+                use &= (filled.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            use |= ids.is_null().to_numpy(zero_copy_only=False)
+            if not use.any():
+                continue
+            for part, data, offs in B.blocks([batch.filter(pa.array(use))]):
+                owner, grams = shingle_sets(data, offs, size)
+                count = np.bincount(owner, minlength=part.num_rows)
+                first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
+                s1, s2 = _signature(grams, first, count)
+                yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(s1), pa.array(s2), pa.array(part.column("text").to_pylist(), pa.string())], names=["n", "s1", "s2", "text"])
+
+    return run
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the longs ``key``, of fixed size; with very many keys it only holds back less."""
+    filled = np.zeros(_SLOTS // 8, np.uint8)
+    chunks = keys.mapInArrow(_spread, "slot int").repartition(F.shiftright("slot", 15)).mapInArrow(_bitmaps, "chunk long, bits binary")
+    for r in chunks.toLocalIterator():
+        filled[r["chunk"] * (_CHUNK // 8) : (r["chunk"] + 1) * (_CHUNK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return filled
+
+
+def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ids of ``rows`` whose overlap is enough, written. Only their texts are shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = written(rows.join(ids, "id", "left_semi").select("id", "n", "s1", "s2", "least"))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(involved.where("least IS NOT NULL").select(F.col("least").alias("key"))))
+    found = docs.mapInArrow(_chosen(size, sent), "n long, s1 long, s2 long, text string").join(involved, ["n", "s1", "s2"])
+    text = written(found.groupBy("id").agg(F.min("text").alias("text")))
+    met = pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return written(met.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(size, percent), "a long, b long"))
 
 
@@ -177,14 +233,10 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, o
     frequent = context.broadcast(np.sort(late.view(np.uint64)))
     keys = docs.mapInArrow(_prefixes(size, percent, frequent, None), "keys array<long>").select(F.explode("keys").alias("key"))
     shared = keys.groupBy("key").count().where("count > 1").select("key")
-    chunk = F.shiftrightunsigned("key", 37 + 15)
-    filled = np.zeros(_SLOTS // 8, np.uint8)  # of fixed size; with very many keys it only filters less
-    for r in shared.repartition(chunk).mapInArrow(_bitmaps, "chunk long, bits binary").toLocalIterator():
-        filled[r["chunk"] * (_CHUNK // 8) : (r["chunk"] + 1) * (_CHUNK // 8)] = np.frombuffer(r["bits"], np.uint8)
-    sent = context.broadcast(filled)
-    with_keys = docs.mapInArrow(_prefixes(size, percent, frequent, sent), "doc_id long, n long, s1 long, s2 long, keys array<long>, text string")
-    grouped = with_keys.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "text")).alias("row"))
-    return signed.drop("some"), written(grouped.select("n", "s1", "s2", "least", "row.keys", "row.text").withColumn("id", F.monotonically_increasing_id()))
+    sent = context.broadcast(_filter(shared))
+    with_keys = docs.mapInArrow(_prefixes(size, percent, frequent, sent), "doc_id long, n long, s1 long, s2 long, edge long, keys array<long>")
+    grouped = with_keys.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("edge").alias("edge"), F.min("keys").alias("keys"))
+    return signed.drop("some"), written(grouped.withColumn("id", F.monotonically_increasing_id()))
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,20 +250,37 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     """
     docs = texts(docs, id_col, text_col)
     signed, rows = classes(docs, size, percent)
-    entries = written(rows.select("id", "n", F.explode("keys").alias("key")))
+    entries = written(rows.select("id", "n", "edge", F.explode("keys").alias("key")))
     by_key = entries.groupBy("key").agg(F.count("*").alias("n_rows"), F.min(F.struct("id", "n")).alias("first")).where("n_rows > 1")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def possible(shared: Column) -> Column:
+        """Whether the overlap can be enough if ``shared`` of the deciding columns are: all of those of the row whose columns end first are known."""
+        beyond = lambda n: F.floor((n * percent + 99) / 100) - 1
+        na, nb, ea, eb = (F.col(c) for c in ("na", "nb", "ea", "eb"))
+        rest = F.when(ea < eb, beyond(na)).when(ea > eb, beyond(nb)).otherwise(F.greatest(beyond(na), beyond(nb)))
+        return (100 + percent) * (shared + rest) >= percent * (na + nb)
+
     met = entries.join(by_key.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("na")), "key")
-    stars = written(met.where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct())
-    links = similar(stars, rows, size, percent)
+    # Of the rows that its columns would link it to, a row is first compared with the one it shares most of them with.
+    best = (
+        met.where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("na"))).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+        .groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    )
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("keys").alias(f"k{c}"))
+    stars = written(best.join(side("b"), "b").join(side("a"), "a").where(possible(F.size(F.array_intersect("ka", "kb")))).select("a", "b"))
+    links = similar(stars, rows, docs, size, percent)
     roots = components(links)
     # Columns whose rows aren't all in one component: their pairs of different components.
-    marked = entries.join(roots, entries["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+    marked = entries.join(roots, entries["id"] == roots["node"], "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = written(marked.join(mixed, "key"))
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = open_.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & fits(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
-    more = similar(pairs.join(stars, ["a", "b"], "left_anti"), rows, size, percent)
+    open_ = marked.join(mixed, "key")
+    left, right = (open_.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    pairs = (
+        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
+        .groupBy("a", "b", "na", "nb", "ea", "eb").agg(F.count("*").alias("shared")).where(possible(F.col("shared"))).select("a", "b")
+    )
+    more = similar(written(pairs), rows, docs, size, percent)
     roots = components(links.unionByName(more))
     labelled = rows.select("n", "s1", "s2", "id", "least").join(roots, rows["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
