@@ -1,48 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""The columns that operators on documents read; intermediate tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import shared_folder, written
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder is made once per session; a cluster must set it to a shared path.
-    """
-    folder = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fragsieve-")
-        spark.conf.set(_SETTING, folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and values that depend on the partitioning (row keys) stay as they are.
-    The files are removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fragsieve/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "texts", "written"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; nulls become empty texts."""
-    from pyspark.sql import functions as F
-
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
