@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -53,7 +53,13 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 #: Verdict and rule (host and path), as the contract fixes them.
@@ -69,7 +75,7 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

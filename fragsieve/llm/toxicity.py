@@ -105,28 +105,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int
     return fit(rows, counts.get(1, 0) / total if total and 0 < counts.get(1, 0) < total else None)
 
 
+def _score(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    words = S.Words(data, offs)
+    owner, n, bucket = _by_word(words)
+    used = model.weights[bucket] != 0
+    owner, bucket = owner[used], bucket[used]
+    telling = np.zeros(max(n, 1), bool)
+    telling[owner] = True
+    at = telling[words.word] if n else np.zeros(0, bool)
+    entry, found = S.expanded(words.word[at], owner, n, bucket)
+    both = np.unique(words.doc[at][entry] * BUCKETS + found)
+    z = np.bincount(both // BUCKETS, weights=model.weights[both % BUCKETS], minlength=len(offs) - 1) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row of ``doc_id, text``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value.weights
         for part, data, offs in B.blocks(batches):
-            words = S.Words(data, offs)
-            owner, n, bucket = _by_word(words)
-            used = weights[bucket] != 0
-            owner, bucket = owner[used], bucket[used]
-            telling = np.zeros(max(n, 1), bool)
-            telling[owner] = True
-            at = telling[words.word] if n else np.zeros(0, bool)
-            entry, found = S.expanded(words.word[at], owner, n, bucket)
-            both = np.unique(words.doc[at][entry] * BUCKETS + found)
-            z = np.bincount(both // BUCKETS, weights=weights[both % BUCKETS], minlength=part.num_rows) + sent.value.intercept
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_score(sent.value, data, offs))], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) whose score is below ``limit``; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(texts(docs, text_col=text_col), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in B.blocks(batches, text_col):
+            yield part.filter(pa.array(_score(sent.value, data, offs) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
