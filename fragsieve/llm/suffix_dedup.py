@@ -56,7 +56,7 @@ def anchors(prefix: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tup
 
 def _grams(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in B.blocks(batches):
+        for _, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(B.prefix_hashes(data), offs, length, gram)[1].view(np.int64))], names=["key"])
 
     return run
@@ -66,7 +66,7 @@ def _surroundings(length: int, gram: int, filled: object):
     """For every anchor whose gram the filter holds: its text, place, and the bytes of the windows of which it is the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in B.blocks(batches):
+        for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             place, key, low, last = anchors(B.prefix_hashes(data), offs, length, gram)
             doc, high = np.searchsorted(offs, place, "right") - 1, last + length
             use = np.ones(len(key), bool)
