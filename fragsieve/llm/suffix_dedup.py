@@ -243,11 +243,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int
     windows are counted by Spark, by two hashes.
     """
     context = docs.sparkSession.sparkContext
-    named = texts(docs, id_col, text_col).withColumn("name", F.sha2("text", 256))
+    named = texts(docs, id_col, text_col).withColumn("name", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long = named.where(F.octet_length("text") >= length).select("name", "text")
     shared = long.mapInArrow(_grams(length, gram), "key long").groupBy("key").count().where("count > 1").select("key")
     sent = context.broadcast(_filter(shared))
-    found = written(long.mapInArrow(_surroundings(length, gram, sent), "name string, place long, key long, back int, digest binary, around binary"))
+    found = written(long.mapInArrow(_surroundings(length, gram, sent), "name binary, place long, key long, back int, digest binary, around binary"))
     distinct = written(found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("back").alias("back"), F.first("around").alias("around")))
     sizes = distinct.groupBy("key").agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
     several = distinct.join(sizes.where(F.col("different") <= hot).select("key"), "key", "left_semi")
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "name", "text")), pa.array(use)], names=["doc_id", "name", "text", "use"])
 
     # Only texts that may have spans are shuffled to them.
-    split = named.withColumn("key", key).mapInArrow(marked, "doc_id long, name string, text string, use boolean")
+    split = named.withColumn("key", key).mapInArrow(marked, "doc_id long, name binary, text string, use boolean")
     touched = split.where("use").join(spans, "name", "left").select("doc_id", "text", "spans")
     clean = split.where("NOT use").select("doc_id", "text", F.lit(None).cast("array<struct<low: long, high: long>>").alias("spans"))
     return touched.unionByName(clean).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
