@@ -54,14 +54,14 @@ def fit(rows: list[tuple[int, bytes]], share: float | None = None, rounds: int =
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(rate, 1e-6) / (1 - rate))) if rate < 1 else 14.0)
     x = [np.frombuffer(r[1], "<i4") for r in rows]
-    row, flat = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
-    one = np.bincount(flat[y[row] == 1], minlength=BUCKETS).astype(float)
-    zero = np.bincount(flat[y[row] == 0], minlength=BUCKETS).astype(float)
+    one, zero = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, own in zip(y, x, strict=True):  # the buckets of a text are distinct
+        (one if label else zero)[own] += 1
     # Presence in texts: shares of the texts of each class.
     r = np.log((one + 1) / (y.sum() + 2)) - np.log((zero + 1) / ((1 - y).sum() + 2))
     use = (one + zero >= least) & (np.abs(r) >= ratio)
-    kept = use[flat]
-    row, flat = row[kept], flat[kept]
+    x = [own[use[own]] for own in x]
+    row, flat = np.repeat(np.arange(len(x)), [len(own) for own in x]), np.concatenate(x)
     names, col = np.unique(flat, return_inverse=True)
     scale = r[names]
     value = scale[col]
