@@ -10,9 +10,10 @@ that both sizes ask for.
 
 The order of the columns is by hash, with frequent ones last; it only decides how
 much work there is. Documents with equal sets are one row. Groups of near copies
-are not expanded into all pairs: each column first links its rows to one of them;
-pairs of different components that are left after that are then compared too, so
-no link between different sets that matters to a component is lost.
+are not expanded into all pairs: each column first links its rows to a central one,
+then those still apart to a few of its largest component; pairs of different
+components that are left after that are all compared too, so no link between
+different sets that matters to a component is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytespans as B
@@ -239,19 +240,23 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, o
     return signed.drop("some"), written(grouped.withColumn("id", F.monotonically_increasing_id()))
 
 
-def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tries: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two rows link if 100 * shared shingles >= ``percent`` * all shingles of both.
     Null texts and texts without words have no shingle and are linked with nothing
     (their component is themselves); equal rows are in one component; a null id
     takes part, and is a component's id only if there is no other; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. ``tries`` only decides in which order
+    pairs are compared.
     """
     docs = texts(docs, id_col, text_col)
     signed, rows = classes(docs, size, percent)
     entries = written(rows.select("id", "n", "edge", F.explode("keys").alias("key")))
-    by_key = entries.groupBy("key").agg(F.count("*").alias("n_rows"), F.min(F.struct("id", "n")).alias("first")).where("n_rows > 1")
+    shared_by = entries.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    # The row of a column that the others are compared with is the one whose columns have most rows: near copies are closest to what they were copied from.
+    weight = entries.join(shared_by, "key").groupBy("id").agg(F.sum("n_rows").alias("weight"))
+    by_key = entries.join(weight, "id").groupBy("key").agg(F.count("*").alias("n_rows"), F.max(F.struct("weight", (-F.col("id")).alias("least"), "n")).alias("first")).where("n_rows > 1")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def possible(shared: Column) -> Column:
@@ -261,7 +266,7 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
         rest = F.when(ea < eb, beyond(na)).when(ea > eb, beyond(nb)).otherwise(F.greatest(beyond(na), beyond(nb)))
         return (100 + percent) * (shared + rest) >= percent * (na + nb)
 
-    met = entries.join(by_key.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("na")), "key")
+    met = entries.join(by_key.select("key", (-F.col("first.least")).alias("a"), F.col("first.n").alias("na")), "key")
     # Of the rows that its columns would link it to, a row is first compared with the one it shares most of them with.
     best = (
         met.where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("na"))).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
@@ -271,16 +276,35 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     stars = written(best.join(side("b"), "b").join(side("a"), "a").where(possible(F.size(F.array_intersect("ka", "kb")))).select("a", "b"))
     links = similar(stars, rows, docs, size, percent)
     roots = components(links)
-    # Columns whose rows aren't all in one component: their pairs of different components.
-    marked = entries.join(roots, entries["id"] == roots["node"], "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
-    mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = marked.join(mixed, "key")
+
+    def open_entries(roots: DataFrame) -> DataFrame:
+        """Entries of the columns whose rows aren't all in one component."""
+        marked = entries.join(roots, entries["id"] == roots["node"], "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
+        mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return marked.join(mixed, "key")
+
+    # What isn't linked yet is compared with a few rows, by choice of the columns, of the components that have most rows in them.
+    remaining = written(open_entries(roots))
+    chosen = (
+        remaining.groupBy("key", "root").agg(F.count("*").alias("n_rows"), F.max(F.struct(F.xxhash64("id", "key").alias("lot"), "id", "n")).alias("first"))
+        .groupBy("key").agg(F.max(F.struct("n_rows", "root", "first")).alias("most")).select("key", F.col("most.first.id").alias("a"), F.col("most.first.n").alias("na"), F.col("most.root").alias("ra"))
+    )
+    tried = remaining.join(chosen, "key").where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
+    tried = (
+        tried.join(stars, ["a", "b"], "left_anti").join(side("b"), "b").join(side("a"), "a").withColumn("shared", F.size(F.array_intersect("ka", "kb"))).where(possible(F.col("shared")))
+        .select("a", "b", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a")).alias("place")).where(F.col("place") <= tries)
+    )
+    tried = written(tried.select("a", "b"))
+    links = links.unionByName(similar(tried, rows, docs, size, percent))
+    # Pairs of different components that are left are all compared.
+    open_ = written(open_entries(components(links)))
     left, right = (open_.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
     pairs = (
         left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
         .groupBy("a", "b", "na", "nb", "ea", "eb").agg(F.count("*").alias("shared")).where(possible(F.col("shared"))).select("a", "b")
     )
-    more = similar(written(pairs), rows, docs, size, percent)
+    known = stars.unionByName(tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = similar(written(pairs.join(known, ["a", "b"], "left_anti")), rows, docs, size, percent)
     roots = components(links.unionByName(more))
     labelled = rows.select("n", "s1", "s2", "id", "least").join(roots, rows["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
