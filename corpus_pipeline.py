@@ -22,9 +22,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their word n-grams, the one with the least id stays."""
+    """Of each group of documents linked by their word 5-grams (Jaccard similarity of 0.8 or more), the one with the least id stays."""
     ship(spark)
-    dropped = ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = ngram_join(docs, size=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -44,3 +44,13 @@ def test_run_packs_what_is_left(spark):
 
     rows = [Row(**{**r.asDict(), "doc_id": number[r.doc_id]}) for r in packed]
     check_packing(rows, [texts[d] for d in ids], Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 2048)
+
+
+def test_near_copies_by_five_words(spark):
+    words = [f"w{i}" for i in range(2000)]
+    changed = lambda at, n: " ".join("other" if i in at else w for i, w in enumerate(words[1000 : 1000 + n]))
+    docs = [(1, " ".join(words[:800])), (2, " ".join(words[:980])), (3, changed((), 50)), (4, changed((25,), 50)), (5, changed((), 45)), (6, None), (7, " ".join(words[1500:1540]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d for d, _, c in groups_brute(docs, 5, 80) if d == c}
+    assert {r.doc_id for r in P.near_duplicates(spark, df, SF).collect()} == want == {1, 3, 6, 7}
+    assert {2, 4} <= {d for d, _, c in groups_brute(docs) if d == c}
