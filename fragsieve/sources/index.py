@@ -22,7 +22,10 @@ def content_key(path: str) -> str:
 
 
 class CorpusIndex:
-    """``folder/name-hash`` holds ``proteins``, ``metadata`` and ``kmers_k`` tables; changed content gets another folder."""
+    """``folder/name-hash`` holds ``proteins``, ``metadata`` and ``kmers_k_whole`` tables; changed content gets another folder.
+
+    ``kmers_k`` tables of earlier versions lack k-mers over block edges and aren't read.
+    """
 
     def __init__(self, spark: SparkSession, path: str, folder: str = ".", name: str = ""):
         if not Path(path).is_file():
@@ -46,4 +49,4 @@ class CorpusIndex:
     def kmers(self, k: int) -> DataFrame:
         if k < 2:
             raise ValueError("k must be at least 2")
-        return self._table(f"kmers_{k}", lambda: kmers(blocks(self.proteins(), 0), k).select("kmer", "protein_num", "pos").repartition("kmer").sortWithinPartitions("kmer"))
+        return self._table(f"kmers_{k}_whole", lambda: kmers(blocks(self.proteins(), k), k).select("kmer", "protein_num", "pos").repartition("kmer").sortWithinPartitions("kmer"))

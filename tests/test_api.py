@@ -1,5 +1,6 @@
 import csv
 import json
+import random
 import zipfile
 
 import pytest
@@ -112,3 +113,12 @@ def test_stream_of_queries(spark, path, tmp_path):
     corpus = readers.fasta(spark, path)
     search_stream(stream, corpus, headers.metadata(corpus), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_index_holds_whole_kmers_over_block_edges(spark, tmp_path):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACDEFGHIK") for _ in range(n)) for n in (600, 256, 257, 512, 5)]
+    (tmp_path / "long.fasta").write_text("".join(f">s{i}\n{s}\n" for i, s in enumerate(seqs)))
+    for k in (2, 5, 300):
+        got = sorted(tuple(r) for r in Preprocessor(spark, str(tmp_path / "long.fasta"), preprocessed_files_path=str(tmp_path)).preprocess(k).select("protein_num", "pos", "kmer").collect())
+        assert got == [(p + 1, i, s[i : i + k]) for p, s in enumerate(seqs) for i in range(len(s) - k + 1)]
