@@ -1,7 +1,9 @@
 """The search operators over the driver tables, with SQL for each.
 
 Documents are the corpus (letters A-Z of the upper-cased text), benchmark items
-give the queries, with some letters overwritten, removed or added.
+give the queries, with some letters overwritten, removed or added. Queries with SQL
+take letters from the 11th on of each item, as their SQL does; those named ``_whole``
+take all letters of all items, and have no SQL.
 """
 
 from __future__ import annotations
@@ -36,11 +38,33 @@ def _items(spark: SparkSession, sf: str, seq: str, size: int) -> DataFrame:
     return base.where(f"length(w) = {size}").select("qrow", "query_id", F.expr(seq).alias("seq"))
 
 
+#: Pieces that one item can have; a piece's number is ``qrow % PIECES``, its item ``qrow div PIECES``.
+PIECES = 1 << 20
+
+
+def _pieces(spark: SparkSession, sf: str, seq: str, size: int, least: int = 5) -> DataFrame:
+    """Whole item texts in successive pieces of ``size`` letters, each with its own ``qrow``; the rest is the last one.
+
+    A rest of fewer than ``least`` letters, too short for a seed, stays at the end of the piece before.
+    Items without letters are one empty piece.
+    """
+    count = f"greatest((length(x) + {size - least}) div {size}, 1)"
+    cut = f"transform(sequence(0, {count} - 1), i -> CASE WHEN i + 1 < {count} THEN substr(x, CAST(i * {size} + 1 AS int), {size}) ELSE substr(x, CAST(i * {size} + 1 AS int)) END)"
+    base = _read(spark, sf, "benchmark").select("item_id", _letters("text").alias("x")).select("item_id", F.posexplode(F.expr(cut)).alias("piece", "w"))
+    return base.select((F.col("item_id") * PIECES + F.col("piece")).alias("qrow"), F.col("item_id").cast("string").alias("query_id"), "w").select("qrow", "query_id", F.expr(WHOLE.get(seq, seq)).alias("seq"))
+
+
 #: None, one or two letters overwritten; with the same text as SQL for the other engine.
 SUBSTITUTED = "CASE qrow % 3 WHEN 0 THEN w WHEN 1 THEN concat(left(w, 3), 'X', substr(w, 5)) ELSE concat(left(w, 3), 'X', substr(w, 5, 6), 'Z', substr(w, 12)) END"
 #: One of 16 letters removed, or one added, or 15 of them.
 EDITED = "CASE qrow % 3 WHEN 0 THEN left(w, 15) WHEN 1 THEN concat(left(w, 7), substr(w, 9)) ELSE concat(left(w, 6), 'X', substr(w, 7, 8)) END"
 
+#: The same for pieces of any length: all letters stay but those overwritten or removed.
+WHOLE = {
+    SUBSTITUTED: f"CASE WHEN length(w) < 11 THEN w ELSE {SUBSTITUTED} END",
+    EDITED: "CASE WHEN length(w) < 9 OR qrow % 3 = 0 THEN w WHEN qrow % 3 = 1 THEN concat(left(w, 7), substr(w, 9)) ELSE concat(left(w, 6), 'X', substr(w, 7)) END",
+}
+
 
 def _named(hits: DataFrame) -> DataFrame:
     return hits.select(*(F.col(c).cast("long").alias(c) for c in ("qrow", "protein_num", "st")), "matched", F.col("edits").cast("long").alias("edits"), "mutated")
@@ -119,13 +143,68 @@ def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.kmers(K.blocks(parts, 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
 
 
-def _seeds(size: int, k: int, how: str):
+def _seeds(size: int, k: int, how: str, items: Callable[..., DataFrame] = _items):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return K.seeds(_items(spark, sf, "w", size), k, how).select("qrow", F.col("off").cast("long").alias("off"), "kmer")
+        return K.seeds(items(spark, sf, "w", size), k, how).select("qrow", F.col("off").cast("long").alias("off"), "kmer")
 
     return query
 
 
+def _exact(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """Exact hits of queries of any length; each is found by the longest seed of its group."""
+    size, found = F.length("seq"), []
+    for k, most in ((15, None), (5, 15), (1, 5)):
+        found.append(S.search(texts, queries.where(size >= k) if most is None else queries.where((size >= k) & (size < most)), k))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def exact_search_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _named(_exact(corpus(spark, sf), _pieces(spark, sf, "w", 15)))
+
+
+def exact_search_with_misses_whole(spark: SparkSession, sf: str) -> DataFrame:
+    queries = _pieces(spark, sf, SUBSTITUTED, 15)
+    hits = _exact(corpus(spark, sf), queries)
+    return queries.join(hits, "qrow", "left").select("qrow", "query_id", "seq", F.col("protein_num").cast("long").alias("protein_num"), F.col("st").cast("long").alias("st"), F.coalesce("mutated", F.lit("[]")).alias("mutated"))
+
+
+def mismatch_search_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _named(S.search(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15), 5, 2))
+
+
+def mismatch_search_seed_bound_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _named(S.search(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15, 7), 7, 6))
+
+
+def counts_only_whole(spark: SparkSession, sf: str) -> DataFrame:
+    queries = _pieces(spark, sf, SUBSTITUTED, 15)
+    return S.counts(S.search(corpus(spark, sf), queries, 5, 2), queries)
+
+
+def indel_search_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The seeds' length follows from the shortest query, so long and short pieces are searched apart."""
+    queries, texts, size = _pieces(spark, sf, EDITED, 16, 8), corpus(spark, sf), F.length("seq")
+    found = [S.indel_search(texts, queries.where(f)) for f in (size >= 15, (size >= 7) & (size < 15), size < 7)]
+    return _named(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
+def clean_query_anti_whole(spark: SparkSession, sf: str) -> DataFrame:
+    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("qrow"), (F.col("item_id") % 11).cast("string").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.lit("R3, Q40")).otherwise(F.col("text")).alias("seq"))
+    return S.discontinuous_queries(items)[1].select("qrow", "query_id", "seq")
+
+
+def mixed_union_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_search_whole(spark, sf).unionByName(discontinuous_search(spark, sf))
+
+
+def recall_whole(spark: SparkSession, sf: str) -> DataFrame:
+    key = ["qrow", "protein_num", "st"]
+    exact = _exact(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15))
+    found, expected = exact.select(*key).distinct(), mismatch_search_whole(spark, sf).select(*key).distinct()
+    both = found.join(expected, key).agg(F.count("*").alias("n"))
+    return expected.agg(F.count("*").alias("m")).crossJoin(both).select(F.round(F.least(F.lit(100.0), F.try_divide(100.0 * F.col("n"), F.col("m"))), 6).alias("recall"))
+
+
 #: Headers made of part columns, with isoforms, missing fields and both kinds of databases.
 HEADER = """concat(CASE WHEN p_partkey % 4 = 0 THEN 'tr|' ELSE 'sp|' END, 'P', lpad(CAST(p_partkey - p_partkey % 2 AS {s}), 6, '0'), CASE WHEN p_partkey % 2 = 1 THEN '-2' ELSE '' END, '|ENTRY ', p_name,
   ' OS=', p_brand, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(' OX=', CAST(p_size AS {s})) END, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat(' GN=G', CAST(p_partkey % 40 AS {s})) END,
@@ -223,4 +302,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "counts_only": counts_only, "indel_search": indel_search, "discontinuous_search": discontinuous_search, "clean_query_anti": clean_query_anti, "best_match": best_match, "mixed_union": mixed_union,
         "recall": recall, "kmer_counts": kmer_counts, "seeds_block": _seeds(15, 5, "mismatch"), "seeds_sliding": _seeds(15, 4, "mismatch"), "seeds_coverage": _seeds(15, 4, "coverage"),
         "header_fields": header_fields, "header_metadata": header_metadata,
+        "exact_search_whole": exact_search_whole, "exact_search_with_misses_whole": exact_search_with_misses_whole, "mismatch_search_whole": mismatch_search_whole,
+        "mismatch_search_seed_bound_whole": mismatch_search_seed_bound_whole, "counts_only_whole": counts_only_whole, "indel_search_whole": indel_search_whole,
+        "clean_query_anti_whole": clean_query_anti_whole, "mixed_union_whole": mixed_union_whole, "recall_whole": recall_whole,
+        "seeds_block_whole": _seeds(15, 5, "mismatch", _pieces), "seeds_sliding_whole": _seeds(15, 4, "mismatch", _pieces), "seeds_coverage_whole": _seeds(15, 4, "coverage", _pieces),
     }
