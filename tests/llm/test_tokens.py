@@ -97,3 +97,13 @@ def test_plan_places_every_document_once(histogram):
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= room
     least = max(sum(n * c for n, c in histogram.items()) / room, sum(c for n, c in histogram.items() if 2 * n > room))
     assert len(load) <= 1.25 * least + 8
+
+
+def test_classes_equal_the_library(spark, library):
+    cls, alike = token_counts.P.classes(), lambda s: len(library.pre_tokenizer.pre_tokenize_str(s)) == 1
+    for c in [*range(0xD800), *range(0xE000, 0x33480), 0x10FFFF]:
+        kind = next((k for k, s in ((token_counts.P.LETTER, "a"), (token_counts.P.NUMBER, "1"), (token_counts.P.OTHER, "!")) if alike(s + chr(c))), token_counts.P.SPACE)
+        assert cls[c] == kind, hex(c)
+    texts = ["a\U00032000b \U00031fff\U00032000!\U000323af", "x\U00013460y 1\U00010d40"]
+    rows = token_counts.token_counts(table(spark, texts), PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
