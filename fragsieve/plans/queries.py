@@ -143,6 +143,11 @@ def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.kmers(K.blocks(parts, 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
 
 
+def kmer_counts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the corpus of all other queries."""
+    return K.kmers(K.blocks(corpus(spark, sf), 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
+
+
 def _seeds(size: int, k: int, how: str, items: Callable[..., DataFrame] = _items):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         return K.seeds(items(spark, sf, "w", size), k, how).select("qrow", F.col("off").cast("long").alias("off"), "kmer")
@@ -304,6 +309,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "header_fields": header_fields, "header_metadata": header_metadata,
         "exact_search_whole": exact_search_whole, "exact_search_with_misses_whole": exact_search_with_misses_whole, "mismatch_search_whole": mismatch_search_whole,
         "mismatch_search_seed_bound_whole": mismatch_search_seed_bound_whole, "counts_only_whole": counts_only_whole, "indel_search_whole": indel_search_whole,
-        "clean_query_anti_whole": clean_query_anti_whole, "mixed_union_whole": mixed_union_whole, "recall_whole": recall_whole,
+        "clean_query_anti_whole": clean_query_anti_whole, "mixed_union_whole": mixed_union_whole, "recall_whole": recall_whole, "kmer_counts_whole": kmer_counts_whole,
         "seeds_block_whole": _seeds(15, 5, "mismatch", _pieces), "seeds_sliding_whole": _seeds(15, 4, "mismatch", _pieces), "seeds_coverage_whole": _seeds(15, 4, "coverage", _pieces),
     }

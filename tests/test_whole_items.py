@@ -97,3 +97,13 @@ def test_other_queries_take_whole_items(spark, tables):
     assert sum(r["Count"] for r in Q.counts_only_whole(spark, sf).collect()) == len(hits)
     both = sum(1 for q, _, _, w, e in hits if e == 0)
     assert Q.recall_whole(spark, sf).first()[0] == pytest.approx(100 * both / len(hits), abs=1e-5)
+
+
+def test_kmer_counts_of_long_texts(spark, tables):
+    sf, _, docs = tables
+    places = {}
+    for p, d in enumerate(docs):
+        for i in range(len(d) - 2):
+            places.setdefault(d[i : i + 3], []).append(p)
+    assert max(map(len, docs)) > 256
+    assert {r.kmer: (r.n, r.n_sequences) for r in Q.kmer_counts_whole(spark, sf).collect()} == {k: (len(v), len(set(v))) for k, v in places.items()}
