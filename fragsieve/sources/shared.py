@@ -2,38 +2,72 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Paths of the tables written within each open ``scratch()``.
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder is made once per session; a cluster must set it to a shared path.
+    Where the setting is absent a local session, as in tests, gets a temporary
+    folder; on a cluster that is an error, as other machines could not see it.
     """
     folder = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_SETTING} to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fragsieve-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def _place(spark: SparkSession, path: str) -> tuple[object, object]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and values that depend on the partitioning (row keys) stay as they are.
-    The files are removed when the driver's JVM ends.
+    The files are removed when the ``scratch()`` around the call ends, unless
+    ``keep``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fragsieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, system = _place(spark, path)
+    system.deleteOnExit(target)
+    if _open and not keep:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables written inside at its end; what is still to be read then must be written with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target, system = _place(spark, path)
+            system.delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its rows come in fewer partitions than there are (a file of one row group is one task). Only counts are read to tell."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.groupBy(F.spark_partition_id().alias("p")).count().limit(most).count()
+    return df.repartition(most) if filled < most else df
