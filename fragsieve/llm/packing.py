@@ -26,8 +26,8 @@ from . import bytespans as B
 from . import pretokens as P
 from .tables import texts, written
 
-#: Distinct pre-tokens whose ids a worker remembers, at most (and those of one block).
-REMEMBERED = 1 << 19
+#: Bytes of distinct pre-tokens whose ids a worker remembers, at most (and those of one block).
+REMEMBERED = 1 << 22
 
 
 class Encoder:
@@ -46,17 +46,18 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.entry: dict[int, int] = {}
+        self.entry: dict[bytes, int] = {}
         self.size, self.first, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        self.n_ids = 0
+        self.n_ids = self.n_bytes = 0
 
-    def remember(self, keys: list[int], raw: list[bytes]) -> None:
+    def remember(self, raw: list[bytes]) -> None:
         """One library call for all of them; the bytes tell which ids are whose."""
         [found] = self.library.encode_batch_fast([[b.decode() for b in raw]], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))) + 1
         size = np.diff(ends, prepend=0)
-        self.entry.update(zip(keys, range(len(self.entry), len(self.entry) + len(keys)), strict=True))
+        self.entry.update(zip(raw, range(len(self.entry), len(self.entry) + len(raw)), strict=True))
+        self.n_bytes += sum(map(len, raw))
         self.size.append(size)
         self.first.append(self.n_ids + ends - size)
         self.ids.append(ids)
@@ -66,13 +67,13 @@ class Encoder:
         """Number of ids of each pre-token, and all their ids in a row."""
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        keys, one, which = P.distinct(data, start, end)
-        if len(self.entry) > REMEMBERED:
+        one, which = P.distinct(data, start, end)
+        if self.n_bytes > REMEMBERED:
             self.clear()
-        names, known = keys.tolist(), self.entry
-        if fresh := [i for i, k in enumerate(names) if k not in known]:
-            raw = data.tobytes()
-            self.remember([names[i] for i in fresh], [raw[start[one[i]] : end[one[i]]] for i in fresh])
+        whole, known = data.tobytes(), self.entry
+        names = [whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        if fresh := [b for b in names if b not in known]:
+            self.remember(fresh)
         for column in ("size", "first", "ids") if len(self.size) > 32 else ():
             setattr(self, column, [np.concatenate(getattr(self, column))])
         size, first, ids = (x[0] if len(x) == 1 else np.concatenate(x) for x in (self.size, self.first, self.ids))
@@ -139,32 +140,46 @@ def patterns(units: int, present: np.ndarray) -> list[tuple[int, ...]]:
     return found
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Non-negative least squares by the active-set method on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    eps = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
+def nnls(some: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """Non-negative least squares by the active-set method.
+
+    The matrix is never built: column ``j`` has a one for each of the rows ``some[j]``
+    (a row listed twice counts twice, ``len(b)`` stands for none). Only the normal
+    equations of the active columns, no more than there are rows, are dense.
+    """
+    n, x = len(b), np.zeros(len(some))
+    if not len(some):
+        return x
+    names: list[int] = []
+    columns = np.zeros((0, n))
+
+    def gradient() -> np.ndarray:
+        rest = np.append(b - (x[names] @ columns if names else 0.0), 0.0)
+        return rest[some].sum(axis=1)
+
+    eps = 1e-9 * max(1.0, float(np.abs(gradient()).max()))
     for _ in range(rounds):
-        gradient = target - gram[:, active] @ x[active]
-        gradient[active] = -np.inf
-        j = int(np.argmax(gradient)) if len(gradient) else 0
-        if not len(gradient) or gradient[j] <= eps:
+        g = gradient()
+        g[names] = -np.inf
+        j = int(np.argmax(g))
+        if g[j] <= eps:
             break
-        active[j] = True
-        while active.any():
-            own = np.flatnonzero(active)
-            s = np.linalg.lstsq(gram[np.ix_(own, own)], target[own], rcond=None)[0]
+        names.append(j)
+        columns = np.vstack([columns, np.bincount(some[j], minlength=n + 1)[:n]])
+        while names:
+            s = np.linalg.solve(columns @ columns.T + 1e-10 * np.eye(len(names)), columns @ b)
+            own = x[names]
             if s.min() > 0:
-                x[:] = 0
-                x[own] = s
+                x[names] = s
                 break
             bad = s <= 0
-            step = np.min(x[own][bad] / np.maximum(x[own][bad] - s[bad], 1e-300))
-            x[own] += step * (s - x[own])
-            drop = own[bad & (x[own] <= 1e-12)]
-            drop = drop if len(drop) else own[bad][:1]
-            x[drop] = 0
-            active[drop] = False
+            step = np.min(own[bad] / np.maximum(own[bad] - s[bad], 1e-300))
+            own += step * (s - own)
+            drop = bad & (own <= 1e-12)
+            if not drop.any():
+                drop = bad & (np.cumsum(bad) == 1)
+            x[names] = np.where(drop, 0, own)
+            names, columns = [k for k, out in zip(names, drop.tolist(), strict=True) if not out], columns[~drop]
     return x
 
 
@@ -189,11 +204,8 @@ def plan(histogram: dict[int, int], room: int, width: int) -> list[tuple[int, in
         some = patterns(units, present)
         if some:
             row = {u: i for i, u in enumerate(present.tolist())}
-            a = np.zeros((len(present), len(some)))
-            for j, pattern in enumerate(some):
-                for u in pattern:
-                    a[row[u], j] += 1
-            repeat = np.floor(nnls(a, np.array([totals[u] for u in present.tolist()], float)) + 1e-6).astype(int)
+            rows = np.array([[*(row[u] for u in pattern), *[len(row)] * (3 - len(pattern))] for pattern in some])
+            repeat = np.floor(nnls(rows, np.array([totals[u] for u in present.tolist()], float)) + 1e-6).astype(int)
             stock = {u: sorted(n for n in left if of(n) == u) for u in totals}
             for j in np.flatnonzero(repeat):
                 todo = int(repeat[j])

@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from .bytespans import prefix_hashes, span_hashes
+from .bytespans import mixed, same_bytes, word_sums
 
 #: Characters that the pattern's \\s matches (fixed values).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -86,9 +86,17 @@ def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[first], at[last], np.searchsorted(offs, at[first], "right") - 1
 
 
-def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct pre-tokens, the place of one of each, and for every pre-token which it is."""
-    return np.unique(span_hashes(prefix_hashes(data), start, end), return_index=True, return_inverse=True)
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the distinct pre-tokens, and for every pre-token which it is. Hashes group them, their bytes decide."""
+    first, second = word_sums(data, start, end)
+    _, one, which = np.unique(mixed(mixed(first) + second), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(~same_bytes(data, start, start[one[which]], np.minimum(end - start, (end - start)[one[which]])) | (end - start != (end - start)[one[which]]))
+    if not len(wrong):
+        return one, which
+    known: dict[bytes, int] = {}
+    for i in wrong.tolist():
+        which[i] = known.setdefault(data[start[i] : end[i]].tobytes(), len(one) + len(known))
+    return np.r_[one, [wrong[which[wrong] == k][0] for k in range(len(one), len(one) + len(known))]].astype(np.int64), which
 
 
 def segments(column: pa.Array, special: list[str]) -> tuple[list[str] | None, np.ndarray, np.ndarray]:

@@ -18,8 +18,8 @@ class Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         data = B.LOWER[data]
         start, end, self.doc = B.words(data, offs, MEMBER)
-        keys = B.span_hashes(B.prefix_hashes(data), start, end)
-        _, one, self.word = np.unique(keys, return_index=True, return_inverse=True)
+        sums = B.word_sums(data, start, end)
+        _, one, self.word = np.unique(B.mixed(B.mixed(sums[0]) + sums[1]), return_index=True, return_inverse=True)
         first, size = start[one], (end - start)[one]
         group, place = B.ragged(size)
         self.n = len(one)

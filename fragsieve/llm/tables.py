@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder, written
+from ..sources.shared import scratch, shared_folder, written
 
-__all__ = ["shared_folder", "texts", "written"]
+__all__ = ["scratch", "shared_folder", "texts", "written"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

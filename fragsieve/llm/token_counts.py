@@ -3,8 +3,9 @@
 Every distinct pre-token of a block is one sequence of a ragged array of symbols.
 In each round all sequences look up the ranks of their neighbouring pairs at once
 and each applies its lowest-ranked pair wherever it occurs; a sequence without a
-known pair is finished, and its symbols are its tokens. No text is tokenized one
-merge at a time, and no sequence is ever cut.
+known pair is finished, and its symbols are its tokens. Ranks of pairs are kept and
+looked up again only beside a merge, so that long sequences stay cheap. No text is
+tokenized one merge at a time, and no sequence is ever cut.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from . import bytespans as B
 from . import pretokens as P
 from .tables import texts
 
-#: Distinct pre-tokens whose counts a worker remembers.
-REMEMBERED = 1 << 20
+#: Bytes of distinct pre-tokens whose counts a worker remembers, at most (and those of one block).
+REMEMBERED = 1 << 23
+#: Rank of a pair that no merge knows.
+_NEVER = np.int64(1) << 40
 
 
 def byte_symbols() -> list[str]:
@@ -48,60 +51,84 @@ class Merges:
         self.keys, self.rank, self.made = (left << 32 | right)[order], order, made[order]
         self.of_byte = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.special = [t["content"] for t in spec.get("added_tokens", ()) if t["special"]]
-        self._known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self._known: dict[bytes, int] = {}
+        self._n_bytes = 0
+
+    def slots(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the table, and its rank (``_NEVER``: not in the table)."""
+        key = left << 32 | right
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return slot, np.where(self.keys[slot] == key, self.rank[slot], _NEVER)
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Number of symbols left in each of the sequences (all of at least one symbol)."""
         left = lengths.astype(np.int64).copy()
         seq = np.repeat(np.arange(len(lengths)), lengths)
-        while len(seq):
-            at = np.flatnonzero(seq[1:] == seq[:-1])
-            key = symbols[at] << 32 | symbols[at + 1]
-            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[slot] == key
-            at, slot = at[known], slot[known]
-            if not len(at):
+        n = len(seq)
+        # Symbols are linked in both directions; ``n`` is beyond the ends. ``rank[i]`` is that of the pair that starts at i.
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths) - 1
+        after[ends], before[ends - lengths + 1] = n, n
+        sym, rank, slot = np.append(symbols, 0), np.full(n + 1, _NEVER), np.zeros(n + 1, np.int64)
+        at = np.flatnonzero(after < n)
+        slot[at], rank[at] = self.slots(sym[at], sym[at + 1])
+        while n:
+            head = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+            least = np.minimum.reduceat(rank[:n], head)
+            live = least < _NEVER
+            if not live.any():
                 break
-            rank, owner = self.rank[slot], seq[at]
-            head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.r_[head, len(rank)]))
-            at, slot = at[rank == least], slot[rank == least]
+            size = np.diff(np.r_[head, n])
+            used = rank[:n] < _NEVER
+            if 2 * size[live].sum() < n or 4 * used.sum() < n:
+                # Only living sequences stay, and of these only living symbols.
+                keep = np.repeat(live, size) & (sym[:n] >= 0)
+                new = np.append(np.cumsum(keep) - 1, 0)
+                n = int(keep.sum())
+                new[-1] = n
+                sym, rank, slot, seq = (np.append(v[: len(keep)][keep], x) for v, x in ((sym, 0), (rank, _NEVER), (slot, 0), (seq, 0)))
+                after, before, seq = new[after[keep]], new[before[keep]], seq[:n]
+                head = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+                least, size = least[live], np.diff(np.r_[head, n])
+            at = np.flatnonzero((rank[:n] < _NEVER) & (rank[:n] == np.repeat(least, size)))
             # Of overlapping occurrences (a a a), take the first, third, ... of each row of neighbours.
-            fresh = np.r_[True, np.diff(at) > 1]
-            row = np.cumsum(fresh) - 1
-            odd = (np.arange(len(at)) - np.flatnonzero(fresh)[row]) % 2 == 1
-            at, slot = at[~odd], slot[~odd]
-            symbols[at] = self.made[slot]
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            odd = (np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) % 2 == 1
+            at = at[~odd]
+            gone = after[at]
+            sym[at] = self.made[slot[at]]
+            sym[gone], rank[gone] = -1, _NEVER
+            follow = after[gone]
+            after[at] = follow
+            before[follow[follow < n]] = at[follow < n]
             left -= np.bincount(seq[at], minlength=len(left))
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            # Sequences that merged nothing are finished and leave.
-            live = np.zeros(len(left), bool)
-            live[seq[at]] = True
-            keep &= live[seq]
-            symbols, seq = symbols[keep], seq[keep]
+            # Pairs beside the merged symbols are looked up again.
+            near = np.unique(np.r_[at, before[at][before[at] < n]])
+            inner = after[near] < n
+            rank[near[~inner]] = _NEVER
+            near = near[inner]
+            slot[near], rank[near] = self.slots(sym[near], sym[after[near]])
         return left
 
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token."""
         if not len(start):
             return np.zeros(0, np.int64)
-        keys, one, which = P.distinct(data, start, end)
-        known, remembered = self._known
-        out = np.zeros(len(keys), np.int64)
-        slot = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        hit = known[slot] == keys if len(known) else np.zeros(len(keys), bool)
-        out[hit] = remembered[slot[hit]] if len(known) else 0
-        fresh = np.flatnonzero(~hit)
+        one, which = P.distinct(data, start, end)
+        whole = data.tobytes()
+        names = [whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        if self._n_bytes > REMEMBERED:
+            self._known, self._n_bytes = {}, 0
+        known = self._known
+        fresh = np.array([i for i, b in enumerate(names) if b not in known], np.int64)
         if len(fresh):
             first, size = start[one[fresh]], (end - start)[one[fresh]]
             group, place = B.ragged(size)
-            out[fresh] = self.merge(self.of_byte[data[first[group] + place]], size)
-            known = np.append(known, keys[fresh]) if len(known) < REMEMBERED else keys[fresh]
-            remembered = np.append(remembered, out[fresh]) if len(known) > len(fresh) else out[fresh]
-            order = np.argsort(known)
-            self._known = known[order], remembered[order]
-        return out[which]
+            made = self.merge(self.of_byte[data[first[group] + place]], size)
+            for i, n in zip(fresh.tolist(), made.tolist(), strict=True):
+                known[names[i]] = n
+            self._n_bytes += int(size.sum())
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))[which]
 
 
 @functools.cache

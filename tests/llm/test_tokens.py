@@ -107,3 +107,54 @@ def test_classes_equal_the_library(spark, library):
     texts = ["a\U00032000b \U00031fff\U00032000!\U000323af", "x\U00013460y 1\U00010d40"]
     rows = token_counts.token_counts(table(spark, texts), PATH).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def thue_morse(n):
+    """Two different texts over two letters whose polynomial hashes modulo powers of two agree."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_that_hash_alike_modulo_powers_of_two(spark, library):
+    texts = [t for n in (1024, 2048, 4096) for t in thue_morse(n)] + [" ".join(thue_morse(1024))]
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table(spark, texts).coalesce(1), PATH).collect()}
+    assert counts == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    check_packing(packing.pack(table(spark, texts).coalesce(1), PATH, room=256).collect(), texts, library, 256)
+
+
+def test_equal_hashes_do_not_make_pretokens_equal(monkeypatch):
+    data = np.frombuffer(b"abcabdabcxy", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    zeros = lambda data, start, end: (np.zeros(len(start), np.uint64),) * 2
+    monkeypatch.setattr(token_counts.P, "word_sums", zeros)
+    one, which = token_counts.P.distinct(data, start, end)
+    raw = data.tobytes()
+    assert [raw[start[one[w]] : end[one[w]]] for w in which] == [b"abc", b"abd", b"abc", b"xy"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abnot eErs")), min_size=1, max_size=400), min_size=1, max_size=4))
+def test_merges_of_long_and_short_sequences(texts):
+    model, library = token_counts.merges(PATH), Tokenizer.from_file(PATH)
+    raw = [t.encode() for t in texts]
+    got = model.merge(model.of_byte[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(b) for b in raw]))
+    symbols = ["".join(token_counts.byte_symbols()[b] for b in x) for x in raw]
+    assert got.tolist() == [len(library.model.tokenize(s)) for s in symbols]
+
+
+def test_long_pretokens_take_seconds(spark, library):
+    import time
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "a" * 200_000]
+    table(spark, [None]).transform(lambda d: token_counts.token_counts(d, PATH)).collect()
+    began = time.time()
+    rows = token_counts.token_counts(table(spark, texts), PATH).collect()
+    assert time.time() - began < 20
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_rows_without_ids(spark):
+    rows = spark.createDataFrame([(None, "some text"), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.token_counts(rows, PATH).collect()) == [(0, 0), (0, 2), (3, 0)]
+    assert sorted((r.doc_id or 0, r.length) for r in packing.pack(rows, PATH).collect()) == [(0, 1), (0, 3), (3, 1)]
