@@ -47,14 +47,14 @@ def grams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return at, B.mixed(g[at] ^ np.uint64(0x5BD1E995))
 
 
-def around(h: np.ndarray, doc: np.ndarray, at: np.ndarray, gram: int, window: int, side: str) -> np.ndarray:
-    """The words that windows with the fingerprint can hold, row by row."""
+def around(h: tuple[np.ndarray, np.ndarray], doc: np.ndarray, at: np.ndarray, gram: int, window: int, side: str) -> np.ndarray:
+    """The words that windows with the fingerprint can hold, row by row, each by both of its hashes (128 bits)."""
     reach = window - gram
     places = at[:, None] + np.arange(-reach, window)
-    inside = (places >= 0) & (places < len(h))
-    places = np.clip(places, 0, max(len(h) - 1, 0))
+    inside = (places >= 0) & (places < len(doc))
+    places = np.clip(places, 0, max(len(doc) - 1, 0))
     inside &= doc[places] == doc[at][:, None]
-    return np.where(inside, h[places], _OUTSIDE[side])
+    return np.concatenate([np.where(inside, v[places], _OUTSIDE[side]) for v in h], axis=1)
 
 
 def fingerprints(side: str, gram: int, window: int, short: list[int], within: object = None):
@@ -66,7 +66,7 @@ def fingerprints(side: str, gram: int, window: int, short: list[int], within: ob
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for part, data, offs in B.blocks(batches):
-            h, doc = B.word_hashes(data, offs, MEMBER)
+            h, second, doc = B.word_hashes(data, offs, MEMBER)
             n_words = np.bincount(doc, minlength=part.num_rows)
             first = np.cumsum(n_words) - n_words
             at, keys = winnow(h, doc, gram, window)
@@ -86,7 +86,7 @@ def fingerprints(side: str, gram: int, window: int, short: list[int], within: ob
                 at, keys, size = at[use], keys[use], size[use]
             order = np.argsort(at, kind="stable")
             at, keys, size = at[order], keys[order], size[order]
-            context = around(h, doc, at, gram, window, side).astype("<u8")
+            context = around((h, second), doc, at, gram, window, side).astype("<u8")
             width = context.shape[1] * 8
             n, owner = part.num_rows, doc[at] if len(at) else np.zeros(0, np.int64)
             bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(np.ascontiguousarray(context).tobytes())]).cast(pa.binary())
@@ -110,13 +110,13 @@ def extended(gram: int, window: int):
             n = batch.num_rows
             if not n:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(n, window + reach) for c in ("around", "item_around"))
-            same = a == b
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(n, 2, window + reach) for c in ("around", "item_around"))
+            same = (a == b).all(axis=1)
             left = np.logical_and.accumulate(same[:, :reach][:, ::-1], axis=1).sum(axis=1)
             right = np.logical_and.accumulate(same[:, reach:], axis=1).sum(axis=1)
             size, at = batch.column("size").to_numpy().astype(np.int64), batch.column("at").to_numpy().astype(np.int64)
             long = size == window
-            ok = ~long | ((right >= gram) & (left + right >= window))
+            ok = np.where(long, (right >= gram) & (left + right >= window), right >= size)
             start, end = np.where(long, at - left, at), np.where(long, at + right, at + size)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep), batch.column("item_row").filter(keep), pa.array(start[ok]), pa.array(end[ok])], names=["row", "item_row", "start", "stop"])
@@ -124,7 +124,7 @@ def extended(gram: int, window: int):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 7, share: int = 20, bound: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 7, share: int = 20, bound: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs``.
 
     A document's word is hit if it lies in an occurrence of ``window`` successive
@@ -134,8 +134,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     table count each; an empty table of items leaves all documents clean; other
     columns are ignored.
 
-    ``bound``: up to so many item fingerprints (8 bytes each) are broadcast, as a
-    filter and for the join; beyond, the join is a shuffle of both sides.
+    ``bound``: item fingerprints with the words around them are broadcast, as a
+    filter and for the join, as long as they take no more than so many bytes;
+    beyond, the join is a shuffle of both sides.
     """
     spark = docs.sparkSession
     item_table = written(
@@ -145,10 +146,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
         .select("item_row", "item_id", "p.key", F.col("p.size").alias("item_size"), F.col("p.around").alias("item_around"))
     )
     short = sorted(r[0] for r in item_table.where(F.col("item_size") < window).select("item_size").distinct().collect())  # fewer than ``window`` values
-    small = item_table.count() <= bound
+    small = item_table.count() * (16 * (2 * window - gram) + 40) <= bound
     within = None
     if small:
-        keys = item_table.select("key").distinct().toPandas()["key"].to_numpy()  # at most ``bound``
+        keys = item_table.select("key").distinct().toArrow().column("key").to_numpy()  # a part of ``bound``
         within = spark.sparkContext.broadcast(np.unique(keys.astype(np.int64).view(np.uint64)))
     printed = written(texts(docs, id_col, text_col).mapInArrow(fingerprints("document", gram, window, short, within), _SCHEMA))
     each = printed.select("row", F.explode("prints").alias("p")).select("row", "p.*")

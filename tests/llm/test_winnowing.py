@@ -36,7 +36,7 @@ def run(spark, docs, items, **more):
     return sorted(map(tuple, decontaminate(d.repartition(3), b, **more).collect()), key=str)
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
+@pytest.mark.parametrize("bound", [0, 10**8])
 def test_equals_brute_force(spark, bound):
     rng = random.Random(5)
     vocabulary = ["alpha", "Beta", "gamma", "Über", "x1"]
@@ -59,3 +59,10 @@ def test_long_items_only(spark):
 def test_empty_tables(spark):
     assert run(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
     assert run(spark, [], [(1, "a b")]) == []
+
+
+def test_words_that_hash_alike_modulo_powers_of_two(spark):
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    items = [(1, a), (2, f"one two {a} " + "six " * 12)]
+    docs = [(1, b), (2, a), (3, f"one two {b} " + "six " * 12), (4, f"zero one two {a} " + "six " * 12)]
+    assert run(spark, docs, items) == brute(docs, items)
