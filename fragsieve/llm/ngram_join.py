@@ -1,28 +1,34 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
 Documents are rows and n-grams columns of a sparse 0/1 matrix; overlaps are
-entries of its product with its own transpose. The product is restricted by sizes:
-in any fixed order of the columns, two rows that are similar enough share one of
-the first ``n - ceil(t * n) + 1`` columns of each, so only these are multiplied to
-find pairs. Their overlaps are then accumulated block of columns by block of
-columns, and a pair is discarded as soon as what is left can't reach the overlap
-that both sizes ask for.
+entries of its product with its own transpose, which is computed in blocks: a task
+multiplies a tile of rows with another one, block of columns by block of columns,
+accumulates the overlap counts, and discards a pair as soon as what is left can't
+reach the overlap that both sizes ask for. It gives a spanning forest of the links
+it finds, never all pairs: at most as many rows as the tiles have.
+
+Which tiles meet is decided by sizes too. In any fixed order of the columns, two
+rows that are similar enough share one of the first ``n - ceil(t * n) + 1`` columns
+of each, the deciding ones. Documents with equal sets are one row. A row is first
+multiplied with the central row of its columns that it shares most of them with;
+that settles most groups of copies. Columns whose rows aren't all in one component
+then put their rows into tiles (by the most frequent of them and by size), and two
+tiles meet if they share such a column: first with their deciding columns only,
+which leaves few rows, then these with whole sets. So no link between different
+sets that matters to a component is lost, whatever the size of a group.
 
 The order of the columns is by hash, with frequent ones last; it only decides how
-much work there is. Documents with equal sets are one row. Groups of near copies
-are not expanded into all pairs: each column first links its rows to a central one,
-then those still apart to a few of its largest component; pairs of different
-components that are left after that are all compared too, so no link between
-different sets that matters to a component is lost.
+much work there is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytespans as B
@@ -31,283 +37,388 @@ from .tables import texts, written
 
 #: All bytes but \\x20 and \\x09-\\x0D (fixed values).
 MEMBER = ~B.byte_class((0x20, 0x20), (0x09, 0x0D))
-_SLOTS, _CHUNK = 1 << 27, 1 << 15
+#: Rows and shingles of a tile (a longer row is a tile by itself), and columns of a block.
+TILE_ROWS, TILE_SHINGLES, COLUMNS = 512, 1 << 18, 4096
+#: Shingles in one row of a table, so that Arrow batches stay small with long documents.
+PIECE = 4096
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of the distinct shingles of each text, sorted by both; a shorter text is one shingle."""
-    h, doc = B.word_hashes(data, offs, MEMBER)
+def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and second hash of the distinct shingles of each text, sorted by the first two; a shorter text is one shingle."""
+    h, second, doc = B.word_hashes(data, offs, MEMBER)
     n = np.bincount(doc, minlength=len(offs) - 1)
-    g = B.gram_hashes(h, size)
-    at = np.flatnonzero(doc[: len(g)] == doc[size - 1 : size - 1 + len(g)])
-    owner, grams = [doc[at]], [g[at]]
-    for k in range(1, size):
-        own = np.flatnonzero(n[doc] == k)[::k]
-        owner.append(doc[own])
-        grams.append(B.gram_hashes(h, k)[own])
-    owner, grams = np.concatenate(owner), np.concatenate(grams)
-    if len(np.unique(n[n < size])) > (n.min(initial=size) == 0):  # short texts stand after the others
-        order = np.argsort(owner, kind="stable")
-        owner, grams = owner[order], grams[order]
-    cut = np.searchsorted(owner, np.arange(len(offs)))
-    for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-        grams[i:j].sort()
-    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])] if len(owner) else np.zeros(0, bool)
-    return owner[fresh], grams[fresh]
-
-
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+    owner, grams, others = [], [], []
+    for k in range(1, size + 1):
+        at = np.flatnonzero(doc[: max(len(doc) - k + 1, 0)] == doc[k - 1 :])
+        if k < size:
+            at = at[n[doc[at]] == k]
+        if len(at):
+            owner.append(doc[at])
+            grams.append(B.gram_hashes(h, k)[at])
+            others.append(B.gram_hashes(second, k)[at])
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    owner, grams, others = np.concatenate(owner), np.concatenate(grams), np.concatenate(others)
+    order = np.lexsort((grams, owner))
+    owner, grams, others = owner[order], grams[order], others[order]
+    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])]
+    return owner[fresh], grams[fresh], others[fresh]
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _signature(grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums over each set, independent of each other (0 for empty sets)."""
-    if not len(grams):
-        return [np.zeros(len(count), np.int64)] * 2
-    return [np.where(count > 0, np.add.reduceat(B.mixed(grams ^ np.uint64(c)), first), np.uint64(0)).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Sum of the mixed values of each set (0 for empty sets)."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(B.mixed(values), out=total[1:])
+    cut = np.searchsorted(owner, np.arange(n + 1))
+    return pa.array((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(B.row_keys(done, batch.num_rows)), *batch.columns], names=["id", *batch.schema.names])
+        done += batch.num_rows
 
 
 def _signed(size: int, thin: int):
-    """``doc_id``, set size, a 128-bit signature of the set, and about one in ``thin`` of its shingles (a different choice for each row)."""
+    """``id, doc_id``, set size, a signature of the set by two independent hashes, and about one in ``thin`` of its shingles (a different choice for each row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
         for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             n = part.num_rows
-            owner, grams = shingle_sets(data, offs, size)
-            count = np.bincount(owner, minlength=n)
-            first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
-            s1, s2 = _signature(grams, first, count)
-            keys = B.row_keys(row, n).astype(np.uint64)
+            owner, grams, others = shingle_sets(data, offs, size)
+            keys = part.column("id").to_numpy().astype(np.uint64)
             some = B.mixed(grams ^ B.mixed(keys)[owner]) % np.uint64(thin) == 0
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1), pa.array(s2), _lists(grams[some], owner[some], n)], names=["doc_id", "n", "s1", "s2", "some"])
-            row += n
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("doc_id"), pa.array(np.bincount(owner, minlength=n)), _summed(grams, owner, n), _summed(others, owner, n), _lists(grams[some], owner[some], n)],
+                names=["id", "doc_id", "n", "s1", "s2", "some"],
+            )
 
     return run
 
 
-def _prefixes(size: int, percent: int, frequent: object, filled: object):
-    """Signature, and the columns that can decide a pair; with ``filled``, only those that more than one row has, and where in the order they end."""
+def _deciding(size: int, percent: int, frequent: object):
+    """The columns that can decide a pair, and where in the order they end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             n = part.num_rows
-            owner, grams = shingle_sets(data, offs, size)
+            owner, grams, _ = shingle_sets(data, offs, size)
             count = np.bincount(owner, minlength=n)
-            first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
-            late = _member(grams, frequent.value)
+            first = np.cumsum(count) - count
+            late = np.zeros(len(grams), bool)
+            if len(frequent.value):
+                late = frequent.value[np.minimum(np.searchsorted(frequent.value, grams), len(frequent.value) - 1)] == grams
             order = np.argsort(2 * owner + late, kind="stable")
-            place = np.arange(len(grams)) - first[owner]
             needed = count - (count * percent + 99) // 100 + 1
-            use = place < needed[owner]
-            keys, of = grams[order][use], owner[use]
-            if filled is None:
-                yield pa.RecordBatch.from_arrays([_lists(keys, of, n)], names=["keys"])
-                continue
-            shared = np.ones(len(keys), bool)
-            for slot in _slots(keys):
-                shared[shared] = (filled.value[slot[shared] >> 3] >> (slot[shared] & 7).astype(np.uint8)) & 1 == 1
-            keys, of = keys[shared], of[shared]
-            last = np.minimum(first + needed - 1, max(len(grams) - 1, 0))
-            edge = np.where(count > 0, (late[order][last].astype(np.uint64) << np.uint64(62)) | (grams[order][last] >> np.uint64(2)), np.uint64(0)) if len(grams) else np.zeros(n, np.uint64)
-            s1, s2 = _signature(grams, first, count)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(s1), pa.array(s2), pa.array(edge.view(np.int64)), _lists(keys, of, n)], names=["doc_id", "n", "s1", "s2", "edge", "keys"])
+            use = np.arange(len(grams)) - first[owner] < needed[owner]
+            edge = np.zeros(n, np.uint64)
+            some = np.flatnonzero(count)
+            last = order[first[some] + needed[some] - 1]
+            edge[some] = (late[last].astype(np.uint64) << np.uint64(62)) | (grams[last] >> np.uint64(2))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count), pa.array(edge.view(np.int64)), _lists(grams[order][use], owner[use], n)], names=["id", "n", "edge", "keys"])
 
     return run
 
 
-def _slots(keys: np.ndarray) -> list[np.ndarray]:
-    """Four slots of the filter for each key."""
-    other, low = B.mixed(keys), np.uint64(_SLOTS - 1)
-    return [((v >> np.uint64(k)) & low).astype(np.int64) for v in (keys, other) for k in (5, 35)]
+def _pieces(size: int):
+    """``id`` and the set in sorted pieces."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
+            owner, grams, _ = shingle_sets(data, offs, size)
+            count = np.bincount(owner, minlength=part.num_rows)
+            row, nth = B.ragged(-(-count // PIECE))
+            at = (np.cumsum(count) - count)[row] + nth * PIECE
+            cut = pa.array(np.r_[at, len(grams)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(nth.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(grams.view(np.int64)))], names=["id", "piece", "grams"])
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(batch.column("key").to_numpy().view(np.uint64))).astype(np.int32))], names=["slot"])
+    return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``slot``, all of a chunk of slots in one task, to the chunk's bits."""
-    bits: dict[int, np.ndarray] = {}
+def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Whole groups of successive rows with equal ``g1, g2``, at least ``least`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        slot = np.sort(batch.column("slot").to_numpy())
-        for own in np.split(slot, np.flatnonzero(np.diff(slot // _CHUNK)) + 1) if len(slot) else ():
-            bits.setdefault(int(own[0] // _CHUNK), np.zeros(_CHUNK, bool))[own % _CHUNK] = True
-    if bits:
-        yield pa.RecordBatch.from_pydict({"chunk": list(bits), "bits": [np.packbits(b, bitorder="little").tobytes() for b in bits.values()]})
+        if not batch.num_rows:
+            continue
+        g1, g2 = batch.column("g1").to_numpy(), batch.column("g2").to_numpy()
+        if held and rows >= least:
+            old = held[-1]
+            same = (g1 == old.column("g1")[-1].as_py()) & (g2 == old.column("g2")[-1].as_py())
+            ends = len(same) if same.all() else int(np.argmin(same))
+            if ends < len(same):
+                yield pa.Table.from_batches([*held, batch.slice(0, ends)])
+                held, rows = [], 0
+                batch = batch.slice(ends)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before (the first one does)."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def incidence(row: np.ndarray, column: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, width), np.float32)
+    out[row, column] = 1
+    return out
+
+
+def products(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], open_: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a left and a right row are similar enough.
+
+    ``left`` and ``right``: row number and column of the entries of two sparse
+    blocks; ``sizes``: entries of each row; ``open_``: pairs that are of interest.
+    """
+    need = -(-percent * (sizes[0][:, None] + sizes[1][None, :]) // (100 + percent))
+    open_ = open_ & (np.minimum(sizes[0][:, None], sizes[1][None, :]) >= need)
+    # Only columns that both have entries in count.
+    names, at = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    sides = [(left[0], at[: len(left[1])]), (right[0], at[len(left[1]) :])]
+    both = np.ones(len(names), bool)
+    for _, column in sides:
+        both &= np.bincount(column, minlength=len(names)) > 0
+    place = np.cumsum(both) - 1
+    sides = [(row[both[column]], place[column[both[column]]]) for row, column in sides]
+    width = int(both.sum())
+    overlap = np.zeros(open_.shape, np.int64)
+    for first in range(0, width, COLUMNS):
+        rows = [np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))]
+        if not len(rows[0]):
+            break
+        blocks, rest = [], []
+        for own, (row, column), n in zip(rows, sides, open_.shape, strict=True):
+            number = np.full(n, -1)
+            number[own] = np.arange(len(own))
+            use = (column >= first) & (column < first + COLUMNS) & (number[row] >= 0)
+            blocks.append(incidence(number[row[use]], column[use] - first, len(own), min(COLUMNS, width - first)))
+            rest.append(np.bincount(row[column >= first + COLUMNS], minlength=n)[own])
+        where = np.ix_(*rows)
+        overlap[where] += (blocks[0] @ blocks[1].T).astype(np.int64)
+        open_[where] &= overlap[where] + np.minimum(rest[0][:, None], rest[1][None, :]) >= need[where]
+    return open_ & (overlap >= need)
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of links that connect what all links connect."""
+    a, b = [], []
+    rest = linked.any(axis=1)
+    seen = np.zeros(linked.shape[1], bool)
+    while rest.any():
+        new = np.array([int(np.argmax(rest))])
+        rest[new] = False
+        while len(new):
+            columns = np.flatnonzero(linked[new].any(axis=0) & ~seen)
+            seen[columns] = True
+            a.append(new[linked[np.ix_(new, columns)].argmax(axis=0)])
+            b.append(columns)
+            new = np.flatnonzero(rest & linked[:, columns].any(axis=1)) if len(columns) else columns
+            rest[new] = False
+            if len(new):
+                a.append(new)
+                b.append(columns[linked[np.ix_(new, columns)].argmax(axis=1)])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _linked(percent: int):
+    """Rows of ``g1, g2, side, id, root, piece, grams``, sorted so, to links ``a, b`` between rows of both sides that aren't of one root."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 1):
+            g1, g2, side, ids, root = (table.column(c).to_numpy() for c in ("g1", "g2", "side", "id", "root"))
+            lists = table.column("grams").combine_chunks()
+            grams, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            edge = np.cumsum(size)
+            cuts = [*np.flatnonzero(_changes(g1, g2)).tolist(), len(g1)]
+            found: tuple[list, list] = ([], [])
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                head = np.flatnonzero(_changes(side[i:j], ids[i:j])) + i
+                entries = grams[edge[i] - size[i] : edge[j - 1]]
+                row = np.repeat(np.searchsorted(head, np.arange(i, j), "right") - 1, size[i:j])
+                n = np.bincount(row, minlength=len(head))
+                l = int((side[head] == 0).sum())  # noqa: E741
+                if l in (0, len(head)):
+                    continue
+                a, b = ids[head[:l]], ids[head[l:]]
+                open_ = root[head[:l]][:, None] != root[head[l:]][None, :]
+                open_ &= (a[:, None] < b[None, :]) if g1[i] == g2[i] else (a[:, None] != b[None, :])
+                at = int(n[:l].sum())
+                ok = products((row[:at], entries[:at]), (row[at:] - l, entries[at:]), (n[:l], n[l:]), open_, percent)
+                x, y = forest(ok)
+                found[0].append(a[x])
+                found[1].append(b[y])
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
 
-def _overlaps(size: int, percent: int, blocks: int = 8):
-    """Pairs ``a, b`` with both texts, sorted by ``a``, to those that are similar enough."""
-    edges = (np.arange(1, blocks, dtype=np.uint64) * np.uint64((1 << 64) // blocks)).astype(np.uint64)
+    return run
 
-    def sets(column: list[str]) -> dict[str, np.ndarray]:
-        distinct = list(dict.fromkeys(column))
-        owner, grams = shingle_sets(*B.utf8(pa.array(distinct, pa.large_string())), size)
-        cut = np.searchsorted(owner, np.arange(len(distinct) + 1))
-        return {t: grams[i:j] for t, i, j in zip(distinct, cut, cut[1:], strict=False)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                left, right = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
-                known = sets([*left, *right])
-                ok = np.zeros(part.num_rows, bool)
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    x, y = known[x], known[y]
-                    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                    cut_x, cut_y = (np.r_[0, np.searchsorted(v, edges), len(v)] for v in (x, y))
-                    overlap = 0
-                    for k in range(blocks):
-                        overlap += int(_member(x[cut_x[k] : cut_x[k + 1]], y[cut_y[k] : cut_y[k + 1]]).sum())
-                        if overlap + min(len(x) - cut_x[k + 1], len(y) - cut_y[k + 1]) < need:
-                            break
-                    ok[i] = 100 * overlap >= percent * (len(x) + len(y) - overlap)
-                keep = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+def _beyond(n: np.ndarray, percent: int) -> np.ndarray:
+    """Columns of a row that aren't deciding ones."""
+    return (n * percent + 99) // 100 - 1
 
-    return run
 
+def _candidates(percent: int):
+    """Rows of ``g1, g2, side, id, key, n, edge, root``, sorted so, to the rows ``g1, g2, side, id`` of which some pair can still be similar enough.
 
-def _chosen(size: int, filled: object):
-    """Signature and text of the rows whose id the filter holds (and of those without one)."""
+    A pair's overlap is at most the deciding columns it shares and those beyond them
+    of the row whose deciding columns end first, all of whose others are known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            known = ids.fill_null(0).to_numpy().view(np.uint64)
-            use = np.ones(len(known), bool)
-            for slot in _slots(known):
-                use &= (filled.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            use |= ids.is_null().to_numpy(zero_copy_only=False)
-            if not use.any():
+        for table in _groups(batches, 1 << 16):
+            g1, g2, side, ids, key, n, edge, root = (table.column(c).to_numpy() for c in ("g1", "g2", "side", "id", "key", "n", "edge", "root"))
+            head = np.flatnonzero(_changes(g1, g2, side, ids))
+            row = np.searchsorted(head, np.arange(len(g1)), "right") - 1
+            group = np.cumsum(_changes(g1, g2)) - 1
+            side_, ids_, n_, edge_, root_, same = side[head], ids[head], n[head], edge[head], root[head], (g1 == g2)[head]
+            # Entries by group, column and side: runs of the rows that share a column.
+            order = np.lexsort((side, key, group))
+            start = np.flatnonzero(_changes(group[order], key[order]))
+            total = np.diff(np.r_[start, len(order)])
+            right = np.add.reduceat(side[order].astype(np.int64), start)
+            left = total - right
+            pairs = np.bincount(group[order][start], weights=left * right)
+            entries = np.bincount(group)
+            sparse = (pairs <= 8 * entries)[group[order][start]]
+            x, y, shared = [], [], []
+            run_, k = B.ragged((left * right)[sparse])
+            first, l, r = start[sparse][run_], left[sparse][run_], right[sparse][run_]  # noqa: E741
+            if len(k):
+                code, count = np.unique(row[order[first + k // r]] * len(head) + row[order[first + l + k % r]], return_counts=True)
+                x.append(code // len(head))
+                y.append(code % len(head))
+                shared.append(count)
+            for g in np.flatnonzero(pairs > 8 * entries).tolist():
+                own = np.flatnonzero(group == g)
+                rows = np.unique(row[own])
+                cut = int((side_[rows] == 0).sum())
+                _, column = np.unique(key[own], return_inverse=True)
+                local = row[own] - rows[0]
+                overlap = np.zeros((cut, len(rows) - cut), np.int64)
+                for at in range(0, int(column.max()) + 1, COLUMNS):
+                    use = (column >= at) & (column < at + COLUMNS)
+                    whole = incidence(local[use], column[use] - at, len(rows), min(COLUMNS, int(column.max()) + 1 - at))
+                    overlap += (whole[:cut] @ whole[cut:].T).astype(np.int64)
+                i, j = np.nonzero(overlap)
+                x.append(rows[i])
+                y.append(rows[cut + j])
+                shared.append(overlap[i, j])
+            if not x:
                 continue
-            for part, data, offs in B.blocks([batch.filter(pa.array(use))]):
-                owner, grams = shingle_sets(data, offs, size)
-                count = np.bincount(owner, minlength=part.num_rows)
-                first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
-                s1, s2 = _signature(grams, first, count)
-                yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(s1), pa.array(s2), pa.array(part.column("text").to_pylist(), pa.string())], names=["n", "s1", "s2", "text"])
+            x, y, shared = (np.concatenate(v) for v in (x, y, shared))
+            ea, eb, na, nb = edge_[x], edge_[y], n_[x], n_[y]
+            ba, bb = _beyond(na, percent), _beyond(nb, percent)
+            rest = np.where(ea < eb, ba, np.where(ea > eb, bb, np.maximum(ba, bb)))
+            ok = (root_[x] != root_[y]) & np.where(same[x], ids_[x] < ids_[y], ids_[x] != ids_[y])
+            ok &= (100 + percent) * (shared + rest) >= percent * (na + nb)
+            alive = np.union1d(x[ok], y[ok])
+            at = head[alive]
+            yield pa.RecordBatch.from_arrays([pa.array(g1[at]), pa.array(g2[at]), pa.array(side[at]), pa.array(ids[at])], names=["g1", "g2", "side", "id"])
 
     return run
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the longs ``key``, of fixed size; with very many keys it only holds back less."""
-    filled = np.zeros(_SLOTS // 8, np.uint8)
-    chunks = keys.mapInArrow(_spread, "slot int").repartition(F.shiftright("slot", 15)).mapInArrow(_bitmaps, "chunk long, bits binary")
-    for r in chunks.toLocalIterator():
-        filled[r["chunk"] * (_CHUNK // 8) : (r["chunk"] + 1) * (_CHUNK // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return filled
-
-
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of ids of ``rows`` whose overlap is enough, written. Only their texts are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = written(rows.join(ids, "id", "left_semi").select("id", "n", "s1", "s2", "least"))
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(involved.where("least IS NOT NULL").select(F.col("least").alias("key"))))
-    found = docs.mapInArrow(_chosen(size, sent), "n long, s1 long, s2 long, text string").join(involved, ["n", "s1", "s2"])
-    text = written(found.groupBy("id").agg(F.min("text").alias("text")))
-    met = pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(met.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(size, percent), "a long, b long"))
-
+def _in_tiles(members: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``chunk`` to ``members``: a number below what the rows and shingles of each group ``by`` ask for."""
+    sized = members.groupBy(*by).agg(F.count("*").alias("rows_"), F.sum("n").alias("shingles_"))
+    parts = F.greatest(F.ceil(F.col("rows_") / TILE_ROWS), F.ceil(F.col("shingles_") / TILE_SHINGLES))
+    return members.join(sized.select(*by, parts.alias("parts_")), by).withColumn("chunk", F.pmod(F.xxhash64("id"), "parts_")).drop("parts_")
 
-def classes(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Signed rows (``doc_id, n, s1, s2``) and classes of equal sets (``n, s1, s2, id, least`` and columns), both written.
 
-    Shingles of which the thinned counts (one in ``thin`` occurrences, over all
-    rows) reach ``often`` come last in the order of columns; at most the ``most``
-    most frequent are treated so, which bounds what is broadcast.
-    """
-    context = docs.sparkSession.sparkContext
-    signed = written(docs.mapInArrow(_signed(size, thin), "doc_id long, n long, s1 long, s2 long, some array<long>"))
-    counted = signed.select(F.explode("some").alias("key")).groupBy("key").count().where(F.col("count") >= often)
-    late = counted.orderBy(F.desc("count"), "key").limit(most).select("key").toPandas()["key"].to_numpy(np.int64)
-    frequent = context.broadcast(np.sort(late.view(np.uint64)))
-    keys = docs.mapInArrow(_prefixes(size, percent, frequent, None), "keys array<long>").select(F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    sent = context.broadcast(_filter(shared))
-    with_keys = docs.mapInArrow(_prefixes(size, percent, frequent, sent), "doc_id long, n long, s1 long, s2 long, edge long, keys array<long>")
-    grouped = with_keys.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("edge").alias("edge"), F.min("keys").alias("keys"))
-    return signed.drop("some"), written(grouped.withColumn("id", F.monotonically_increasing_id()))
+def _links(members: DataFrame, rows: DataFrame, size: int, percent: int, bound: int) -> DataFrame:
+    """Links of the groups ``g1, g2, side, id, root``, written. Sets are made of the texts of members only."""
+    ids = members.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= bound else ids
+    sets = rows.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_pieces(size), "id long, piece int, grams array<long>")
+    met = members.join(sets, "id").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id", "piece")
+    return written(met.select("g1", "g2", "side", "id", "root", "grams").mapInArrow(_linked(percent), "a long, b long"))
 
 
-def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tries: int = 3) -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000, bound: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two rows link if 100 * shared shingles >= ``percent`` * all shingles of both.
     Null texts and texts without words have no shingle and are linked with nothing
     (their component is themselves); equal rows are in one component; a null id
     takes part, and is a component's id only if there is no other; an empty table
-    gives no rows; other columns are ignored. ``tries`` only decides in which order
-    pairs are compared.
+    gives no rows; other columns are ignored.
+
+    The rest changes only the amount of work. Shingles of which the thinned counts
+    (one in ``thin`` occurrences, over all rows) reach ``often`` come last in the
+    order of columns; at most the ``most`` most frequent are treated so, which
+    bounds what is broadcast. Up to ``bound`` ids of rows are broadcast where
+    texts are picked by them.
     """
-    docs = texts(docs, id_col, text_col)
-    signed, rows = classes(docs, size, percent)
-    entries = written(rows.select("id", "n", "edge", F.explode("keys").alias("key")))
-    shared_by = entries.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-    # The row of a column that the others are compared with is the one whose columns have most rows: near copies are closest to what they were copied from.
-    weight = entries.join(shared_by, "key").groupBy("id").agg(F.sum("n_rows").alias("weight"))
-    by_key = entries.join(weight, "id").groupBy("key").agg(F.count("*").alias("n_rows"), F.max(F.struct("weight", (-F.col("id")).alias("least"), "n")).alias("first")).where("n_rows > 1")
+    context = docs.sparkSession.sparkContext
+    rows = written(texts(docs, id_col, text_col).mapInArrow(_numbered, "id long, doc_id long, text string"))
+    signed = written(rows.mapInArrow(_signed(size, thin), "id long, doc_id long, n long, s1 long, s2 long, some array<long>"))
+    classes = written(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")))
+    counted = signed.select(F.explode("some").alias("key")).groupBy("key").count().where(F.col("count") >= often)
+    late = counted.orderBy(F.desc("count"), "key").limit(most).select("key").toArrow().column("key").to_numpy()
+    frequent = context.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+    deciding = rows.select("id", "text").mapInArrow(_deciding(size, percent, frequent), "id long, n long, edge long, keys array<long>")
+    deciding = written(deciding.join(classes.select("id"), "id", "left_semi"))
+    every = deciding.select("id", "n", "edge", F.explode("keys").alias("key"))
+    shared_by = every.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    entries = written(every.join(shared_by, "key").select("id", "n", "edge", "key", "n_rows"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    def possible(shared: Column) -> Column:
-        """Whether the overlap can be enough if ``shared`` of the deciding columns are: all of those of the row whose columns end first are known."""
-        beyond = lambda n: F.floor((n * percent + 99) / 100) - 1
-        na, nb, ea, eb = (F.col(c) for c in ("na", "nb", "ea", "eb"))
-        rest = F.when(ea < eb, beyond(na)).when(ea > eb, beyond(nb)).otherwise(F.greatest(beyond(na), beyond(nb)))
-        return (100 + percent) * (shared + rest) >= percent * (na + nb)
-
-    met = entries.join(by_key.select("key", (-F.col("first.least")).alias("a"), F.col("first.n").alias("na")), "key")
-    # Of the rows that its columns would link it to, a row is first compared with the one it shares most of them with.
+    # A column's central row is the one whose columns have most rows: near copies are closest to what they were copied from.
+    weight = entries.groupBy("id").agg(F.sum("n_rows").alias("weight"))
+    central = entries.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "n")).alias("first"))
+    met = entries.join(central.select("key", (-F.col("first.least")).alias("a"), F.col("first.n").alias("na")), "key")
     best = (
         met.where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("na"))).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
         .groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     )
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("keys").alias(f"k{c}"))
-    stars = written(best.join(side("b"), "b").join(side("a"), "a").where(possible(F.size(F.array_intersect("ka", "kb")))).select("a", "b"))
-    links = similar(stars, rows, docs, size, percent)
-    roots = components(links)
-
-    def open_entries(roots: DataFrame) -> DataFrame:
-        """Entries of the columns whose rows aren't all in one component."""
-        marked = entries.join(roots, entries["id"] == roots["node"], "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
-        mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return marked.join(mixed, "key")
-
-    # What isn't linked yet is compared with a few rows, by choice of the columns, of the components that have most rows in them.
-    remaining = written(open_entries(roots))
-    chosen = (
-        remaining.groupBy("key", "root").agg(F.count("*").alias("n_rows"), F.max(F.struct(F.xxhash64("id", "key").alias("lot"), "id", "n")).alias("first"))
-        .groupBy("key").agg(F.max(F.struct("n_rows", "root", "first")).alias("most")).select("key", F.col("most.first.id").alias("a"), F.col("most.first.n").alias("na"), F.col("most.root").alias("ra"))
-    )
-    tried = remaining.join(chosen, "key").where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
-    tried = (
-        tried.join(stars, ["a", "b"], "left_anti").join(side("b"), "b").join(side("a"), "a").withColumn("shared", F.size(F.array_intersect("ka", "kb"))).where(possible(F.col("shared")))
-        .select("a", "b", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a")).alias("place")).where(F.col("place") <= tries)
-    )
-    tried = written(tried.select("a", "b"))
-    links = links.unionByName(similar(tried, rows, docs, size, percent))
-    # Pairs of different components that are left are all compared.
-    open_ = written(open_entries(components(links)))
-    left, right = (open_.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    pairs = (
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
-        .groupBy("a", "b", "na", "nb", "ea", "eb").agg(F.count("*").alias("shared")).where(possible(F.col("shared"))).select("a", "b")
-    )
-    known = stars.unionByName(tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = similar(written(pairs.join(known, ["a", "b"], "left_anti")), rows, docs, size, percent)
-    roots = components(links.unionByName(more))
-    labelled = rows.select("n", "s1", "s2", "id", "least").join(roots, rows["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    side = lambda c: deciding.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("edge").alias(f"e{c}"), F.col("keys").alias(f"k{c}"))
+    beyond = lambda n: F.floor((n * percent + 99) / 100) - 1
+    na, nb, ea, eb = (F.col(c) for c in ("na", "nb", "ea", "eb"))
+    rest = F.when(ea < eb, beyond(na)).when(ea > eb, beyond(nb)).otherwise(F.greatest(beyond(na), beyond(nb)))
+    possible = (100 + percent) * (F.size(F.array_intersect("ka", "kb")) + rest) >= percent * (na + nb)
+    stars = best.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", F.col("b").alias("id"), F.col("nb").alias("n"))
+    stars = written(_in_tiles(written(stars), ["a"]))
+    members = stars.select("a", "chunk", F.lit(1).alias("side"), "id").unionByName(stars.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
+    # A group of a central row has no second tile: -1 never equals a central row.
+    links = _links(members.select(F.col("a").alias("g1"), (-1 - F.col("chunk")).alias("g2"), "side", "id", F.col("id").alias("root")), rows, size, percent, bound)
+
+    # Columns whose rows aren't all in one component.
+    marked = entries.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
+    mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi").select("key", "n_rows")
+    left = written(marked.join(mixed, "key"))
+    # A little wider than the ratio of sizes that can link, so that rounding doesn't put these more than one band apart.
+    band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    placed = left.groupBy("id", "n").agg(F.max(F.struct("n_rows", "key")).alias("top")).select("id", "n", F.col("top.key").alias("top"), band.alias("band"))
+    tiles = _in_tiles(placed, ["top", "band"]).select("id", "band", F.xxhash64("top", "band", "chunk").alias("tile"))
+    left = written(left.join(tiles, "id").drop("n_rows"))
+    others = left.groupBy("key", "tile", "band").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    others = others.select("key", F.col("tile").alias("tile2"), F.col("band").alias("band2"), "many", "lo", "hi")
+    apart = "(lo < hi OR lo <> root) AND abs(band - band2) <= 1 AND (tile <> tile2 OR many > 1)"
+    g1 = F.least("tile", "tile2")
+    sides = F.when(F.col("tile") == F.col("tile2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("tile") != g1).cast("int")))
+    met = left.join(others, "key").where(apart).select(g1.alias("g1"), F.greatest("tile", "tile2").alias("g2"), F.explode(sides).alias("side"), "id", "key", "n", "edge", "root")
+    met = met.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id")
+    alive = written(met.mapInArrow(_candidates(percent), "g1 long, g2 long, side int, id long"))
+    roots = left.select("id", "root").distinct()
+    more = _links(alive.join(roots, "id").select("g1", "g2", "side", "id", "root"), rows, size, percent, bound)
+
+    labelled = classes.join(components(links.unionByName(more)).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "root").select("n", "s1", "s2", "component_id")
-    out = signed.join(named, ["n", "s1", "s2"], "left")
+    out = signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,7 +1,12 @@
 import random
 import re
 
-from fragsieve.llm.ngram_join import ngram_join
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fragsieve.llm import ngram_join as module
+from fragsieve.llm.ngram_join import forest, ngram_join, products
 
 
 def brute(docs, size=4, percent=85):
@@ -58,3 +63,58 @@ def test_equals_brute_force(spark):
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
+
+
+def test_words_that_hash_alike_modulo_powers_of_two(spark):
+    rows = []
+    for n in (1024, 2048, 4096):
+        rows += ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for k in (0, 1)]
+    rows = list(enumerate(rows))
+    assert run(spark, rows) == brute(rows) == [(i, 1, i) for i, _ in rows]
+
+
+def test_many_documents_just_below_the_threshold(spark):
+    """1,100 texts that share most of their columns, all but a few pairs of them not similar enough: several tiles meet."""
+    rng = random.Random(8)
+    base, docs = [f"w{i}" for i in range(200)], []
+    for i in range(1100):
+        v = list(base)
+        for k in rng.sample(range(0, 200, 5), 5):  # two of these share about 160 of 234 shingles or more
+            v[k] = f"own{i}x{k}"
+        docs.append(" ".join(v))
+    near = docs[77].split()
+    near[100] = "changed"
+    rows = list(enumerate([*docs, " ".join(near)]))
+    assert run(spark, rows) == brute(rows)
+
+
+def links_of(sets_a, sets_b, percent):
+    return np.array([[100 * len(a & b) >= percent * len(a | b) for b in sets_b] for a in sets_a], bool).reshape(len(sets_a), len(sets_b))
+
+
+_SETS = st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=1, max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(_SETS, _SETS, st.sampled_from([50, 80, 85, 100]), st.sampled_from([3, 7, 4096]))
+def test_products_and_forest(sets_a, sets_b, percent, columns):
+    entries = lambda sets: (np.array([i for i, s in enumerate(sets) for _ in s]), np.array([v for s in sets for v in sorted(s)]))
+    sizes = tuple(np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
+    expected, old, module.COLUMNS = links_of(sets_a, sets_b, percent), module.COLUMNS, columns
+    try:
+        got = products(entries(sets_a), entries(sets_b), sizes, np.ones(expected.shape, bool), percent)
+    finally:
+        module.COLUMNS = old
+    assert (got == expected).all()
+    x, y = forest(got)
+    assert got[x, y].all() and len(x) <= sum(got.shape)
+    label = list(range(sum(got.shape)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        label[find(i)] = find(len(sets_a) + j)
+    assert all(find(i) == find(len(sets_a) + j) for i, j in zip(*np.nonzero(got), strict=True))
