@@ -13,8 +13,9 @@ of each, the deciding ones. Documents with equal sets are one row. A row is firs
 multiplied with the central row of its columns that it shares most of them with;
 that settles most groups of copies. Columns whose rows aren't all in one component
 then put their rows into tiles (by the most frequent of them and by size), and two
-tiles meet if they share such a column: first with their deciding columns only,
-which leaves few rows, then these with whole sets. So no link between different
+tiles meet if they share such a column: first with their deciding columns only, then
+with an eighth of all columns, which leaves few rows, then these with whole sets.
+At each step the rows go that no pair keeps possible. So no link between different
 sets that matters to a component is lost, whatever the size of a group.
 
 The order of the columns is by hash, with frequent ones last; it only decides how
@@ -125,14 +126,17 @@ def _deciding(size: int, percent: int, frequent: object):
     return run
 
 
-def _pieces(size: int):
-    """``id`` and the set in sorted pieces."""
+def _pieces(size: int, block: bool):
+    """``id`` and the set in sorted pieces; with ``block`` only a fixed eighth of the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             owner, grams, _ = shingle_sets(data, offs, size)
+            if block:
+                use = grams >> np.uint64(61) == 0
+                owner, grams = owner[use], grams[use]
             count = np.bincount(owner, minlength=part.num_rows)
-            row, nth = B.ragged(-(-count // PIECE))
+            row, nth = B.ragged(np.maximum(-(-count // PIECE), 1))
             at = (np.cumsum(count) - count)[row] + nth * PIECE
             cut = pa.array(np.r_[at, len(grams)].astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(nth.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(grams.view(np.int64)))], names=["id", "piece", "grams"])
@@ -178,11 +182,14 @@ def incidence(row: np.ndarray, column: np.ndarray, n: int, width: int) -> np.nda
 
 
 def products(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], open_: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of a left and a right row are similar enough.
+    """Which pairs of a left and a right row can be similar enough, by all entries that are given.
 
     ``left`` and ``right``: row number and column of the entries of two sparse
-    blocks; ``sizes``: entries of each row; ``open_``: pairs that are of interest.
+    blocks; ``sizes``: entries of each whole row (with more of them than are given,
+    the rest might all be shared); ``open_``: pairs that are of interest.
     """
+    outside = [n - np.bincount(row, minlength=len(n)) for (row, _), n in zip((left, right), sizes, strict=True)]
+    beyond = np.minimum(outside[0][:, None], outside[1][None, :])
     need = -(-percent * (sizes[0][:, None] + sizes[1][None, :]) // (100 + percent))
     open_ = open_ & (np.minimum(sizes[0][:, None], sizes[1][None, :]) >= need)
     # Only columns that both have entries in count.
@@ -208,8 +215,9 @@ def products(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
             rest.append(np.bincount(row[column >= first + COLUMNS], minlength=n)[own])
         where = np.ix_(*rows)
         overlap[where] += (blocks[0] @ blocks[1].T).astype(np.int64)
-        open_[where] &= overlap[where] + np.minimum(rest[0][:, None], rest[1][None, :]) >= need[where]
-    return open_ & (overlap >= need)
+        left_ = np.minimum((outside[0][rows[0]] + rest[0])[:, None], (outside[1][rows[1]] + rest[1])[None, :])
+        open_[where] &= overlap[where] + left_ >= need[where]
+    return open_ & (overlap + beyond >= need)
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,35 +242,42 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _linked(percent: int):
-    """Rows of ``g1, g2, side, id, root, piece, grams``, sorted so, to links ``a, b`` between rows of both sides that aren't of one root."""
+def _multiplied(percent: int, whole: bool):
+    """Rows of ``g1, g2, side, id, root, n, piece, grams``, sorted so, by the products of their groups' sides: with ``whole`` sets
+    to links ``a, b`` between rows that aren't of one root, else to the rows ``g1, g2, side, id, root, n`` of possible ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 1):
-            g1, g2, side, ids, root = (table.column(c).to_numpy() for c in ("g1", "g2", "side", "id", "root"))
+            g1, g2, side, ids, root, size = (table.column(c).to_numpy() for c in ("g1", "g2", "side", "id", "root", "n"))
             lists = table.column("grams").combine_chunks()
-            grams, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-            edge = np.cumsum(size)
+            grams, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            edge = np.cumsum(length)
             cuts = [*np.flatnonzero(_changes(g1, g2)).tolist(), len(g1)]
-            found: tuple[list, list] = ([], [])
+            found: list[list[np.ndarray]] = [[], []]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 head = np.flatnonzero(_changes(side[i:j], ids[i:j])) + i
-                entries = grams[edge[i] - size[i] : edge[j - 1]]
-                row = np.repeat(np.searchsorted(head, np.arange(i, j), "right") - 1, size[i:j])
-                n = np.bincount(row, minlength=len(head))
-                l = int((side[head] == 0).sum())  # noqa: E741
-                if l in (0, len(head)):
+                entries = grams[edge[i] - length[i] : edge[j - 1]]
+                row = np.repeat(np.searchsorted(head, np.arange(i, j), "right") - 1, length[i:j])
+                cut = int((side[head] == 0).sum())
+                if cut in (0, len(head)):
                     continue
-                a, b = ids[head[:l]], ids[head[l:]]
-                open_ = root[head[:l]][:, None] != root[head[l:]][None, :]
+                a, b = ids[head[:cut]], ids[head[cut:]]
+                open_ = root[head[:cut]][:, None] != root[head[cut:]][None, :]
                 open_ &= (a[:, None] < b[None, :]) if g1[i] == g2[i] else (a[:, None] != b[None, :])
-                at = int(n[:l].sum())
-                ok = products((row[:at], entries[:at]), (row[at:] - l, entries[at:]), (n[:l], n[l:]), open_, percent)
-                x, y = forest(ok)
-                found[0].append(a[x])
-                found[1].append(b[y])
-            if found[0]:
+                at, n = int(np.searchsorted(row, cut)), size[head]
+                ok = products((row[:at], entries[:at]), (row[at:] - cut, entries[at:]), (n[:cut], n[cut:]), open_, percent)
+                if whole:
+                    x, y = forest(ok)
+                    found[0].append(a[x])
+                    found[1].append(b[y])
+                else:
+                    found[0].append(head[np.r_[ok.any(axis=1), ok.any(axis=0)]])
+            if whole and found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
+            elif found[0]:
+                alive = pa.array(np.concatenate(found[0]))
+                names = ["g1", "g2", "side", "id", "root", "n"]
+                yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(alive) for c in names], names=names)
 
     return run
 
@@ -273,7 +288,7 @@ def _beyond(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(percent: int):
-    """Rows of ``g1, g2, side, id, key, n, edge, root``, sorted so, to the rows ``g1, g2, side, id`` of which some pair can still be similar enough.
+    """Rows of ``g1, g2, side, id, key, n, edge, root``, sorted so, to the rows ``g1, g2, side, id, root, n`` of which some pair can still be similar enough.
 
     A pair's overlap is at most the deciding columns it shares and those beyond them
     of the row whose deciding columns end first, all of whose others are known.
@@ -328,7 +343,7 @@ def _candidates(percent: int):
             ok &= (100 + percent) * (shared + rest) >= percent * (na + nb)
             alive = np.union1d(x[ok], y[ok])
             at = head[alive]
-            yield pa.RecordBatch.from_arrays([pa.array(g1[at]), pa.array(g2[at]), pa.array(side[at]), pa.array(ids[at])], names=["g1", "g2", "side", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (g1, g2, side, ids, root, n)], names=["g1", "g2", "side", "id", "root", "n"])
 
     return run
 
@@ -340,16 +355,16 @@ def _in_tiles(members: DataFrame, by: list[str]) -> DataFrame:
     return members.join(sized.select(*by, parts.alias("parts_")), by).withColumn("chunk", F.pmod(F.xxhash64("id"), "parts_")).drop("parts_")
 
 
-def _links(members: DataFrame, rows: DataFrame, size: int, percent: int, bound: int) -> DataFrame:
-    """Links of the groups ``g1, g2, side, id, root``, written. Sets are made of the texts of members only."""
+def _met(members: DataFrame, rows: DataFrame, size: int, bound: int, block: bool) -> DataFrame:
+    """The groups ``g1, g2, side, id, root, n`` with the sets of their rows, each group's in one task. Only members' texts give sets."""
+    few = members.count() <= bound
     ids = members.select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= bound else ids
-    sets = rows.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_pieces(size), "id long, piece int, grams array<long>")
-    met = members.join(sets, "id").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id", "piece")
-    return written(met.select("g1", "g2", "side", "id", "root", "grams").mapInArrow(_linked(percent), "a long, b long"))
+    sets = rows.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_pieces(size, block), "id long, piece int, grams array<long>")
+    met = sets.join(F.broadcast(members) if few else members, "id")
+    return met.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id", "piece").select("g1", "g2", "side", "id", "root", "n", "grams")
 
 
-def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000, bound: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000, bound: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two rows link if 100 * shared shingles >= ``percent`` * all shingles of both.
@@ -361,8 +376,8 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16
     The rest changes only the amount of work. Shingles of which the thinned counts
     (one in ``thin`` occurrences, over all rows) reach ``often`` come last in the
     order of columns; at most the ``most`` most frequent are treated so, which
-    bounds what is broadcast. Up to ``bound`` ids of rows are broadcast where
-    texts are picked by them.
+    bounds what is broadcast. Up to ``bound`` members of groups are broadcast to
+    the texts that give their sets; more are joined by a shuffle.
     """
     context = docs.sparkSession.sparkContext
     rows = written(texts(docs, id_col, text_col).mapInArrow(_numbered, "id long, doc_id long, text string"))
@@ -391,11 +406,12 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16
     na, nb, ea, eb = (F.col(c) for c in ("na", "nb", "ea", "eb"))
     rest = F.when(ea < eb, beyond(na)).when(ea > eb, beyond(nb)).otherwise(F.greatest(beyond(na), beyond(nb)))
     possible = (100 + percent) * (F.size(F.array_intersect("ka", "kb")) + rest) >= percent * (na + nb)
-    stars = best.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", F.col("b").alias("id"), F.col("nb").alias("n"))
+    stars = best.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", "na", F.col("b").alias("id"), F.col("nb").alias("n"))
     stars = written(_in_tiles(written(stars), ["a"]))
-    members = stars.select("a", "chunk", F.lit(1).alias("side"), "id").unionByName(stars.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
+    members = stars.select("a", "chunk", F.lit(1).alias("side"), "id", "n").unionByName(stars.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("id"), F.col("na").alias("n")).distinct())
     # A group of a central row has no second tile: -1 never equals a central row.
-    links = _links(members.select(F.col("a").alias("g1"), (-1 - F.col("chunk")).alias("g2"), "side", "id", F.col("id").alias("root")), rows, size, percent, bound)
+    members = written(members.select(F.col("a").alias("g1"), (-1 - F.col("chunk")).alias("g2"), "side", "id", F.col("id").alias("root"), "n"))
+    links = written(_met(members, rows, size, bound, False).mapInArrow(_multiplied(percent, True), "a long, b long"))
 
     # Columns whose rows aren't all in one component.
     marked = entries.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", "n", "edge", "key", F.coalesce("root", "id").alias("root"))
@@ -413,9 +429,10 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16
     sides = F.when(F.col("tile") == F.col("tile2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("tile") != g1).cast("int")))
     met = left.join(others, "key").where(apart).select(g1.alias("g1"), F.greatest("tile", "tile2").alias("g2"), F.explode(sides).alias("side"), "id", "key", "n", "edge", "root")
     met = met.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id")
-    alive = written(met.mapInArrow(_candidates(percent), "g1 long, g2 long, side int, id long"))
-    roots = left.select("id", "root").distinct()
-    more = _links(alive.join(roots, "id").select("g1", "g2", "side", "id", "root"), rows, size, percent, bound)
+    group = "g1 long, g2 long, side int, id long, root long, n long"
+    alive = written(met.mapInArrow(_candidates(percent), group))
+    alive = written(_met(alive, rows, size, bound, True).mapInArrow(_multiplied(percent, False), group))
+    more = written(_met(alive, rows, size, bound, False).mapInArrow(_multiplied(percent, True), "a long, b long"))
 
     labelled = classes.join(components(links.unionByName(more)).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
