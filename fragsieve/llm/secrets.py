@@ -1,13 +1,14 @@
 """Secret spans in texts, with DataFrame functions only.
 
 Three kinds of patterns, and one of entropy: over strings of key characters a
-window slides one character at a time; counts of characters and the sum of
-c * log2(c) are updated for the one that enters and the one that leaves, which
-gives the Shannon entropy of every window. The threshold depends on the string's
+window slides one character at a time; counts of characters (a string with a
+character for each slot) and the sum of c * log2(c) are updated for the one that
+enters and the one that leaves, which gives the Shannon entropy of every window. The threshold depends on the string's
 character class; an allow-list of patterns suppresses strings that are known to
 be harmless.
 
-Positions count code points. A row is handled by itself: there is no shuffle.
+Positions count code points. A row is handled by itself: there is no shuffle. Long
+arrays are folded by chunks, so that the work grows with the length of a text.
 """
 
 from __future__ import annotations
@@ -30,44 +31,63 @@ BITS = {"hex": 3.0, "other": 3.6}
 #: Candidate strings that are no secrets: without a digit, without a letter, dashed identifiers, and one unit repeated.
 ALLOWED = ["[^0-9]*", "[^A-Za-z]*", "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,8})\1+.{0,8}"]
 _SPAN = "struct<start: int, kind: int, stop: int>"
+#: Elements of an array that are folded before their results are put together.
+_CHUNK = 128
 
 
 def _sql_string(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _positions(text: str, pattern: str, kind: int, keep: str, found: str) -> str:
-    """Spans of the matches of ``pattern`` (array ``found``) that satisfy ``keep``: lengths of matches and of what stands between are summed."""
+def _chunks(array: str) -> str:
+    return f"CASE WHEN size({array}) = 0 THEN array() ELSE transform(sequence(0, size({array}) - 1, {_CHUNK}), i -> slice({array}, i + 1, {_CHUNK})) END"
+
+
+def _scanned(array: str, zero: str, step: str, out: str, keep: str, out_type: str) -> str:
+    """``out`` of every element ``m`` with ``keep``; both, and ``step``, may use the running value ``at`` before the element."""
+    inner = lambda at: f"""
+      aggregate(ch, named_struct('at', {at}, 'out', CAST(array() AS array<{out_type}>)), (a, m) -> named_struct('at', {step.replace("$at", "a.at")},
+        'out', CASE WHEN {keep.replace("$at", "a.at")} THEN concat(a.out, array({out.replace("$at", "a.at")})) ELSE a.out END))"""
     return f"""
-    CASE WHEN size({found}) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE
-    aggregate(
-      zip_with({found}, slice(split({text}, {_sql_string(pattern)}, -1), 1, size({found})), (x, gap) -> named_struct('gap', length(gap), 'size', length(x), 'keep', {keep})),
-      named_struct('at', 0, 'out', CAST(array() AS array<{_SPAN}>)),
-      (a, m) -> named_struct('at', a.at + m.gap + m.size, 'out', CASE WHEN m.keep THEN concat(a.out, array(named_struct('start', a.at + m.gap, 'kind', {kind}, 'stop', a.at + m.gap + m.size))) ELSE a.out END),
-      a -> a.out)
-    END"""
+    CASE WHEN size({array}) = 0 THEN CAST(array() AS array<{out_type}>) ELSE
+    flatten(aggregate({_chunks(array)}, named_struct('at', {zero}, 'out', CAST(array() AS array<array<{out_type}>>)),
+      (s, ch) -> transform(array({inner("s.at")}), d -> named_struct('at', d.at, 'out', concat(s.out, array(d.out))))[0],
+      s -> s.out)) END"""
+
+
+def _placed(text: str, pattern: str, keep: str, found: str) -> str:
+    """Matches of ``pattern`` (array ``found``) with the gap before each and whether they satisfy ``keep``."""
+    return f"zip_with({found}, slice(split({text}, {_sql_string(pattern)}, -1), 1, size({found})), (x, gap) -> named_struct('gap', length(gap), 'size', length(x), 'keep', {keep}, 'x', x))"
+
+
+def _positions(placed: str, kind: int) -> str:
+    """Spans of the matches that are kept: lengths of matches and of what stands between are summed."""
+    return _scanned(placed, "0", "$at + m.gap + m.size", f"named_struct('start', $at + m.gap, 'kind', {kind}, 'stop', $at + m.gap + m.size)", "m.keep", _SPAN)
 
 
 def _xlogx(c: str) -> str:
     return f"CASE WHEN {c} > 1 THEN {c} * log2({c}) ELSE 0D END"
 
 
-def _entropy(candidate: str, window: int, bits: str) -> str:
-    """First start and last stop, in the candidate, of windows with at least ``bits``; (-1, -1) if none has."""
-    code = lambda i: f"(instr({_sql_string(ALPHABET)}, substr({candidate}, {i}, 1)) - 1)"
-    enter, leave = code("i"), f"CASE WHEN i > {window} THEN {code(f'i - {window}')} ELSE -1 END"
+def _entropy(codes: str, window: int, bits: str) -> str:
+    """First start and last stop, in the candidate of these ``codes`` (places in the alphabet), of windows with at least ``bits``; (-1, -1) if none has."""
+    count = lambda code: f"(ascii(substr(a.counts, {code}, 1)) - 65)"
+    enter, leave = f"{codes}[i - 1]", f"CASE WHEN i > {window} THEN {codes}[i - {window + 1}] ELSE 0 END"
+    entered = "overlay(a.counts PLACING chr(p.ce + 66) FROM p.enter FOR 1)"
     return f"""
     aggregate(
-      transform(sequence(1, length({candidate})), i -> named_struct('i', i, 'enter', {enter}, 'leave', {leave})),
-      named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'total', 0D, 'first', -1, 'last', -1),
-      (a, p) -> transform(array(named_struct(
-          'counts', transform(a.counts, (c, k) -> c + CAST(k = p.enter AS int) - CAST(k = p.leave AS int)),
-          'total', CASE WHEN p.enter = p.leave THEN a.total ELSE a.total
-              + ({_xlogx('(a.counts[p.enter] + 1)')}) - ({_xlogx('a.counts[p.enter]')})
-              + CASE WHEN p.leave < 0 THEN 0D ELSE ({_xlogx('(a.counts[p.leave] - 1)')}) - ({_xlogx('a.counts[p.leave]')}) END END)),
+      sequence(1, size({codes})),
+      named_struct('counts', repeat('A', {len(ALPHABET)}), 'total', 0D, 'first', -1, 'last', -1),
+      (a, i) -> transform(transform(transform(array(named_struct('enter', {enter}, 'leave', {leave})),
+          p -> named_struct('enter', p.enter, 'leave', p.leave, 'ce', {count("p.enter")}, 'cl', CASE WHEN p.leave > 0 THEN {count("p.leave")} ELSE 0 END)),
+          p -> named_struct(
+            'counts', CASE WHEN p.enter = p.leave THEN a.counts WHEN p.leave = 0 THEN {entered} ELSE overlay({entered} PLACING chr(p.cl + 64) FROM p.leave FOR 1) END,
+            'total', CASE WHEN p.enter = p.leave THEN a.total ELSE a.total
+              + ({_xlogx('(p.ce + 1)')}) - ({_xlogx('p.ce')})
+              + CASE WHEN p.leave = 0 THEN 0D ELSE ({_xlogx('(p.cl - 1)')}) - ({_xlogx('p.cl')}) END END)),
         n -> named_struct('counts', n.counts, 'total', n.total,
-          'first', CASE WHEN a.first < 0 AND p.i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN p.i - {window} ELSE a.first END,
-          'last', CASE WHEN p.i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN p.i ELSE a.last END))[0],
+          'first', CASE WHEN a.first < 0 AND i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN i - {window} ELSE a.first END,
+          'last', CASE WHEN i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN i ELSE a.last END))[0],
       a -> named_struct('first', a.first, 'last', a.last))"""
 
 
@@ -75,27 +95,40 @@ def with_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", wi
     """``df`` with an array of ``start, kind, stop`` (kind: place in assign, access, hex, entropy), sorted.
 
     An entropy span is the least range of a candidate string that holds all its
-    windows at or above the threshold; those within a span of another kind are left out.
+    windows at or above the threshold; those within a span of another kind are left
+    out. Other columns stay as they are, whatever their names; a column named
+    ``out_col`` is replaced. The work grows with the length of a text.
     """
-    candidate = f"[{ALPHABET}]{{{window},}}"
-    text = "__text"
-    made = df.withColumn(text, F.coalesce(df[text_col].cast("string"), F.lit("")))
-    patterns = [(p, keep.replace(f"r'''{ASSIGN}'''", _sql_string(ASSIGN))) for _, p, keep in KINDS]
-    for k, (p, _) in enumerate([*patterns, (candidate, "")]):
-        made = made.withColumn(f"__found{k}", F.expr(f"regexp_extract_all({text}, {_sql_string(p)}, 0)"))
-    base = [_positions(text, p, k, keep, f"__found{k}") for k, (p, keep) in enumerate(patterns)]
-    made = made.withColumn("__base", F.expr(f"concat({', '.join(base)})"))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    text, candidates, base, more = (f"{mark}{c}" for c in ("text", "candidates", "base", "more"))
     last = len(KINDS)
+    patterns = [(p, keep.replace(f"r'''{ASSIGN}'''", _sql_string(ASSIGN))) for _, p, keep in KINDS]
     suspect = " AND ".join(f"NOT x RLIKE {_sql_string(f'^(?:{p})$')}" for p in allowed) or "true"
-    bits = f"CASE WHEN x.text RLIKE '^[0-9a-fA-F]+$' THEN {BITS['hex']}D ELSE {BITS['other']}D END"
+    patterns.append((f"[{ALPHABET}]{{{window},}}", suspect))
+    made = df.withColumn(text, F.coalesce(df[text_col].cast("string"), F.lit("")))
+    for k, (p, keep) in enumerate(patterns):
+        made = made.withColumn(f"{mark}found{k}", F.expr(f"regexp_extract_all({text}, {_sql_string(p)}, 0)"))
+        made = made.withColumn(f"{mark}placed{k}", F.expr(_placed(text, p, keep, f"{mark}found{k}")))
+    made = made.withColumn(base, F.expr(f"concat({', '.join(_positions(f'{mark}placed{k}', k) for k in range(last))})"))
     # Candidates with their places, then the range that entropy tells.
-    placed = _positions(text, candidate, last, suspect, f"__found{last}")
-    made = made.withColumn("__candidates", F.expr(f"transform({placed}, s -> named_struct('start', s.start, 'text', substr({text}, s.start + 1, s.stop - s.start)))"))
-    ranged = f"transform(__candidates, x -> named_struct('start', x.start, 'range', {_entropy('x.text', window, bits)}))"
-    more = f"""transform(filter({ranged}, r -> r.range.first >= 0), r -> named_struct('start', r.start + r.range.first, 'kind', {last}, 'stop', r.start + r.range.last))"""
-    made = made.withColumn("__more", F.expr(f"CASE WHEN size(__candidates) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE {more} END"))
-    spans = "array_sort(concat(__base, filter(__more, m -> NOT exists(__base, b -> b.start <= m.start AND b.stop >= m.stop))))"
-    return made.withColumn(out_col, F.expr(spans)).drop(text, "__base", "__more", "__candidates", *(f"__found{k}" for k in range(last + 1)))
+    found = "named_struct('start', $at + m.gap, 'text', m.x)"
+    made = made.withColumn(candidates, F.expr(_scanned(f"{mark}placed{last}", "0", "$at + m.gap + m.size", found, "m.keep", "struct<start: int, text: string>")))
+    bits = f"CASE WHEN x.text RLIKE '^[0-9a-fA-F]+$' THEN {BITS['hex']}D ELSE {BITS['other']}D END"
+    # Characters are taken from pieces of a candidate, as a place in a long string is found by walking to it.
+    piece = f"transform(array(substr(x.text, CAST(j * 256 + 1 AS int), 256)), y -> transform(sequence(1, length(y)), i -> instr({_sql_string(ALPHABET)}, substr(y, i, 1))))[0]"
+    codes = f"flatten(transform(sequence(0, (length(x.text) - 1) div 256), j -> {piece}))"
+    coded = f"transform({candidates}, x -> named_struct('start', x.start, 'bits', {bits}, 'codes', {codes}))"
+    ranged = f"transform({coded}, x -> named_struct('start', x.start, 'range', {_entropy('x.codes', window, 'x.bits')}))"
+    spans = f"transform(filter({ranged}, r -> r.range.first >= 0), r -> named_struct('start', r.start + r.range.first, 'kind', {last}, 'stop', r.start + r.range.last))"
+    made = made.withColumn(more, F.expr(f"CASE WHEN size({candidates}) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE {spans} END"))
+    # In order of starts, an entropy span lies in one of another kind if one before it reaches as far.
+    every = f"array_sort(concat({base}, {more}))"
+    outside = _scanned(every, "0", f"CASE WHEN m.kind < {last} THEN greatest($at, m.stop) ELSE $at END", "m", f"m.kind < {last} OR m.stop > $at", _SPAN)
+    result = F.expr(f"CASE WHEN size({more}) = 0 THEN array_sort({base}) ELSE {outside} END")
+    own = [text, candidates, base, more, *(f"{mark}{c}{k}" for c in ("found", "placed") for k in range(last + 1))]
+    return made.withColumn(out_col, result).drop(*own)
 
 
 def _joined(spans: str) -> Column:
@@ -121,10 +154,16 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of its texts replaced by ``mark`` (touching and overlapping spans by one); null texts stay null."""
-    found = with_spans(df, text_col, "__spans")
-    text = F.expr(f"""
-      CASE WHEN size(__spans) = 0 OR {text_col} IS NULL THEN {text_col} ELSE
-      aggregate(__spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> CASE WHEN s.stop <= a.at THEN a ELSE named_struct('at', s.stop, 'out', concat(a.out, substr({text_col}, a.at + 1, greatest(s.start - a.at, 0)), CASE WHEN s.start > a.at OR a.at = 0 THEN {_sql_string(mark)} ELSE '' END)) END,
-        a -> concat(a.out, substr({text_col}, a.at + 1))) END""")
-    return found.withColumn(text_col, text).drop("__spans")
+    name = "__spans"
+    while name in df.columns:
+        name += "_"
+    found, text = with_spans(df, text_col, name), f"`{text_col}`"
+    piece = "substr(g.seg, a.at - s.at + 1, greatest(c.start - a.at, 0))"
+    fold = f"""
+      aggregate({_chunks(f"`{name}`")}, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+        (s, ch) -> transform(array(named_struct('seg', substr({text}, s.at + 1, greatest(s.at, array_max(transform(ch, c -> c.stop))) - s.at))), g ->
+          aggregate(ch, named_struct('at', s.at, 'out', CAST(array() AS array<string>)),
+            (a, c) -> CASE WHEN c.stop <= a.at THEN a ELSE named_struct('at', c.stop, 'out', concat(a.out, array({piece}, CASE WHEN c.start > a.at OR a.at = 0 THEN {_sql_string(mark)} ELSE '' END))) END,
+            a -> named_struct('at', a.at, 'out', concat(s.out, array(array_join(a.out, ''))))))[0],
+        s -> concat(array_join(s.out, ''), substr({text}, s.at + 1)))"""
+    return found.withColumn(text_col, F.expr(f"CASE WHEN size(`{name}`) = 0 OR {text} IS NULL THEN {text} ELSE {fold} END")).drop(name)

@@ -64,6 +64,38 @@ def test_redaction_leaves_no_span_and_keeps_the_rest(spark):
         assert r.text == want + text[at:]
 
 
+def test_long_texts_take_seconds(spark):
+    """2 MB of hexadecimal words, 1 MB of base64 in one string, and many short secrets."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    texts = [
+        " ".join("".join(rng.choices("0123456789abcdef", k=rng.choice([9, 30]))) for _ in range(100_000)), "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)),
+        "é token=abcdefgh12 " * 40_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    secrets.secret_scan(df.limit(0)).collect()
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
+    assert time.time() - began < 60
+    for i, text in ((0, texts[0]), (2, texts[2])):
+        base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{ORDER[k]}:{a}:{b}" for a, k, b in sorted(base)).encode()).hexdigest()
+    assert rows[1].spans == "entropy:0:1000000"
+    began = time.time()
+    kept = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert time.time() - began < 60
+    assert kept[1] == "[SECRET]" and kept[2] == "é [SECRET] " * 40_000 and kept[0] == re.sub("[0-9a-f]{24,}", "[SECRET]", texts[0])
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdef12", "a", "b", "c", [1])], "doc_id long, text string, __text string, __base string, ___more string, __spans array<int>")
+    [row] = secrets.redacted(df).collect()
+    assert row.asDict() == {"doc_id": 1, "text": "[SECRET]", "__text": "a", "__base": "b", "___more": "c", "__spans": [1]}
+    assert secrets.with_spans(df).drop("spans").columns == df.columns
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -79,6 +111,8 @@ def test_rules_and_parts_of_urls(spark):
         (8, "http://b.com?x/de/", "b.com", "", None, "allow"),
         (9, "http://h.net#/a", "h.net", "", None, "allow"),
         (9, "http://h.net#/a", "h.net", "", None, "allow"),
+        (10, "http://user:pw@Example.org:80/es/x", "user:pw@example.org:80", "/es/x", None, "allow"),
+        (11, "http://a.co.uk/" + "y" * 200_000, "a.co.uk", "/" + "y" * 200_000, None, "allow"),
     ]
     df = spark.createDataFrame([(i, u, "x") for i, u, *_ in urls], "page_id long, url string, host string")
     assert sorted(map(tuple, host_reputation.judge(df, RULES).collect()), key=str) == sorted(((i, *rest) for i, _, *rest in urls), key=str)
