@@ -2,14 +2,22 @@
 
 Every window of ``length`` bytes holds an anchor: the place with the least hash of
 a ``gram``-byte string among the window's, chosen by content alone, so that equal
-windows have their anchor at the same place. Anchors whose gram is unique are
-dropped. What surrounds the others, so far as the windows with this anchor
-reach, is gathered by gram; equal surroundings are one.
+windows have their anchor at the same place. What surrounds an anchor, so far as
+the windows with it reach, is known by its digest at first. Anchors whose gram is
+unique are dropped, and surroundings that occur as a whole more than once are
+settled; bytes are fetched only for grams that have different surroundings, once
+for each of these.
+
+They are gathered by gram. A gram with very many surroundings is split, as often as
+needed: every window reaches further on one side of the bytes that are known to be
+equal, so those that share still more bytes to the left go to one group, those that
+share more to the right to another.
 
 In a task the suffixes from the anchors on are merge-sorted; two of them are
 compared by a binary search for their longest common extension with prefix
-polynomial hashes. A neighbour's extension tells which windows can occur twice;
-these are compared by hash, and equal ones by their bytes.
+polynomial hashes, and the order is verified by bytes. A neighbour's extension
+tells which windows can occur twice; these are compared by hash, and equal ones by
+their bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytespans as B
-from .ngram_join import _filter, _slots
 from .tables import texts, written
 
 _LOW = np.uint64((1 << 28) - 1)
@@ -54,34 +61,33 @@ def anchors(prefix: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tup
     return place, h[place], first, last
 
 
-def _grams(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in B.blocks(batches, size=B.BLOCK // 4):
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(B.prefix_hashes(data), offs, length, gram)[1].view(np.int64))], names=["key"])
-
-    return run
-
-
-def _surroundings(length: int, gram: int, filled: object):
-    """For every anchor whose gram the filter holds: its text, place, and the bytes of the windows of which it is the anchor."""
+def _anchored(length: int, gram: int):
+    """Every anchor: its text's ``name``, place, gram, digest of its surrounding, and how far that reaches to both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in B.blocks(batches, size=B.BLOCK // 4):
             place, key, low, last = anchors(B.prefix_hashes(data), offs, length, gram)
-            doc, high = np.searchsorted(offs, place, "right") - 1, last + length
-            use = np.ones(len(key), bool)
-            for slot in _slots(key):
-                use &= (filled.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            place, key, doc, low, high = (v[use] for v in (place, key, doc, low, high))
-            raw = data.tobytes()
-            around = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            name = part.column("name").take(pa.array(doc))
-            digest = [hashlib.blake2b(v, digest_size=16, key=int(p).to_bytes(2, "little")).digest() for v, p in zip(around, (place - low).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([name, pa.array((place - offs[doc]).astype(np.int64)), pa.array(key.view(np.int64)), pa.array((place - low).astype(np.int32)), pa.array(digest, pa.binary()), pa.array(around, pa.binary())], names=["name", "place", "key", "back", "digest", "around"])
+            doc, high, raw = np.searchsorted(offs, place, "right") - 1, last + length, data.tobytes()
+            spans = zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)
+            digest = [hashlib.blake2b(raw[a:b], digest_size=16, key=p.to_bytes(2, "little")).digest() for a, b, p in spans]
+            arrays = [part.column("name").take(pa.array(doc)), pa.array(place - offs[doc]), pa.array(key.view(np.int64)), pa.array(digest, pa.binary()), pa.array((place - low).astype(np.int32)), pa.array((high - place).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["name", "place", "key", "digest", "back", "ahead"])
 
     return run
 
 
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``text`` and ``wanted`` (key, digest, place, back, ahead) to the bytes of all that is wanted."""
+    for batch in batches:
+        for part, data, offs in B.blocks(iter([batch])):
+            lists = part.column("wanted")
+            wanted, first = lists.flatten(), offs[:-1].repeat(lists.value_lengths().to_numpy())
+            place, back, ahead = (wanted.field(c).to_numpy().astype(np.int64) for c in ("place", "back", "ahead"))
+            raw = data.tobytes()
+            around = [raw[a:b] for a, b in zip((first + place - back).tolist(), (first + place + ahead).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([wanted.field("key"), wanted.field("digest"), wanted.field("back"), pa.array(around, pa.binary())], names=["key", "digest", "back", "around"])
+
+
 class Suffixes:
     """Suffixes of one buffer, compared by hashes."""
 
@@ -122,11 +128,20 @@ class Suffixes:
             merged = np.empty(n, np.int64)
             merged[own // 2 * 2 * width + at % width + low - first] = order
             order, width = merged, 2 * width
-        return order
+        return order if self.verified(order) else np.array(sorted(range(n), key=lambda i: (self.data[self.start[i] : self.end[i]].tobytes(), i)), np.int64)
 
+    def verified(self, order: np.ndarray) -> bool:
+        """Whether the bytes bear out every neighbours' common extension and order."""
+        a, b = order[:-1], order[1:]
+        n = self.common(a, b)
+        return bool(B.same_bytes(self.data, self.start[a], self.start[b], n).all() and not self.after(a, b).any())
 
-def repeated_windows(around: list[bytes], back: np.ndarray, many: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each surrounding the ranges, relative to its anchor, that repeated windows cover. ``many``: it occurs more than once."""
+
+def repeated_windows(around: list[bytes], back: np.ndarray, length: int, left: np.ndarray, right: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each surrounding the ranges, relative to its anchor, that windows cover which some other surrounding has too.
+
+    Of a window at least ``left`` bytes stand before the anchor and ``right`` bytes from it on.
+    """
     size = np.fromiter(map(len, around), np.int64, len(around))
     base = np.cumsum(size) - size
     data = np.frombuffer(b"".join(around), np.uint8)
@@ -137,8 +152,8 @@ def repeated_windows(around: list[bytes], back: np.ndarray, many: np.ndarray, le
     np.maximum.at(reach, order[:-1], near)
     np.maximum.at(reach, order[1:], near)
     # Windows that start ``o`` before the anchor need a common extension of ``length - o``.
-    least = np.maximum(length - reach, back - size + length)
-    who, nth = B.ragged(np.maximum(back - least + 1, 0))
+    least = np.maximum(np.maximum(length - reach, back - size + length), left)
+    who, nth = B.ragged(np.maximum(np.minimum(back, length - right) - least + 1, 0))
     o = least[who] + nth
     start = base[who] + back[who] - o
     h = B.span_hashes(suffixes.prefix, start, start + length)
@@ -159,16 +174,12 @@ def repeated_windows(around: list[bytes], back: np.ndarray, many: np.ndarray, le
         texts_ = [data[s : s + length].tobytes() for s in start[own]]
         hit[own] = [texts_.count(t) > 1 for t in texts_]
     out: list[list[tuple[int, int]]] = [[] for _ in around]
-    for i in np.flatnonzero(many):
-        if size[i] >= length:
-            out[i] = [(-int(back[i]), int(size[i] - back[i]))]
     for i, before in zip(who[hit].tolist(), o[hit].tolist(), strict=True):
-        if not many[i]:
-            own = out[i]
-            if own and -before + length >= own[-1][0]:  # starts fall: each range touches the one before it or stands apart
-                own[-1] = (min(own[-1][0], -before), max(own[-1][1], length - before))
-            else:
-                own.append((-before, length - before))
+        own = out[i]
+        if own and -before + length >= own[-1][0]:  # starts fall: each range touches the one before it or stands apart
+            own[-1] = (min(own[-1][0], -before), max(own[-1][1], length - before))
+        else:
+            own.append((-before, length - before))
     return out
 
 
@@ -176,7 +187,8 @@ def _resolve(length: int, most: int):
     """For surroundings sorted by key: those with repeated windows, and the ranges these cover."""
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
-        found = repeated_windows([r["around"] for r in rows], np.array([r["back"] for r in rows], np.int64), np.array([r["n"] > 1 for r in rows], bool), length)
+        back, left, right = (np.array([r[c] for r in rows], np.int64) for c in ("back", "left", "right"))
+        found = repeated_windows([r["around"] for r in rows], back, length, left, right)
         kept = [(r["key"], r["digest"], f) for r, f in zip(rows, found, strict=True) if f]
         columns = [pa.array([k for k, _, _ in kept], pa.int64()), pa.array([d for _, d, _ in kept], pa.binary())]
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
@@ -196,20 +208,44 @@ def _resolve(length: int, most: int):
     return run
 
 
-def _window_hashes(length: int):
-    """Every window of the surroundings as two hashes, for grams with very many of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, digests, offs, h1, h2 = [], [], [], [], []
-            for r in batch.to_pylist():
-                text, back = r["around"], r["back"]
-                for s in range(len(text) - length + 1):
-                    d = hashlib.blake2b(text[s : s + length], digest_size=16).digest()
-                    keys.append(r["key"]), digests.append(r["digest"]), offs.append(s - back), h1.append(int.from_bytes(d[:8], "little", signed=True)), h2.append(int.from_bytes(d[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(offs, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["key", "digest", "low", "h1", "h2"])
+def ranges_of(groups: DataFrame, length: int, most: int) -> DataFrame:
+    """``key, digest, ranges`` of the different surroundings ``key, digest, back, around, left, right``.
 
-    return run
+    All surroundings of a group (``key``) agree in ``left`` bytes before the anchor and
+    ``right`` from it on, and the group stands for the windows that hold these. One of
+    more than ``most`` surroundings is split in two ways: of the rest of a window half,
+    rounded up, is before these bytes, or else more than the other half after them. What
+    the windows of a part can't reach is cut off, which makes most of its surroundings
+    equal; equal ones are settled, the others are a smaller problem of the same kind.
+    """
+    counts = groups.groupBy("key").agg(F.count("*").alias("different"))
+    small = groups.join(counts.where(F.col("different") <= most).select("key"), "key", "left_semi")
+    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length, 4096), "key long, digest binary, ranges array<struct<low: long, high: long>>")
+    large = written(groups.join(counts.where(F.col("different") > most).select("key"), "key", "left_semi"))
+    if large.isEmpty():
+        return found
+    slack = F.expr(f"{length} - left - right")
+    half = F.floor((slack + 1) / 2).cast("int")
+    parts = None
+    for side, left, right in (("l", F.col("left") + half, F.col("right")), ("r", F.col("left"), F.col("right") + slack - half + 1)):
+        part = large.withColumn("left_", left.cast("int")).withColumn("right_", right.cast("int")).where("back >= left_ AND length(around) - back >= right_")
+        part = part.withColumn("key_", F.xxhash64("key", F.lit(side), F.expr("substring(around, back - left_ + 1, left_ + right_)")))
+        part = part.withColumn("back_", F.expr(f"least(back, {length} - right_)"))
+        part = part.withColumn("around_", F.expr(f"substring(around, back - back_ + 1, back_ + {length} - left_)"))
+        part = part.withColumn("digest_", F.unhex(F.md5(F.concat("around_", F.col("back_").cast("string").cast("binary")))))
+        part = part.select(F.col("key").alias("parent"), F.col("digest").alias("parent_digest"), *(F.col(f"{c}_").alias(c) for c in ("key", "digest", "back", "around", "left", "right")))
+        parts = part if parts is None else parts.unionByName(part)
+    parts = written(parts)
+    distinct = written(parts.groupBy("key", "digest").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("back", "around", "left", "right"))))
+    more = ranges_of(distinct.drop("n"), length, most).unionByName(_whole(distinct.withColumn("ahead", F.length("around") - F.col("back")), length))
+    above = parts.select("key", "digest", "parent", "parent_digest").join(more, ["key", "digest"])
+    return found.unionByName(written(above.select(F.col("parent").alias("key"), F.col("parent_digest").alias("digest"), "ranges")))
+
+
+def _whole(distinct: DataFrame, length: int) -> DataFrame:
+    """Of surroundings that occur more than once, all of it."""
+    ranges = F.array(F.struct((-F.col("back")).cast("long").alias("low"), F.col("ahead").cast("long").alias("high")))
+    return distinct.where(f"n > 1 AND back + ahead >= {length}").select("key", "digest", ranges.alias("ranges"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,51 +267,34 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes that covers it starts anywhere
     else in the corpus too. Null and empty texts have no bytes; of equal rows of at
     least ``length`` bytes everything is removed; an empty table gives no rows;
-    other columns are ignored.
-
-    Grams with more than ``hot`` different surroundings are not gathered: their
-    windows are counted by Spark, by two hashes.
+    other columns are ignored. ``most``: surroundings that one sort takes; larger
+    groups are split first.
     """
-    context = docs.sparkSession.sparkContext
     named = texts(docs, id_col, text_col).withColumn("name", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long = named.where(F.octet_length("text") >= length).select("name", "text")
-    shared = long.mapInArrow(_grams(length, gram), "key long").groupBy("key").count().where("count > 1").select("key")
-    sent = context.broadcast(_filter(shared))
-    found = written(long.mapInArrow(_surroundings(length, gram, sent), "name binary, place long, key long, back int, digest binary, around binary"))
-    distinct = written(found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("back").alias("back"), F.first("around").alias("around")))
-    sizes = distinct.groupBy("key").agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
-    several = distinct.join(sizes.where(F.col("different") <= hot).select("key"), "key", "left_semi")
-    resolved = several.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length, 4096), "key long, digest binary, ranges array<struct<low: long, high: long>>")
-    crowded = distinct.join(sizes.where(F.col("different") > hot).select("key"), "key", "left_semi")
-    hashed = crowded.mapInArrow(_window_hashes(length), "key long, digest binary, low long, h1 long, h2 long")
-    again = hashed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    twice = crowded.where("n > 1").select("key", "digest", F.array(F.struct((-F.col("back")).cast("long").alias("low"), (F.length("around") - F.col("back")).cast("long").alias("high"))).alias("ranges")).where(F.col("ranges")[0]["high"] - F.col("ranges")[0]["low"] >= length)
-    parts = hashed.join(again, ["h1", "h2"]).select("key", "digest", F.array(F.struct("low", (F.col("low") + length).alias("high"))).alias("ranges")).unionByName(twice)
-    ranges = resolved.unionByName(parts).select("key", "digest", F.explode("ranges").alias("r"))
+    found = written(long.mapInArrow(_anchored(length, gram), "name binary, place long, key long, digest binary, back int, ahead int"))
+    # Grams that occur more than once, and whether all that surrounds them is the same.
+    shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
+    shared = written(shared.select("key", (F.col("lo") != F.col("hi")).alias("differ")))
+    met = found.join(shared, "key")
+    distinct = written(met.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("name", "place", "back", "ahead")).alias("one")))
+    one = distinct.select("key", "digest", "n", "differ", "one.*")
+    # Bytes of one of each of the different surroundings of a gram.
+    wanted = one.where("differ").groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
+    fetched = long.join(wanted, "name").groupBy("name").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
+    several = written(fetched.select("key", "digest", "back", "around", F.lit(0).alias("left"), F.lit(gram).alias("right")))
+    ranges = ranges_of(several, length, most).unionByName(_whole(one, length)).select("key", "digest", F.explode("ranges").alias("r"))
     placed = found.select("name", "place", "key", "digest").join(ranges, ["key", "digest"]).select("name", (F.col("place") + F.col("r.low")).alias("low"), (F.col("place") + F.col("r.high")).alias("high")).distinct()
     # Runs of touching ranges become one before they are gathered by text.
     in_order = Window.partitionBy("name").orderBy("low", "high")
     opens = F.coalesce(F.col("low") > F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     runs = placed.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order)).groupBy("name", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     spans = written(runs.groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
-    key = F.xxhash64("name")
-    has = context.broadcast(_filter(spans.select(key.alias("key"))))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            use = np.ones(batch.num_rows, bool)
-            for slot in _slots(batch.column("key").to_numpy().view(np.uint64)):
-                use &= (has.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "name", "text")), pa.array(use)], names=["doc_id", "name", "text", "use"])
-
-    # Only texts that may have spans are shuffled to them.
-    split = named.withColumn("key", key).mapInArrow(marked, "doc_id long, name binary, text string, use boolean")
-    touched = split.where("use").join(spans, "name", "left").select("doc_id", "text", "spans")
-    clean = split.where("NOT use").select("doc_id", "text", F.lit(None).cast("array<struct<low: long, high: long>>").alias("spans"))
-    return touched.unionByName(clean).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = named.join(spans, "name", "left").select("doc_id", "text", "spans")
+    return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
