@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in stages that are each written and read again."""
+"""From raw documents to packed training sequences, in stages that are each written and read again.
+
+Decisions are made by row, not by ``doc_id``: rows without an id, and different rows
+with one id, are judged each by its own text. An empty table stays empty, and columns
+that a table of documents has beyond the usual ones are carried along.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from fragsieve.llm.packing import pack
 from fragsieve.llm.queries import vocabulary
 from fragsieve.llm.secrets import redacted
 from fragsieve.llm.shipping import ship
-from fragsieve.llm.tables import written
+from fragsieve.llm.tables import scratch, written
 from fragsieve.llm.toxicity import without_toxic
 from fragsieve.llm.winnowing import decontaminate
 
@@ -21,18 +26,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key of each row, and that column's name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their word 5-grams (Jaccard similarity of 0.8 or more), the one with the least id stays."""
+    """Of each group of rows linked by their word 5-grams (Jaccard similarity of 0.8 or more), equal rows included, one stays:
+    that with the least id (null ids last), of equal ids the first row. Rows without words stay."""
     ship(spark)
-    dropped = ngram_join(docs, size=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = numbered(docs)
+    joined = ngram_join(rows.select(F.col(key).alias("doc_id"), "text"), size=5, percent=80)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
+    first = joined.join(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id").groupBy("component_id").agg(F.min(place).alias("first"))
+    kept = first.select(F.col("first.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go."""
+    """Rows that benchmark passages contaminate go."""
     ship(spark)
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(judged.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows, key = numbered(docs)
+    judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        # What a stage wrote on its way goes once its result is written.
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
