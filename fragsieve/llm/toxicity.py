@@ -4,7 +4,8 @@ A feature is the presence in a text of a character n-gram of a word. Its value i
 the log ratio of its smoothed shares among toxic and other labelled texts; a
 logistic regression is fitted on these values. Only features seen in several
 labelled texts and with a ratio away from zero are kept, so a text's score hangs
-on few sums.
+on few sums. The fit is a shrunken one, whose sums are too close to zero: slope and
+intercept of the final score are fitted to sums of texts that were left out.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
 
-def fit(rows: list[tuple[int, bytes]], share: float | None = None, rounds: int = 300, ridge: float = 0.02, least: int = 4, ratio: float = 0.7) -> Model:
-    """Fit on ``(label, buckets)``; ``share`` is that of label 1 where the rows are drawn from, if it differs from theirs."""
+def fit(rows: list[tuple[int, bytes]], rounds: int = 300, ridge: float = 5.0, least: int = 4, ratio: float = 0.7) -> Model:
+    """Fit on ``(label, buckets)``."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
@@ -76,13 +77,52 @@ def fit(rows: list[tuple[int, bytes]], share: float | None = None, rounds: int =
         rate = 0.02 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= rate * m / (np.sqrt(v) + 1e-12)
         b -= rate * mb / (np.sqrt(vb) + 1e-12)
-    if share is not None:
-        b += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     weights = np.zeros(BUCKETS, np.float32)
     weights[names] = w * scale
     return Model(weights, float(b))
 
 
+def line(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and intercept of the logistic fit of labels ``y`` to sums ``z``, by Newton's method; a prior of one text of each label on either side keeps them finite."""
+    edge = 1 + np.abs(z).max(initial=0)
+    z, y = np.r_[z, edge, edge, -edge, -edge], np.r_[y, 1, 0, 1, 0]
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        step = np.linalg.solve([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]], [((p - y) * z).sum(), (p - y).sum()])
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def sums(model: Model, rows: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.array([float(model.weights[np.frombuffer(b, "<i4")].sum()) for _, b in rows]) + model.intercept
+
+
+def calibrated(rows: list[tuple[int, bytes]], share: float | None = None, folds: int = 4) -> Model:
+    """The fit on all rows, on the scale that sums have for rows that were left out (every ``folds``-th of each label).
+
+    ``share`` is that of label 1 where the rows are drawn from, if it differs from theirs.
+    """
+    model, y = fit(rows), np.array([r[0] for r in rows], float)
+    if min(y.sum(), len(y) - y.sum()) < 2 * folds:
+        return model
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):
+        fold[y == label] = np.arange(int((y == label).sum())) % folds
+    z = np.zeros(len(y))
+    for k in range(folds):
+        z[fold == k] = sums(fit([r for r, f in zip(rows, fold, strict=True) if f != k]), [r for r, f in zip(rows, fold, strict=True) if f == k])
+    slope, intercept = line(z, y)
+    if slope <= 0:
+        return model
+    if share is not None:
+        intercept += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return Model((model.weights * slope).astype(np.float32), model.intercept * slope + intercept)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 5) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, those with the least hash of their id.
 
@@ -102,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int
     sample = docs.join(F.broadcast(drawn), "doc_id")
     rows = [(r["toxic"], bytes(r["buckets"])) for r in sample.mapInArrow(_features, "toxic int, buckets binary").toLocalIterator()]
     total = sum(counts.values())
-    return fit(rows, counts.get(1, 0) / total if total and 0 < counts.get(1, 0) < total else None)
+    return calibrated(rows, counts.get(1, 0) / total if total and 0 < counts.get(1, 0) < total else None)
 
 
 def _score(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -1,7 +1,13 @@
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from fragsieve.llm import bytespans as B
 from fragsieve.llm import langid, toxicity
 
 LANGS = {"xx": "ba da ga lo mi", "yy": "stra krü plö ßen sch", "zz": "ñez ción asa oie uel"}
@@ -58,3 +64,57 @@ def test_languages_without_any(spark):
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in langid.languages(none).collect()} == {("und", 0.0)}
     assert langid.languages(docs.where("false")).collect() == []
+
+
+def plain_grams(text, low, high, buckets):
+    """Buckets of all character n-grams of all words of a text, one at a time."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    for word in re.findall(rb"['0-9A-Za-z\x80-\xff]+", raw):
+        chars = [0x110000, *map(ord, word.decode()), 0x110000]
+        for n in range(low, high + 1):
+            for i in range(len(chars) - n + 1):
+                yield int(B.gram_hashes(np.array(chars[i : i + n], np.uint64), n)[0]) % buckets
+
+
+TEXTS = [None, "", "12 !!", "Das ist ein kürzerer Text's mit Wörtern", "plain words here, plain words there", "日本 語", "a", "Same TEXT", "same text", "ñ" * 300]
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(np.where(rng.random(toxicity.BUCKETS) < 0.5, rng.normal(0, 0.1, toxicity.BUCKETS), 0).astype(np.float32), -0.3)
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for r in toxicity.scores(df, model).collect():
+        z = -0.3 + sum(float(model.weights[b]) for b in set(plain_grams(TEXTS[r.doc_id], toxicity.LOW, toxicity.HIGH, toxicity.BUCKETS)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_predictions_equal_a_plain_scorer(spark):
+    rng = np.random.default_rng(2)
+    langs = ["aa", "bb", "cc"]
+    model = langid.Model(rng.normal(0, 3, (langid.BUCKETS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0]), langs, 0.7, np.array([0.4, 0.6, 0.5]))
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for r in langid.predictions(df, model).collect():
+        if not re.search(r"[^\W\d_]", TEXTS[r.doc_id] or ""):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+            continue
+        count = Counter(plain_grams(TEXTS[r.doc_id], langid.LOW, langid.HIGH, langid.BUCKETS))
+        z = [sum(c * float(model.values[b, k]) for b, c in count.items()) / count.total() + model.bias[k] for k in range(3)]
+        e = [math.exp((v - max(z)) / 0.7) for v in z]
+        best = max(range(3), key=lambda k: e[k])
+        assert r.lang_pred == langs[best] and r.score == pytest.approx(e[best] / sum(e), abs=1e-6) and r.accepted == (r.score >= model.needed[best])
+
+
+def test_rows_without_an_id_are_held_out(spark):
+    docs = spark.createDataFrame([(None, "ba da ga", "xx"), (1, "stra krü", "yy")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert {r.doc_id: r.held_out for r in toxicity.toxicity(docs, labels).collect()}[None] is True
+    assert {r.doc_id: r.held_out for r in langid.languages(docs).collect()}[None] is True
+
+
+def test_calibration_is_that_of_texts_left_out():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 1, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(3 * z - 1)))).astype(float)
+    slope, intercept = toxicity.line(z, y)
+    assert slope == pytest.approx(3, abs=0.4) and intercept == pytest.approx(-1, abs=0.3)
+    assert all(map(math.isfinite, toxicity.line(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))))
