@@ -10,7 +10,8 @@ compared again exactly, in double precision, on the original vectors.
 The codebooks are fitted on a bounded sample; every vector is encoded. Equal
 vectors are one entry of the index, with the least ids that a result can need.
 Blocks of queries meet blocks of codes: no vector is compared outside of them, and
-what a task holds is bounded by one block of each.
+what a task holds is bounded by one block of each. Vectors of different dimensions
+never meet: each dimension has its own index.
 """
 
 from __future__ import annotations
@@ -122,7 +123,10 @@ def _blocks(block: int):
 
 
 def _scorer(books: object, short: int):
-    """For rows sorted by query block and shard group: the ``short`` best candidates of each query over a group."""
+    """For rows sorted by query block, shard group and ``coded``: the ``short`` best candidates of each query over a group.
+
+    A group's first row has the queries, the others have codes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, query_ids, table, best, best_ids = None, None, None, None, None
@@ -138,10 +142,12 @@ def _scorer(books: object, short: int):
                     if key is not None:
                         yield out()
                     key = row["query_block"], row["shards"]
+                    assert not row["coded"]
                     query_ids = np.frombuffer(row["query_ids"], "<i8")
                     q = np.frombuffer(row["queries"], "<f4").reshape(-1, d)
                     table = np.einsum("qd,mkd->mkq", q, books.value.books, optimize=True).astype(np.float32)
                     best, best_ids = np.full((len(q), 0), -np.inf, np.float32), np.zeros((len(q), 0), np.int64)
+                    continue
                 ids, codes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
                 norm, fitted = np.frombuffer(row["norms"], "<f4"), np.frombuffer(row["fitted"], "<f4")
                 score = table[0][codes[:, 0]]
@@ -166,20 +172,27 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return v.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, books: int = 24, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 192, block: int = 4096, query_block: int = 256, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **more: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
-    Vectors that are null, zero or hold null or non-finite components take no part,
-    nor do those whose dimension isn't the most frequent one (of equals the
-    largest). Ties go to the smaller id. Rows with one id count once. With at most
-    ``short`` distinct candidates the result is exact; an empty table, or a single
-    vector, gives no rows; other columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components take no part.
+    Those of another dimension have no inner product with a query and are no
+    candidates of it; each dimension is searched by itself. Ties go to the smaller
+    id. Rows with one id count once, with the least vector. With few distinct
+    candidates the result is exact; an empty table, or a single vector, gives no
+    rows; other columns are ignored. ``more``: parameters of ``search_one``.
     """
-    spark = rows.sparkSession
     vectors = written(usable(rows, id_col, vector_col))
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = sizes[0]["d"] if sizes else 1
-    vectors = vectors.where(F.size("embedding") == d)
+    found = None
+    for size in vectors.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():
+        own = search_one(vectors.where(F.size("embedding") == size["d"]), size["d"], every, k, **more)
+        found = own if found is None else found.unionByName(own)
+    return search_one(vectors, 1, every, k, **more) if found is None else found
+
+
+def search_one(vectors: DataFrame, d: int, every: int, k: int, books: int = 24, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 192, block: int = 2048, query_block: int = 1024, group: int = 16) -> DataFrame:
+    """The search among vectors of one dimension: codebooks are fitted on ``sample`` of them, all are encoded. With at most ``short`` distinct candidates the result is exact."""
+    spark = vectors.sparkSession
     # A result needs at most k + 1 ids of one vector; row_number() up to that is cut in each task before the shuffle.
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     entries = written(
@@ -187,20 +200,20 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, books: int = 24, codes
         .groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
         .withColumn("rep", F.col("vec_ids")[0])
     )
-    drawn = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()["embedding"]
-    trained = spark.sparkContext.broadcast(fit(np.array(drawn.tolist(), float).reshape(-1, d), books, codes, beam))  # a fixed size
+    drawn = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
+    trained = spark.sparkContext.broadcast(fit(np.array(drawn, float).reshape(-1, d), books, codes, beam))  # a fixed size
     shards = written(entries.select(F.col("rep").alias("vec_id"), "embedding").mapInArrow(_encoder(trained, beam, block), "shard long, ids binary, codes binary, norms binary, fitted binary"))
     queries = vectors.where(F.col("vec_id") % every == 0)
     asked = written(queries.mapInArrow(_blocks(query_block), "query_block long, query_ids binary, queries binary"))
-    # Every block of queries against every block of codes, as an equi-join on the query block.
+    # Every block of queries against every group of blocks of codes, as rows of one key; the queries are sent once for each.
     all_blocks = asked.select(F.collect_list("query_block").alias("all"))
-    grouped = shards.withColumn("shards", F.pmod(F.hash("shard"), F.lit(group)))
-    met = (
-        grouped.join(F.broadcast(all_blocks)).withColumn("query_block", F.explode("all")).drop("all")
-        .join(asked, "query_block")
-        .repartition("query_block", "shards").sortWithinPartitions("query_block", "shards")
-        .select("query_block", "shards", "query_ids", "queries", "ids", "codes", "norms", "fitted")
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    coded = (
+        shards.withColumn("shards", F.pmod(F.hash("shard"), F.lit(group))).join(F.broadcast(all_blocks))
+        .select(F.explode("all").alias("query_block"), "shards", F.lit(True).alias("coded"), *none("query_ids", "queries"), "ids", "codes", "norms", "fitted")
     )
+    sent = asked.select("query_block", F.explode(F.sequence(F.lit(0), F.lit(group - 1))).alias("shards"), F.lit(False).alias("coded"), "query_ids", "queries", *none("ids", "codes", "norms", "fitted"))
+    met = coded.unionByName(sent).repartition("query_block", "shards").sortWithinPartitions("query_block", "shards", "coded")
     found = met.mapInArrow(_scorer(trained, short), "query_id long, rep long, near double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
     listed = found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= short).select("query_id", "rep")

@@ -45,3 +45,11 @@ def test_few_or_no_rows(spark):
     assert search(table(spark, [(0, [1.0])]).where("false")).collect() == []
     assert search(table(spark, [(0, [1.0, 2.0])])).collect() == []
     assert [tuple(r) for r in search(table(spark, [(0, [1.0, 2.0]), (1, [3.0, 1.0])])).collect()] == [(0, 1, 1, 5.0)]
+
+
+def test_each_dimension_is_searched_by_itself(spark):
+    two, three = [(i, [float(i + 1), 1.0]) for i in range(40)], [(100 + i, [1.0, float(i), 2.0]) for i in range(30)]
+    got = {}
+    for r in search(table(spark, two + three)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(two, 20, 20) | brute(three, 20, 20) and len(got) == 4
