@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytespans as B
 from .components import components
-from .tables import texts, written
+from .tables import scratch, texts, written
 
 #: All bytes but \\x20 and \\x09-\\x0D (fixed values).
 MEMBER = ~B.byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -364,7 +364,7 @@ def _met(members: DataFrame, rows: DataFrame, size: int, bound: int, block: bool
     return met.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side", "id", "piece").select("g1", "g2", "side", "id", "root", "n", "grams")
 
 
-def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000, bound: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16, often: int = 8, most: int = 200_000, bound: int = 200_000, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two rows link if 100 * shared shingles >= ``percent`` * all shingles of both.
@@ -377,10 +377,17 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, thin: int = 16
     (one in ``thin`` occurrences, over all rows) reach ``often`` come last in the
     order of columns; at most the ``most`` most frequent are treated so, which
     bounds what is broadcast. Up to ``bound`` members of groups are broadcast to
-    the texts that give their sets; more are joined by a shuffle.
+    the texts that give their sets; more are joined by a shuffle. ``keyed`` tells
+    that ids are unique and not null, and ``docs`` a table: texts are then read
+    from it again instead of being written with a key of each row.
     """
+    with scratch(docs.sparkSession):
+        return written(_joined(texts(docs, id_col, text_col), size, percent, thin, often, most, bound, keyed), keep=True)
+
+
+def _joined(docs: DataFrame, size: int, percent: int, thin: int, often: int, most: int, bound: int, keyed: bool) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    rows = written(texts(docs, id_col, text_col).mapInArrow(_numbered, "id long, doc_id long, text string"))
+    rows = docs.select(F.col("doc_id").alias("id"), "doc_id", "text") if keyed else written(docs.mapInArrow(_numbered, "id long, doc_id long, text string"))
     signed = written(rows.mapInArrow(_signed(size, thin), "id long, doc_id long, n long, s1 long, s2 long, some array<long>"))
     classes = written(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")))
     counted = signed.select(F.explode("some").alias("key")).groupBy("key").count().where(F.col("count") >= often)
