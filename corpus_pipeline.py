@@ -26,32 +26,47 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs``, written with a key of each row, and that column's name."""
+#: Keys that are broadcast to the rows that they pick, at most; more are joined by a shuffle.
+BROADCAST = 200_000
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells all rows apart: ``doc_id``, or a key of each row, with which they are written, if ids are missing or repeated."""
+    ids = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        return docs, "doc_id"
     key = "row_key"
     while key in docs.columns:
         key += "_"
     return written(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` less those whose ``key`` is in ``dropped``."""
+    dropped = written(dropped)
+    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped, key, "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows linked by their word 5-grams (Jaccard similarity of 0.8 or more), equal rows included, one stays:
     that with the least id (null ids last), of equal ids the first row. Rows without words stay."""
     ship(spark)
-    rows, key = numbered(docs)
-    joined = ngram_join(rows.select(F.col(key).alias("doc_id"), "text"), size=5, percent=80)
-    place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
-    first = joined.join(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id").groupBy("component_id").agg(F.min(place).alias("first"))
-    kept = first.select(F.col("first.row").alias(key))
-    return rows.join(kept, key, "left_semi").select(*docs.columns)
+    rows, key = keyed(docs)
+    joined = ngram_join(rows.select(F.col(key).cast("long").alias("doc_id"), "text"), size=5, percent=80, keyed=True)
+    named = joined.join(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id") if key != "doc_id" else joined.withColumn("id", F.col("doc_id"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = named.join(first.select("component_id", F.col("first.row").alias("row")), "component_id").where("doc_id <> row").select(F.col("doc_id").alias(key))
+    return without(rows, dropped, key).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that benchmark passages contaminate go."""
     ship(spark)
-    rows, key = numbered(docs)
-    judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    with scratch(spark):
+        judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        dropped = written(judged.where("contaminated").select(F.col("doc_id").alias(key)), keep=True)
+    return without(rows, dropped, key).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,16 +41,16 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and values that depend on the partitioning (row keys) stay as they are.
-    The files are removed when the ``scratch()`` around the call ends, unless
-    ``keep``, or else when the driver's JVM ends.
+    The files are removed when the ``scratch()`` around the call ends (with
+    ``keep``: the one around that), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fragsieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
     target, system = _place(spark, path)
     system.deleteOnExit(target)
-    if _open and not keep:
-        _open[-1].append(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
