@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ def stages(shortest: int) -> list[int]:
     return sorted(set(found), reverse=True)
 
 
-def best_hits(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def best_hits(corpus: DataFrame, queries: DataFrame, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Hits of the first stage that has any for a query id; queries that leave are not searched again.
 
-    Every stage is written, so that plans don't grow with the number of stages.
+    Every stage is written, so that plans don't grow with the number of stages;
+    with an ``index`` it is a lookup.
     """
     left, found = written(queries), None
 
@@ -29,7 +32,7 @@ def best_hits(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
     def stage(k: int, most: int) -> None:
         nonlocal left, found
-        hits = written(search(corpus, left, k, most))
+        hits = written(search(corpus, left, k, most, index))
         ids = left.join(hits.select("qrow").distinct(), "qrow").select("query_id").distinct()
         found = hits if found is None else found.unionByName(hits)
         left = written(left.join(ids, "query_id", "left_anti").select("qrow", "query_id", "seq"))

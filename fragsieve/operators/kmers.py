@@ -27,6 +27,14 @@ def kmers(blocked: DataFrame, k: int) -> DataFrame:
     return with_last.select("protein_num", "plen", "c0", "chunk", F.expr("explode(sequence(b0, last))").alias("pos")).withColumn("kmer", F.expr(f"substr(chunk, pos - c0 + 1, {k})"))
 
 
+def kmers_among(blocked: DataFrame, k: int, wanted: list[str]) -> DataFrame:
+    """Those rows of ``kmers`` whose k-mer is in the list: positions are sorted out inside each block, before any becomes a row."""
+    last = F.least(F.col("b0") + (BLOCK - 1), F.col("plen") - k)
+    names = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in wanted) or "NULL"
+    found = F.expr(f"filter(transform(sequence(b0, last), p -> named_struct('pos', p, 'kmer', substr(chunk, p - c0 + 1, {k}))), x -> x.kmer IN ({names}))")
+    return blocked.withColumn("last", last).where("last >= b0").select("protein_num", "plen", "c0", "chunk", F.explode(found).alias("x")).select("protein_num", "plen", "c0", "chunk", "x.pos", "x.kmer")
+
+
 def offsets(k: int, how: str) -> Column:
     """Seed offsets of ``seq``: ``anchor`` (the first), ``mismatch`` (blocks if k divides the length, else all), ``coverage`` (blocks and the last)."""
     size = F.length("seq")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import blocks, kmers, seeds
+from .kmers import blocks, kmers, kmers_among, seeds
 
 #: Seeds up to this number are broadcast; beyond, the seed join is a shuffle.
 BROADCAST_SEEDS = 500_000
+#: Different seeds (or positions) up to this number are part of the plan, so that other k-mers never become rows.
+LISTED_SEEDS = 10_000
 HIT = ["qrow", "protein_num", "st", "matched", "edits", "mutated"]
 
 
@@ -25,18 +29,31 @@ def _longest(queries: DataFrame) -> int:
     return queries.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
-def _seed_join(corpus: DataFrame, queries: DataFrame, k: int, how: str, halo: int) -> DataFrame:
+def _seed_join(corpus: DataFrame, queries: DataFrame, k: int, how: str, halo: int, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
+    """Seeds and their places: from an index of k-mers, or else from the sequences in blocks."""
     wanted = seeds(queries, k, how)
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
-    return kmers(blocks(corpus, halo), k).join(wanted, "kmer")
-
-
-def search(corpus: DataFrame, queries: DataFrame, k: int, max_mismatches: int = 0) -> DataFrame:
+    number = wanted.count()
+    listed = None
+    if number <= BROADCAST_SEEDS:
+        few = wanted.select("kmer").distinct().limit(LISTED_SEEDS + 1).collect()
+        listed = sorted(r["kmer"] for r in few) if len(few) <= LISTED_SEEDS else None
+        wanted = F.broadcast(wanted)
+    if index is not None:
+        places = index(k)
+        places = places.where(F.col("kmer").between(listed[0], listed[-1])) if listed else places
+        whole = corpus.select("protein_num", F.length("sequence").alias("plen"), F.lit(0).alias("c0"), F.col("sequence").alias("chunk"))
+        return places.join(wanted, "kmer").join(whole, "protein_num")
+    blocked = blocks(corpus, halo)
+    return (kmers(blocked, k) if listed is None else kmers_among(blocked, k, listed)).join(wanted, "kmer")
+
+
+def search(corpus: DataFrame, queries: DataFrame, k: int, max_mismatches: int = 0, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Hits with at most ``max_mismatches`` substitutions and at least one intact seed, within one sequence.
 
-    ``edits`` is the number of substitutions, ``st`` the 0-based start.
+    ``edits`` is the number of substitutions, ``st`` the 0-based start. ``index`` gives
+    the table of all k-mers for a k; without it the sequences themselves are read.
     """
-    met = _seed_join(corpus, queries, k, "mismatch" if max_mismatches else "anchor", _longest(queries) + 1)
+    met = _seed_join(corpus, queries, k, "mismatch" if max_mismatches else "anchor", _longest(queries) + 1, index)
     placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen")
     windows = placed.withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
     if not max_mismatches:
@@ -46,10 +63,10 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, max_mismatches: int =
     return once.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
 
 
-def indel_search(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def indel_search(corpus: DataFrame, queries: DataFrame, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Hits that equal the query, or lack one of its inner characters, or have one more inside."""
     shortest = queries.agg(F.min(F.length("seq"))).first()[0] or 0
-    met = _seed_join(corpus, queries, max(2, shortest // 2), "coverage", _longest(queries) + 2)
+    met = _seed_join(corpus, queries, max(2, shortest // 2), "coverage", _longest(queries) + 2, index)
     tries = """explode(array(
         named_struct('st', pos - off, 'size', length(seq)), named_struct('st', pos - off, 'size', length(seq) - 1), named_struct('st', pos - off + 1, 'size', length(seq) - 1),
         named_struct('st', pos - off, 'size', length(seq) + 1), named_struct('st', pos - off - 1, 'size', length(seq) + 1)))"""
@@ -83,7 +100,12 @@ def discontinuous_search(corpus: DataFrame, anchored: DataFrame, max_mismatches:
     free = F.size(few) <= max_mismatches
     keys = F.when(free, F.array(F.struct(F.lit("").alias("residue"), F.lit(1).alias("pos")))).otherwise(F.slice(few, 1, max_mismatches + 1))
     wanted = anchored.select("qrow", "residues", F.explode(keys).alias("key")).select("qrow", "residues", F.col("key.residue").alias("residue"), F.col("key.pos").alias("at"))
-    letters = kmers(blocks(corpus, 0), 1).select("protein_num", F.col("kmer").alias("residue"), (F.col("pos") + 1).alias("at"))
+    asked = [r["at"] for r in wanted.select("at").distinct().limit(LISTED_SEEDS + 1).collect()]
+    if len(asked) <= LISTED_SEEDS:
+        at = f"filter(CAST(array({', '.join(map(str, sorted(asked)))}) AS array<int>), p -> p BETWEEN 1 AND length(sequence))"
+        letters = corpus.select("protein_num", F.expr(f"explode(transform({at}, p -> named_struct('residue', substr(sequence, p, 1), 'at', p)))").alias("x")).select("protein_num", "x.residue", "x.at")
+    else:
+        letters = kmers(blocks(corpus, 0), 1).select("protein_num", F.col("kmer").alias("residue"), (F.col("pos") + 1).alias("at"))
     letters = letters.unionByName(corpus.where("length(sequence) > 0").select("protein_num", F.lit("").alias("residue"), F.lit(1).alias("at")))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
     met = letters.join(wanted, ["residue", "at"]).select("qrow", "residues", "protein_num").distinct()

@@ -69,8 +69,8 @@ class Matcher:
 
     def _linear(self, corpus: DataFrame, meta: DataFrame) -> DataFrame:
         if self.indels:
-            return result_frame(self.linear, S.indel_search(corpus, self.linear), meta, "Indels", self.version)
-        hits = best.best_hits(corpus, self.linear) if self.auto else S.search(corpus, self.linear, self.k, self.mismatches)
+            return result_frame(self.linear, S.indel_search(corpus, self.linear, self.index.kmers), meta, "Indels", self.version)
+        hits = best.best_hits(corpus, self.linear, self.index.kmers) if self.auto else S.search(corpus, self.linear, self.k, self.mismatches, self.index.kmers)
         if not self.best:
             return result_frame(self.linear, hits, meta, version=self.version)
         # Hits decide for a query id as a whole; without any hit each query row stays.
@@ -87,7 +87,7 @@ class Matcher:
         if self.counts:
             if not self.anchored.isEmpty():
                 log.warning("position-anchored queries are not counted")
-            return S.counts(S.search(corpus, self.linear, self.k, self.mismatches), self.linear)
+            return S.counts(S.search(corpus, self.linear, self.k, self.mismatches, self.index.kmers), self.linear)
         parts = []
         if not self.linear.isEmpty():
             parts.append(self._linear(corpus, meta))

@@ -17,6 +17,7 @@ from ..functions import headers as H
 from ..operators import best_match as best
 from ..operators import kmers as K
 from ..operators import search as S
+from ..sources.shared import spread
 
 LOW, UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,7 +31,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select(F.col("doc_id").alias("protein_num"), _letters("text").alias("sequence"))
+    return spread(_read(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("protein_num"), _letters("text").alias("sequence"))
 
 
 def _items(spark: SparkSession, sf: str, seq: str, size: int) -> DataFrame:
