@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Modulus of prefix hashes, a prime: powers of two have structured collisions.
 PRIME = (1 << 61) - 1
 _BASE = 0x1E3779B97F4A7C15 % PRIME

@@ -27,7 +27,7 @@ from . import pretokens as P
 from .tables import texts, written
 
 #: Bytes of distinct pre-tokens whose ids a worker remembers, at most (and those of one block).
-REMEMBERED = 1 << 22
+REMEMBERED = 1 << 21
 
 
 class Encoder:

@@ -24,7 +24,7 @@ from . import pretokens as P
 from .tables import texts
 
 #: Bytes of distinct pre-tokens whose counts a worker remembers, at most (and those of one block).
-REMEMBERED = 1 << 23
+REMEMBERED = 1 << 21
 #: Rank of a pair that no merge knows.
 _NEVER = np.int64(1) << 40
 
