@@ -27,7 +27,7 @@ from . import pretokens as P
 from .tables import texts, written
 
 #: Bytes of distinct pre-tokens whose ids a worker remembers, at most (and those of one block).
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 22
 
 
 class Encoder:
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int = 0) -> Data
         from pyspark import TaskContext
 
         model, part_id, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
-        for part, data, offs in B.blocks(batches, size=2 * B.BLOCK):
+        for part, data, offs in B.blocks(batches, size=4 * B.BLOCK):
             segs, doc, before = P.segments(part.column("text"), model.special)
             if segs is not None:
                 data, offs = B.utf8(pa.array(segs, pa.large_string()))
