@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -38,5 +39,15 @@ def main(args: list[str] | None = None) -> None:
         found.show(truncate=False)
 
 
+def preprocess() -> None:
+    """The installed command ``fragsieve-preprocess``."""
+    main(["preprocess", *sys.argv[1:]])
+
+
+def match() -> None:
+    """The installed command ``fragsieve-match``."""
+    main(["match", *sys.argv[1:]])
+
+
 if __name__ == "__main__":
     main()
