@@ -13,6 +13,8 @@ arrays are folded by chunks, so that the work grows with the length of a text.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,30 +67,31 @@ def _positions(placed: str, kind: int) -> str:
     return _scanned(placed, "0", "$at + m.gap + m.size", f"named_struct('start', $at + m.gap, 'kind', {kind}, 'stop', $at + m.gap + m.size)", "m.keep", _SPAN)
 
 
-def _xlogx(c: str) -> str:
-    return f"CASE WHEN {c} > 1 THEN {c} * log2({c}) ELSE 0D END"
-
-
 def _entropy(codes: str, window: int, bits: str) -> str:
-    """First start and last stop, in the candidate of these ``codes`` (places in the alphabet), of windows with at least ``bits``; (-1, -1) if none has."""
+    """First start and last stop, in the candidate of these ``codes`` (places in the alphabet), of windows with at least ``bits``; (-1, -1) if none has.
+
+    A step judges the window that ends before its character, so that each new value is used once.
+    """
     count = lambda code: f"(ascii(substr(a.counts, {code}, 1)) - 65)"
-    enter, leave = f"{codes}[i - 1]", f"CASE WHEN i > {window} THEN {codes}[i - {window + 1}] ELSE 0 END"
-    entered = "overlay(a.counts PLACING chr(p.ce + 66) FROM p.enter FOR 1)"
+    xlogx = [n * log2(n) if n else 0.0 for n in range(window + 1)]
+    rise = "array(" + ", ".join(f"{y - x!r}D" for x, y in zip(xlogx, xlogx[1:], strict=False)) + ")"  # of the sum, from n to n + 1
+    enter, leave = f"{codes}[i - 1]", f"{codes}[i - {window + 1}]"
+    entered = f"overlay(a.counts PLACING chr({count(enter)} + 66) FROM {enter} FOR 1)"
+    moved = f"overlay({entered} PLACING chr({count(leave)} + 64) FROM {leave} FOR 1)"
+    dense = lambda end: f"{end} >= {window} AND log2({window}) - a.total / {window} >= {bits}"
+    first = lambda end: f"CASE WHEN a.first < 0 AND {dense(end)} THEN {end} - {window} ELSE a.first END"
+    last = lambda end: f"CASE WHEN {dense(end)} THEN {end} ELSE a.last END"
     return f"""
     aggregate(
       sequence(1, size({codes})),
       named_struct('counts', repeat('A', {len(ALPHABET)}), 'total', 0D, 'first', -1, 'last', -1),
-      (a, i) -> transform(transform(transform(array(named_struct('enter', {enter}, 'leave', {leave})),
-          p -> named_struct('enter', p.enter, 'leave', p.leave, 'ce', {count("p.enter")}, 'cl', CASE WHEN p.leave > 0 THEN {count("p.leave")} ELSE 0 END)),
-          p -> named_struct(
-            'counts', CASE WHEN p.enter = p.leave THEN a.counts WHEN p.leave = 0 THEN {entered} ELSE overlay({entered} PLACING chr(p.cl + 64) FROM p.leave FOR 1) END,
-            'total', CASE WHEN p.enter = p.leave THEN a.total ELSE a.total
-              + ({_xlogx('(p.ce + 1)')}) - ({_xlogx('p.ce')})
-              + CASE WHEN p.leave = 0 THEN 0D ELSE ({_xlogx('(p.cl - 1)')}) - ({_xlogx('p.cl')}) END END)),
-        n -> named_struct('counts', n.counts, 'total', n.total,
-          'first', CASE WHEN a.first < 0 AND i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN i - {window} ELSE a.first END,
-          'last', CASE WHEN i >= {window} AND log2({window}) - n.total / {window} >= {bits} THEN i ELSE a.last END))[0],
-      a -> named_struct('first', a.first, 'last', a.last))"""
+      (a, i) -> named_struct(
+        'counts', CASE WHEN i <= {window} THEN {entered} WHEN {enter} = {leave} THEN a.counts ELSE {moved} END,
+        'total', CASE WHEN i <= {window} THEN a.total + {rise}[{count(enter)}] WHEN {enter} = {leave} THEN a.total
+          ELSE a.total + {rise}[{count(enter)}] - {rise}[{count(leave)} - 1] END,
+        'first', {first("(i - 1)")},
+        'last', {last("(i - 1)")}),
+      a -> named_struct('first', {first(f"size({codes})")}, 'last', {last(f"size({codes})")}))"""
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", window: int = 20, allowed: list[str] = ALLOWED) -> DataFrame:
@@ -102,7 +105,7 @@ def with_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", wi
     mark = "__"
     while any(c.lower().startswith(mark) for c in df.columns):
         mark += "_"
-    text, candidates, base, more = (f"{mark}{c}" for c in ("text", "candidates", "base", "more"))
+    text, candidates, base, more, every = (f"{mark}{c}" for c in ("text", "candidates", "base", "more", "every"))
     last = len(KINDS)
     patterns = [(p, keep.replace(f"r'''{ASSIGN}'''", _sql_string(ASSIGN))) for _, p, keep in KINDS]
     suspect = " AND ".join(f"NOT x RLIKE {_sql_string(f'^(?:{p})$')}" for p in allowed) or "true"
@@ -116,18 +119,17 @@ def with_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", wi
     found = "named_struct('start', $at + m.gap, 'text', m.x)"
     made = made.withColumn(candidates, F.expr(_scanned(f"{mark}placed{last}", "0", "$at + m.gap + m.size", found, "m.keep", "struct<start: int, text: string>")))
     bits = f"CASE WHEN x.text RLIKE '^[0-9a-fA-F]+$' THEN {BITS['hex']}D ELSE {BITS['other']}D END"
-    # Characters are taken from pieces of a candidate, as a place in a long string is found by walking to it.
-    piece = f"transform(array(substr(x.text, CAST(j * 256 + 1 AS int), 256)), y -> transform(sequence(1, length(y)), i -> instr({_sql_string(ALPHABET)}, substr(y, i, 1))))[0]"
-    codes = f"flatten(transform(sequence(0, (length(x.text) - 1) div 256), j -> {piece}))"
+    codes = f"transform(split(x.text, ''), c -> instr({_sql_string(ALPHABET)}, c))"
     coded = f"transform({candidates}, x -> named_struct('start', x.start, 'bits', {bits}, 'codes', {codes}))"
     ranged = f"transform({coded}, x -> named_struct('start', x.start, 'range', {_entropy('x.codes', window, 'x.bits')}))"
     spans = f"transform(filter({ranged}, r -> r.range.first >= 0), r -> named_struct('start', r.start + r.range.first, 'kind', {last}, 'stop', r.start + r.range.last))"
     made = made.withColumn(more, F.expr(f"CASE WHEN size({candidates}) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE {spans} END"))
     # In order of starts, an entropy span lies in one of another kind if one before it reaches as far.
-    every = f"array_sort(concat({base}, {more}))"
+    # The sorted array is a column, so that it is made once and not for each chunk.
+    made = made.withColumn(every, F.expr(f"array_sort(concat({base}, {more}))"))
     outside = _scanned(every, "0", f"CASE WHEN m.kind < {last} THEN greatest($at, m.stop) ELSE $at END", "m", f"m.kind < {last} OR m.stop > $at", _SPAN)
-    result = F.expr(f"CASE WHEN size({more}) = 0 THEN array_sort({base}) ELSE {outside} END")
-    own = [text, candidates, base, more, *(f"{mark}{c}{k}" for c in ("found", "placed") for k in range(last + 1))]
+    result = F.expr(f"CASE WHEN size({more}) = 0 THEN {every} ELSE {outside} END")
+    own = [text, candidates, base, more, every, *(f"{mark}{c}{k}" for c in ("found", "placed") for k in range(last + 1))]
     return made.withColumn(out_col, result).drop(*own)
 
 
