@@ -31,6 +31,19 @@ def result_frame(queries: DataFrame, hits: DataFrame, meta: DataFrame, edit: str
     return full.select(*columns, *(["protein_num"] if keep_num else []))
 
 
+def best_frame(queries: DataFrame, hits: DataFrame, meta: DataFrame, version: bool = True, by_id: bool = True) -> DataFrame:
+    """The result with the best hit only: hits decide for a query id as a whole.
+
+    Without any hit each query row stays; with ``by_id`` only if no other row of its id has one.
+    """
+    full = result_frame(queries, hits, meta, version=version, keep_num=True)
+    hit = F.col("Matched Sequence").isNotNull()
+    missed = full.where(~hit)
+    if by_id:
+        missed = missed.join(full.where(hit).select("Query ID").distinct(), "Query ID", "left_anti").select(*full.columns)
+    return best.pick(full.where(hit)).unionByName(missed).drop("protein_num")
+
+
 class Preprocessor:
     """Builds the tables of a corpus file for one k."""
 
@@ -73,13 +86,7 @@ class Matcher:
         hits = best.best_hits(corpus, self.linear, self.index.kmers) if self.auto else S.search(corpus, self.linear, self.k, self.mismatches, self.index.kmers)
         if not self.best:
             return result_frame(self.linear, hits, meta, version=self.version)
-        # Hits decide for a query id as a whole; without any hit each query row stays.
-        full = result_frame(self.linear, hits, meta, version=self.version, keep_num=True)
-        hit = F.col("Matched Sequence").isNotNull()
-        missed = full.where(~hit)
-        if self.auto:
-            missed = missed.join(full.where(hit).select("Query ID").distinct(), "Query ID", "left_anti").select(*full.columns)
-        return best.pick(full.where(hit)).unionByName(missed).drop("protein_num")
+        return best_frame(self.linear, hits, meta, self.version, self.auto)
 
     def frame(self) -> DataFrame:
         """The result, not written."""

@@ -36,6 +36,14 @@ def _place(spark: SparkSession, path: str) -> tuple[object, object]:
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/fragsieve/{uuid.uuid4().hex}"
+    target, system = _place(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
