@@ -267,27 +267,32 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 20_000, share: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes that covers it starts anywhere
     else in the corpus too. Null and empty texts have no bytes; of equal rows of at
     least ``length`` bytes everything is removed; an empty table gives no rows;
     other columns are ignored. ``most``: surroundings that one sort takes; larger
-    groups are split first.
+    groups are split first. ``share``: grams with more than one of so many anchors
+    are counted before they are shuffled; this changes the plan only.
     """
     named = texts(docs, id_col, text_col).withColumn("name", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long = named.where(F.octet_length("text") >= length).select("name", "text")
     found = written(long.mapInArrow(_anchored(length, gram), "name binary, place long, key long, digest binary, back int, ahead int"))
     # Grams that occur more than once, and whether all that surrounds them is the same.
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
-    shared = written(shared.select("key", (F.col("lo") != F.col("hi")).alias("differ")))
-    met = found.join(shared, "key")
-    distinct = written(met.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("name", "place", "back", "ahead")).alias("one")))
-    one = distinct.select("key", "digest", "n", "differ", "one.*")
-    # Bytes of one of each of the different surroundings of a gram.
+    shared = written(shared.select("key", "n", (F.col("lo") != F.col("hi")).alias("differ")))
+    # Fewer than ``share`` grams can hold more than that part of all anchors: they are broadcast, and their
+    # anchors meet by gram and digest, counted where they are read. All others are joined by a shuffle.
+    often = F.col("n") > found.count() / share
+    hot, others = F.broadcast(shared.where(often).select("key", "differ")), shared.where(~often).select("key", "differ")
+    places = [F.first(c).alias(c) for c in ("differ", "name", "place", "back", "ahead")]
+    parts = [met.groupBy("key", "digest").agg(F.count("*").alias("n"), *places) for met in (found.join(hot, "key"), found.join(hot, "key", "left_anti").join(others, "key"))]
+    one = written(parts[0].unionByName(parts[1]))
+    # Bytes of one of each of the different surroundings of a gram; of equal texts one is sent.
     wanted = one.where("differ").groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
-    fetched = long.join(wanted, "name").groupBy("name").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
+    fetched = long.groupBy("name").agg(F.first("text").alias("text")).join(wanted, "name").select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
     several = written(fetched.select("key", "digest", "back", "around", F.lit(0).alias("left"), F.lit(gram).alias("right")))
     ranges = ranges_of(several, length, most).unionByName(_whole(one, length)).select("key", "digest", F.explode("ranges").alias("r"))
     placed = found.select("name", "place", "key", "digest").join(ranges, ["key", "digest"]).select("name", (F.col("place") + F.col("r.low")).alias("low"), (F.col("place") + F.col("r.high")).alias("high")).distinct()

@@ -44,11 +44,11 @@ def corpus(seed):
     return list(enumerate(docs)) + [(7, base), (None, passages[3])]
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
-def test_equals_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "share"), [(20_000, 2_000), (3, 50)])
+def test_equals_brute_force(spark, most, share):
     for seed in (1, 2)[: 2 if most > 3 else 1]:
         docs = corpus(seed)
-        assert run(spark, docs, length=40, gram=12, most=most) == brute(docs, 40)
+        assert run(spark, docs, length=40, gram=12, most=most, share=share) == brute(docs, 40)
 
 
 def test_production_length_and_no_rows(spark):
