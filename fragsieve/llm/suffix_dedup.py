@@ -280,18 +280,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int
     named = texts(docs, id_col, text_col).withColumn("name", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long = named.where(F.octet_length("text") >= length).select("name", "text")
     found = written(long.mapInArrow(_anchored(length, gram), "name binary, place long, key long, digest binary, back int, ahead int"))
-    # Grams that occur more than once, and whether all that surrounds them is the same.
-    shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
-    shared = written(shared.select("key", "n", (F.col("lo") != F.col("hi")).alias("differ")))
+    # Grams that occur more than once.
+    shared = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # Fewer than ``share`` grams can hold more than that part of all anchors: they are broadcast, and their
     # anchors meet by gram and digest, counted where they are read. All others are joined by a shuffle.
     often = F.col("n") > found.count() / share
-    hot, others = F.broadcast(shared.where(often).select("key", "differ")), shared.where(~often).select("key", "differ")
-    places = [F.first(c).alias(c) for c in ("differ", "name", "place", "back", "ahead")]
-    parts = [met.groupBy("key", "digest").agg(F.count("*").alias("n"), *places) for met in (found.join(hot, "key"), found.join(hot, "key", "left_anti").join(others, "key"))]
+    hot, others = F.broadcast(shared.where(often).select("key")), shared.where(~often).select("key")
+    places = [F.first(c).alias(c) for c in ("name", "place", "back", "ahead")]
+    parts = [met.groupBy("key", "digest").agg(F.count("*").alias("n"), *places) for met in (found.join(hot, "key", "left_semi"), found.join(hot, "key", "left_anti").join(others, "key", "left_semi"))]
     one = written(parts[0].unionByName(parts[1]))
     # Bytes of one of each of the different surroundings of a gram; of equal texts one is sent.
-    wanted = one.where("differ").groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
+    differ = one.groupBy("key").agg(F.count("*").alias("different")).where("different > 1").select("key")
+    wanted = one.join(differ, "key", "left_semi").groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
     fetched = long.groupBy("name").agg(F.first("text").alias("text")).join(wanted, "name").select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
     several = written(fetched.select("key", "digest", "back", "around", F.lit(0).alias("left"), F.lit(gram).alias("right")))
     ranges = ranges_of(several, length, most).unionByName(_whole(one, length)).select("key", "digest", F.explode("ranges").alias("r"))
