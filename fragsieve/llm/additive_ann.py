@@ -1,12 +1,17 @@
 """Nearest neighbours by inner product over additively quantised vectors.
 
-A vector is approximated by a sum of full-dimensional code vectors, one from each
-of several residual codebooks, chosen by beam search. Its codes are stored with
-its norm and the norm of its approximation. A query makes a table of its inner
+A vector's direction is approximated by a sum of full-dimensional code vectors, one
+from each of several residual codebooks, chosen by beam search. Its codes are stored
+with its norm and the norm of its approximation. A query makes a table of its inner
 products with all code vectors once; a candidate's score is then the sum of a few
 table entries, brought to the stored norm. The best candidates by that score are
 compared again exactly, in double precision, on the original vectors.
 
+Directions are unit vectors, found after a division by the largest component, so
+that no finite vector is too long or too short. Norms are compared within bands of
+60 powers of two; each band keeps its own best candidates until they are compared
+exactly, so that none is lost beside much longer ones.
+
 The codebooks are fitted on a bounded sample; every vector is encoded. Equal
 vectors are one entry of the index, with the least ids that a result can need.
 Blocks of queries meet blocks of codes: no vector is compared outside of them, and
@@ -84,8 +89,18 @@ def fit(x: np.ndarray, m: int, size: int, beam: int, rounds: int = 4, joint: int
     return out
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(-1, d)
+#: Norms of one band differ by a factor of two to this power at most.
+BAND = 60
+
+
+def units(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the logarithms (base 2) of the vectors' norms; neither overflows nor vanishes for finite vectors."""
+    x = np.asarray(column.flatten(), np.float64).reshape(-1, d)
+    # By powers of two, which are exact; a quotient by a subnormal number would overflow.
+    power = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    x = np.ldexp(x, -power[:, None])
+    norm = np.sqrt((x**2).sum(axis=1))
+    return x / norm[:, None], np.log2(norm) + power
 
 
 def _encoder(books: object, beam: int, block: int):
@@ -96,71 +111,90 @@ def _encoder(books: object, beam: int, block: int):
         for batch in batches:
             for a in range(0, batch.num_rows, block):
                 part = batch.slice(a, block)
-                x = _matrix(part.column("embedding"), books.value.books.shape[2])
+                x, log_norm = units(part.column("embedding"), books.value.books.shape[2])
                 codes = books.value.encode(x, beam)
-                norm, fitted = np.sqrt((x**2).sum(axis=1)), np.sqrt((books.value.decode(codes).astype(float) ** 2).sum(axis=1))
+                fitted = np.sqrt((books.value.decode(codes).astype(float) ** 2).sum(axis=1))
                 ids = part.column("vec_id").to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_pydict({"shard": [made], "ids": [ids.tobytes()], "codes": [codes.tobytes()], "norms": [norm.astype("<f4").tobytes()], "fitted": [fitted.astype("<f4").tobytes()]})
-                made += 1
+                band = np.floor(log_norm / BAND + 0.5).astype(np.int64)
+                for b in np.unique(band).tolist():
+                    own = band == b
+                    norm = np.exp2(log_norm[own] - BAND * b).astype("<f4")
+                    yield pa.RecordBatch.from_pydict({"shard": [made], "band": [b], "ids": [ids[own].tobytes()], "codes": [codes[own].tobytes()], "norms": [norm.tobytes()], "fitted": [fitted[own].astype("<f4").tobytes()]})
+                    made += 1
 
     return run
 
 
-def _blocks(block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _blocks(d: int, block: int):
+    """Rows sorted by ``query_block`` to rows of at most ``block`` queries, as unit vectors."""
 
-        made = TaskContext.get().partitionId() << 32
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                ids = part.column("vec_id").to_numpy().astype("<i8")
-                values = np.asarray(part.column("embedding").flatten(), "<f4")
-                yield pa.RecordBatch.from_pydict({"query_block": [made], "query_ids": [ids.tobytes()], "queries": [values.tobytes()]})
-                made += 1
+            key = batch.column("query_block").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+            for a, z in zip(starts, [*starts[1:], len(key)], strict=True):
+                for i in range(a, z, block):
+                    part = batch.slice(i, min(block, z - i))
+                    ids = part.column("vec_id").to_numpy().astype("<i8")
+                    yield pa.RecordBatch.from_pydict({"query_block": pa.array([key[a]], pa.int32()), "query_ids": [ids.tobytes()], "queries": [units(part.column("embedding"), d)[0].astype("<f4").tobytes()]})
 
     return run
 
 
+class _Best:
+    """The ``short`` best candidates so far of some queries, by tables of inner products."""
+
+    def __init__(self, ids: np.ndarray, table: np.ndarray, short: int):
+        self.ids, self.table, self.short = ids, table, short
+        self.near, self.found = np.full((len(ids), 0), -np.inf, np.float32), np.zeros((len(ids), 0), np.int64)
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> None:
+        score = self.table[0][codes[:, 0]]
+        for k in range(1, len(self.table)):
+            score += self.table[k][codes[:, k]]
+        score *= scale[:, None]
+        near, found = score.T, np.broadcast_to(ids, score.T.shape)
+        if near.shape[1] > self.short:
+            near, found = self._least(near, found)
+        self.near, self.found = np.concatenate([self.near, near], axis=1), np.concatenate([self.found, found], axis=1)
+        if self.near.shape[1] > self.short:
+            self.near, self.found = self._least(self.near, self.found)
+
+    def _least(self, near: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.argpartition(-near, self.short - 1, axis=1)[:, : self.short]
+        return np.take_along_axis(near, keep, axis=1), np.take_along_axis(found, keep, axis=1)
+
+    def batch(self, band: int) -> pa.RecordBatch:
+        query, place = np.nonzero(self.near > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(np.full(len(query), band, np.int64)), pa.array(self.found[query, place]), pa.array(self.near[query, place].astype(np.float64))], names=["query_id", "band", "rep", "near"])
+
+
 def _scorer(books: object, short: int):
-    """For rows sorted by query block, shard group and ``coded``: the ``short`` best candidates of each query over a group.
+    """For rows sorted by query block, band, group and ``coded``: the ``short`` best candidates of each query over a group.
 
-    A group's first row has the queries, the others have codes.
+    A group's first rows have the queries, some of the block each; the others have codes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query_ids, table, best, best_ids = None, None, None, None, None
+        key, parts = None, []
         m, size, d = books.value.books.shape
-
-        def out() -> pa.RecordBatch:
-            group, place = np.nonzero(best > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(query_ids[group]), pa.array(best_ids[group, place]), pa.array(best[group, place].astype(np.float64))], names=["query_id", "rep", "near"])
-
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["query_block"], row["shards"]) != key:
-                    if key is not None:
-                        yield out()
-                    key = row["query_block"], row["shards"]
-                    assert not row["coded"]
-                    query_ids = np.frombuffer(row["query_ids"], "<i8")
+                if (row["query_block"], row["band"], row["shards"]) != key:
+                    for part in parts:
+                        yield part.batch(key[1])
+                    key, parts = (row["query_block"], row["band"], row["shards"]), []
+                if not row["coded"]:
                     q = np.frombuffer(row["queries"], "<f4").reshape(-1, d)
                     table = np.einsum("qd,mkd->mkq", q, books.value.books, optimize=True).astype(np.float32)
-                    best, best_ids = np.full((len(q), 0), -np.inf, np.float32), np.zeros((len(q), 0), np.int64)
+                    parts.append(_Best(np.frombuffer(row["query_ids"], "<i8"), table, short))
                     continue
                 ids, codes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
-                norm, fitted = np.frombuffer(row["norms"], "<f4"), np.frombuffer(row["fitted"], "<f4")
-                score = table[0][codes[:, 0]]
-                for k in range(1, m):
-                    score = score + table[k][codes[:, k]]
-                score *= (norm / np.maximum(fitted, 1e-12))[:, None]
-                best = np.concatenate([best, score.T], axis=1)
-                best_ids = np.concatenate([best_ids, np.broadcast_to(ids, score.T.shape)], axis=1)
-                if best.shape[1] > short:
-                    keep = np.argpartition(-best, short - 1, axis=1)[:, :short]
-                    best, best_ids = np.take_along_axis(best, keep, axis=1), np.take_along_axis(best_ids, keep, axis=1)
-        if key is not None:
-            yield out()
+                scale = np.frombuffer(row["norms"], "<f4") / np.maximum(np.frombuffer(row["fitted"], "<f4"), np.float32(1e-6))
+                for part in parts:
+                    part.meet(ids, codes, scale)
+        for part in parts:
+            yield part.batch(key[1])
 
     return run
 
@@ -180,7 +214,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
     candidates of it; each dimension is searched by itself. Ties go to the smaller
     id. Rows with one id count once, with the least vector. With few distinct
     candidates the result is exact; an empty table, or a single vector, gives no
-    rows; other columns are ignored. ``more``: parameters of ``search_one``.
+    rows; other columns are ignored. Vectors of any finite length are found alike;
+    only inner products that vanish or overflow in double precision themselves tie
+    without regard to ids. ``more``: parameters of ``search_one``.
     """
     vectors = written(usable(rows, id_col, vector_col))
     found = None
@@ -190,8 +226,13 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
     return search_one(vectors, 1, every, k, **more) if found is None else found
 
 
-def search_one(vectors: DataFrame, d: int, every: int, k: int, books: int = 24, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 192, block: int = 2048, query_block: int = 1024, group: int = 16) -> DataFrame:
-    """The search among vectors of one dimension: codebooks are fitted on ``sample`` of them, all are encoded. With at most ``short`` distinct candidates the result is exact."""
+def search_one(vectors: DataFrame, d: int, every: int, k: int, books: int = 24, codes: int = 256, beam: int = 4, sample: int = 8192, short: int = 192, block: int = 2048, query_block: int = 4096, queries_at_once: int = 1024, group_bytes: int = 16 << 20) -> DataFrame:
+    """The search among vectors of one dimension: codebooks are fitted on ``sample`` of them, all are encoded. With at most ``short`` distinct candidates the result is exact.
+
+    Codes are sent once for each ``query_block`` queries. They are dealt to groups of
+    about ``group_bytes``, at least one for each core; a task holds one block of
+    codes, the tables of a block of queries and their best candidates.
+    """
     spark = vectors.sparkSession
     # A result needs at most k + 1 ids of one vector; row_number() up to that is cut in each task before the shuffle.
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
@@ -200,22 +241,27 @@ def search_one(vectors: DataFrame, d: int, every: int, k: int, books: int = 24,
         .groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
         .withColumn("rep", F.col("vec_ids")[0])
     )
-    drawn = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
-    trained = spark.sparkContext.broadcast(fit(np.array(drawn, float).reshape(-1, d), books, codes, beam))  # a fixed size
-    shards = written(entries.select(F.col("rep").alias("vec_id"), "embedding").mapInArrow(_encoder(trained, beam, block), "shard long, ids binary, codes binary, norms binary, fitted binary"))
+    drawn = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column("embedding").combine_chunks()
+    trained = spark.sparkContext.broadcast(fit(units(drawn, d)[0] if len(drawn) else np.zeros((0, d)), books, codes, beam))  # a fixed size
+    shards = written(entries.select(F.col("rep").alias("vec_id"), "embedding").mapInArrow(_encoder(trained, beam, block), "shard long, band long, ids binary, codes binary, norms binary, fitted binary"))
     queries = vectors.where(F.col("vec_id") % every == 0)
-    asked = written(queries.mapInArrow(_blocks(query_block), "query_block long, query_ids binary, queries binary"))
-    # Every block of queries against every group of blocks of codes, as rows of one key; the queries are sent once for each.
-    all_blocks = asked.select(F.collect_list("query_block").alias("all"))
+    # Blocks of queries and groups of codes by number: no row needs to know which others there are.
+    n_blocks = max(1, -(-queries.count() // query_block))
+    size = shards.agg(F.sum(F.octet_length("codes") + 2 * F.octet_length("ids")).alias("bytes")).first()["bytes"] or 0
+    groups = max(spark.sparkContext.defaultParallelism, -(-size // group_bytes))
+    numbered = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).repartition("query_block").sortWithinPartitions("query_block")
+    asked = written(numbered.mapInArrow(_blocks(d, queries_at_once), "query_block int, query_ids binary, queries binary"))
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    coded = (
-        shards.withColumn("shards", F.pmod(F.hash("shard"), F.lit(group))).join(F.broadcast(all_blocks))
-        .select(F.explode("all").alias("query_block"), "shards", F.lit(True).alias("coded"), *none("query_ids", "queries"), "ids", "codes", "norms", "fitted")
+    coded = shards.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("query_block"), "band", F.pmod(F.hash("shard"), F.lit(groups)).alias("shards"), F.lit(True).alias("coded"), *none("query_ids", "queries"), "ids", "codes", "norms", "fitted")
+    places = [r["band"] for r in shards.select("band").distinct().collect()]  # 40 at most
+    sent = (
+        asked.select("query_block", F.explode(F.array(*(F.lit(b).cast("long") for b in places)) if places else F.array().cast("array<long>")).alias("band"), "query_ids", "queries")
+        .select("query_block", "band", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("shards"), F.lit(False).alias("coded"), "query_ids", "queries", *none("ids", "codes", "norms", "fitted"))
     )
-    sent = asked.select("query_block", F.explode(F.sequence(F.lit(0), F.lit(group - 1))).alias("shards"), F.lit(False).alias("coded"), "query_ids", "queries", *none("ids", "codes", "norms", "fitted"))
-    met = coded.unionByName(sent).repartition("query_block", "shards").sortWithinPartitions("query_block", "shards", "coded")
-    found = met.mapInArrow(_scorer(trained, short), "query_id long, rep long, near double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
+    by = ["query_block", "band", "shards"]
+    met = coded.unionByName(sent).repartition(*by).sortWithinPartitions(*by, "coded")
+    found = met.mapInArrow(_scorer(trained, short), "query_id long, band long, rep long, near double")
+    nearest = Window.partitionBy("query_id", "band").orderBy(F.desc("near"), "rep")
     listed = found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= short).select("query_id", "rep")
     exact = F.expr("aggregate(zip_with(q, embedding, (a, b) -> a * b), 0D, (s, x) -> s + x)")
     scored = (

@@ -53,3 +53,34 @@ def test_each_dimension_is_searched_by_itself(spark):
     for r in search(table(spark, two + three)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute(two, 20, 20) | brute(three, 20, 20) and len(got) == 4
+
+
+def _recall(spark, x):
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = brute(rows, 20, 20), {}
+    for r in search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return [len({i for i, _ in want[q]} & got[q]) / 20 for q in want]
+
+
+def test_recall_at_any_magnitude(spark):
+    """With the query's own parameters, at two sizes: all vectors scaled alike, one much longer, and all by different powers of ten."""
+    rng = np.random.default_rng(4)
+    for n, d in ((1500, 64), (4000, 32)):
+        x = rng.normal(size=(n, d)).astype(np.float32).astype(float)
+        one = x.copy()
+        one[77] *= 1e25
+        mixed = x * 10.0 ** rng.integers(-25, 26, n)[:, None]
+        for y in (x, x * 1e-25, x * 1e25, one, mixed, x * 1e-150) if n == 1500 else (x, one):
+            assert np.mean(_recall(spark, y)) >= 0.9
+
+
+def test_a_negative_neighbour_beside_longer_vectors(spark):
+    """The 20 nearest of a query that all long vectors point away from are short ones."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x[:300] = -abs(x[:300]) * 1e30
+    x[300:] = abs(x[300:])
+    x[0] = abs(x[0])
+    assert min(_recall(spark, x)) >= 0.9
