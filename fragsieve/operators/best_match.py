@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .search import search
 
+if TYPE_CHECKING:
+    from ..sources.index import KmerIndex
+
 
 def stages(shortest: int) -> list[int]:
     """Seed lengths: the shortest query, halved down to 2."""
@@ -19,7 +22,7 @@ def stages(shortest: int) -> list[int]:
     return sorted(set(found), reverse=True)
 
 
-def best_hits(corpus: DataFrame, queries: DataFrame, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
+def best_hits(corpus: DataFrame, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
     """Hits of the first stage that has any for a query id; queries that leave are not searched again.
 
     Every stage is written, so that plans don't grow with the number of stages;

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .kmers import blocks, kmers, kmers_among, seeds
 
+if TYPE_CHECKING:
+    from ..sources.index import KmerIndex
+
 #: Seeds up to this number are broadcast; beyond, the seed join is a shuffle.
 BROADCAST_SEEDS = 500_000
 #: Different seeds (or positions) up to this number are part of the plan, so that other k-mers never become rows.
 LISTED_SEEDS = 10_000
+#: Places of a k-mer that go to one task of a shuffle.
+HOT = 100_000
+#: Letters that a row of an index's text owns; it also holds as many of those that follow.
+SEQUENCE_BLOCK = 512
 HIT = ["qrow", "protein_num", "st", "matched", "edits", "mutated"]
 
 
@@ -29,31 +37,92 @@ def _longest(queries: DataFrame) -> int:
     return queries.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
-def _seed_join(corpus: DataFrame, queries: DataFrame, k: int, how: str, halo: int, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
-    """Seeds and their places: from an index of k-mers, or else from the sequences in blocks."""
+def _few(wanted: DataFrame, *columns: str) -> list | None:
+    """The different values of the columns, sorted, if they are at most ``LISTED_SEEDS``; else None."""
+    rows = wanted.select(*columns).distinct().limit(LISTED_SEEDS + 1).collect()
+    return sorted(r[0] if len(columns) == 1 else tuple(r) for r in rows) if len(rows) <= LISTED_SEEDS else None
+
+
+def _seed_join(corpus: DataFrame, queries: DataFrame, k: int, how: str, halo: int) -> DataFrame:
+    """Seeds and their places in the sequences, which are cut into blocks."""
     wanted = seeds(queries, k, how)
-    number = wanted.count()
     listed = None
-    if number <= BROADCAST_SEEDS:
-        few = wanted.select("kmer").distinct().limit(LISTED_SEEDS + 1).collect()
-        listed = sorted(r["kmer"] for r in few) if len(few) <= LISTED_SEEDS else None
-        wanted = F.broadcast(wanted)
-    if index is not None:
-        places = index(k)
-        places = places.where(F.col("kmer").between(listed[0], listed[-1])) if listed else places
-        whole = corpus.select("protein_num", F.length("sequence").alias("plen"), F.lit(0).alias("c0"), F.col("sequence").alias("chunk"))
-        return places.join(wanted, "kmer").join(whole, "protein_num")
+    if wanted.count() <= BROADCAST_SEEDS:
+        listed, wanted = _few(wanted, "kmer"), F.broadcast(wanted)
     blocked = blocks(corpus, halo)
     return (kmers(blocked, k) if listed is None else kmers_among(blocked, k, listed)).join(wanted, "kmer")
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, max_mismatches: int = 0, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
+def rarest_seeds(queries: DataFrame, k: int, index: KmerIndex) -> DataFrame:
+    """Of each query's successive seeds the one with the fewest places; queries with a seed that is nowhere have none.
+
+    An exact hit holds all of its seeds, so any one finds it.
+    """
+    every = seeds(queries, k, "coverage")
+    known = index.frequencies(k, _few(every, "kmer"))
+    counted = every.join(known, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = counted.groupBy("qrow").agg(F.min_by(F.struct(*every.columns, "n"), F.struct("n", "off")).alias("s"))
+    return best.where("s.n > 0").select("s.*")
+
+
+def _postings(wanted: DataFrame, k: int, index: KmerIndex) -> DataFrame:
+    """Seeds and their places, from the pages of the index that hold them.
+
+    Few seeds are broadcast to the postings, which stay where they are read. More are
+    joined by a shuffle: a k-mer with over ``HOT`` places is told apart by a number
+    dealt to its postings, and its seeds are sent to each number.
+    """
+    if wanted.count() <= BROADCAST_SEEDS:
+        return index.kmers(k, _few(wanted, "kmer")).join(F.broadcast(wanted), "kmer")
+    hot = index.frequencies(k).where(F.col("n") > HOT).select("kmer", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_SEEDS else hot
+    part = F.pmod(F.xxhash64("protein_num", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    places = index.kmers(k).join(hot, "kmer", "left").withColumn("part", part).drop("parts")
+    sent = wanted.join(hot, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return places.join(sent, ["kmer", "part"])
+
+
+def _windows(placed: DataFrame, index: KmerIndex) -> DataFrame:
+    """``placed`` (``protein_num, st, size`` and others) with the ``window`` of ``size`` letters from ``st`` on, where the sequence has it.
+
+    Only the blocks of text that hold a window are read. A window longer than a block is put together from several.
+    """
+    rows = written(placed.where("st >= 0 AND size > 0").withColumn("__row", F.monotonically_increasing_id()))
+    size = SEQUENCE_BLOCK
+    parts = F.expr(f"transform(sequence(0, (size - 1) div {size}), i -> named_struct('i', i, 'at', st + i * {size}, 'size', least(size - i * {size}, {size})))")
+    cut = rows.select("__row", "protein_num", "st", "size", F.explode(parts).alias("p")).withColumn("block", F.expr(f"CAST(p.at div {size} AS int)"))
+    chunks = index.sequence_blocks(_few(cut, "protein_num", "block"))
+    found = cut.join(chunks, ["protein_num", "block"]).where("st + size <= plen").select("__row", F.col("p.i").alias("i"), F.col("size"), F.expr(f"substr(chunk, CAST(p.at - block * {size} + 1 AS int), CAST(p.size AS int))").alias("w"))
+    whole = found.where(f"size <= {size}").select("__row", F.col("w").alias("window"))
+    longer = found.where(f"size > {size}").groupBy("__row").agg(F.expr("array_join(transform(array_sort(collect_list(struct(i, w))), x -> x.w), '')").alias("window"))
+    return rows.join(whole.unionByName(longer), "__row").drop("__row")
+
+
+def candidates(queries: DataFrame, k: int, max_mismatches: int, index: KmerIndex) -> DataFrame:
+    """``qrow, seq, protein_num, st, size`` of the places that a seed finds, each once, and whether ``all`` seeds of the query stand there."""
+    wanted = seeds(queries, k, "mismatch") if max_mismatches else rarest_seeds(queries, k, index)
+    placed = _postings(wanted, k, index).withColumn("st", F.col("pos") - F.col("off"))
+    if not max_mismatches:
+        return placed.select("qrow", "seq", "protein_num", "st", F.length("seq").alias("size"), F.lit(False).alias("all"))
+    n = F.when(F.length("seq") % k == 0, F.expr(f"length(seq) div {k}")).otherwise(F.length("seq") - k + 1)
+    return placed.groupBy("qrow", "seq", "protein_num", "st").agg(F.count("*").alias("found")).select("qrow", "seq", "protein_num", "st", F.length("seq").alias("size"), (F.col("found") == n).alias("all"))
+
+
+def search(corpus: DataFrame | None, queries: DataFrame, k: int, max_mismatches: int = 0, index: KmerIndex | None = None) -> DataFrame:
     """Hits with at most ``max_mismatches`` substitutions and at least one intact seed, within one sequence.
 
-    ``edits`` is the number of substitutions, ``st`` the 0-based start. ``index`` gives
-    the table of all k-mers for a k; without it the sequences themselves are read.
+    ``edits`` is the number of substitutions, ``st`` the 0-based start. With an ``index``
+    its k-mers are looked up, and the blocks of text that hold a candidate; without
+    one the sequences of ``corpus`` are read whole.
     """
-    met = _seed_join(corpus, queries, k, "mismatch" if max_mismatches else "anchor", _longest(queries) + 1, index)
+    if index is not None:
+        placed = candidates(queries, k, max_mismatches, index)
+        # Where all seeds stand, the text is the query's; the seeds cover it.
+        near = _windows(placed.where("NOT all"), index).withColumnRenamed("window", "matched").withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
+        same = placed.where("all").select("qrow", "seq", "protein_num", "st", F.col("seq").alias("matched"), F.lit(0).alias("edits"))
+        found = near.select(*same.columns).unionByName(same) if max_mismatches else near.select(*same.columns)
+        return found.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
+    met = _seed_join(corpus, queries, k, "mismatch" if max_mismatches else "anchor", _longest(queries) + 1)
     placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen")
     windows = placed.withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
     if not max_mismatches:
@@ -63,19 +132,51 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, max_mismatches: int =
     return once.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
 
 
-def indel_search(corpus: DataFrame, queries: DataFrame, index: Callable[[int], DataFrame] | None = None) -> DataFrame:
+def hamming_search(corpus: DataFrame, queries: DataFrame, max_mismatches: int) -> DataFrame:
+    """Every place with at most ``max_mismatches`` substitutions, without a condition on seeds.
+
+    A query is cut into one part more than it may have substitutions: one of them
+    stands unchanged. Queries with equally long shortest parts are searched
+    together. A query that is no longer than its budget is found at every place that has room for it.
+    """
+    size, parts = F.length("seq"), max_mismatches + 1
+    rows = queries.where(size > 0).withColumn("k", F.expr(f"length(seq) div {parts}"))
+    found, halo = None, _longest(queries) + 1
+    for k in sorted(r["k"] for r in rows.select("k").distinct().collect()):
+        offs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(parts - 1 if k else 0)), lambda i: F.floor(i * size / parts).cast("int")))
+        wanted = rows.where(F.col("k") == k).select("qrow", "seq", F.explode(offs).alias("off")).withColumn("kmer", F.expr(f"substr(seq, off + 1, {k})"))
+        listed = _few(wanted, "kmer") if k else None
+        blocked = blocks(corpus, halo)
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
+        met = (kmers(blocked, k) if listed is None else kmers_among(blocked, k, listed)).join(wanted, "kmer")
+        placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen").withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
+        near = placed.withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
+        once = near.select("qrow", "seq", "protein_num", "st", "matched", "edits").dropDuplicates(["qrow", "protein_num", "st"])
+        found = once if found is None else found.unionByName(once)
+    if found is None:
+        found = rows.select("qrow", "seq", F.lit(0).cast("long").alias("protein_num"), F.lit(0).alias("st"), F.col("seq").alias("matched"), F.lit(0).alias("edits")).where("false")
+    return found.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
+
+
+def indel_search(corpus: DataFrame | None, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
     """Hits that equal the query, or lack one of its inner characters, or have one more inside."""
     shortest = queries.agg(F.min(F.length("seq"))).first()[0] or 0
-    met = _seed_join(corpus, queries, max(2, shortest // 2), "coverage", _longest(queries) + 2, index)
-    tries = """explode(array(
+    k = max(2, shortest // 2)
+    tries = F.expr("""explode(array(
         named_struct('st', pos - off, 'size', length(seq)), named_struct('st', pos - off, 'size', length(seq) - 1), named_struct('st', pos - off + 1, 'size', length(seq) - 1),
-        named_struct('st', pos - off, 'size', length(seq) + 1), named_struct('st', pos - off - 1, 'size', length(seq) + 1)))"""
-    placed = met.select("qrow", "seq", "protein_num", "plen", "c0", "chunk", F.expr(tries).alias("t")).select("*", "t.st", "t.size").where("st >= 0 AND size > 0 AND st + size <= plen")
-    windows = placed.withColumn("w", F.expr("substr(chunk, st - c0 + 1, size)"))
+        named_struct('st', pos - off, 'size', length(seq) + 1), named_struct('st', pos - off - 1, 'size', length(seq) + 1)))""").alias("t")
     fits = """CASE
         WHEN size = length(seq) THEN w = seq
         WHEN size < length(seq) THEN length(seq) > 2 AND exists(sequence(1, greatest(length(seq) - 2, 1)), d -> left(w, d) = left(seq, d) AND substr(w, d + 1) = substr(seq, d + 2))
         ELSE length(seq) > 1 AND exists(sequence(1, greatest(length(seq) - 1, 1)), i -> left(w, i) = left(seq, i) AND substr(w, i + 2) = substr(seq, i + 1)) END"""
+    if index is not None:
+        met = _postings(seeds(queries, k, "coverage"), k, index)
+        placed = met.select("qrow", "seq", "protein_num", tries).select("qrow", "seq", "protein_num", "t.st", "t.size").distinct()
+        windows = _windows(placed, index).withColumnRenamed("window", "w")
+    else:
+        met = _seed_join(corpus, queries, k, "coverage", _longest(queries) + 2)
+        placed = met.select("qrow", "seq", "protein_num", "plen", "c0", "chunk", tries).select("*", "t.st", "t.size").where("st >= 0 AND size > 0 AND st + size <= plen")
+        windows = placed.withColumn("w", F.expr("substr(chunk, st - c0 + 1, size)"))
     once = windows.where(F.expr(fits)).select("qrow", "protein_num", "st", F.col("w").alias("matched"), F.abs(F.col("size") - F.length("seq")).alias("edits")).distinct()
     return once.withColumn("mutated", F.lit("[]")).select(*HIT)
 
@@ -119,7 +220,19 @@ def discontinuous_search(corpus: DataFrame, anchored: DataFrame, max_mismatches:
     )
 
 
+def exact_counts(queries: DataFrame, k: int, index: KmerIndex) -> DataFrame:
+    """``qrow, edits, Count`` of the exact hits, from postings alone: a hit is a start at which all of a query's successive seeds stand."""
+    wanted = seeds(queries, k, "coverage")
+    placed = _postings(wanted, k, index).select("qrow", "protein_num", (F.col("pos") - F.col("off")).alias("st"))
+    needed = wanted.groupBy("qrow").agg(F.count("*").alias("needed"))
+    hits = placed.groupBy("qrow", "protein_num", "st").agg(F.count("*").alias("found")).join(needed, "qrow").where("found = needed")
+    return hits.groupBy("qrow").agg(F.count("*").alias("Count")).select("qrow", F.lit(0).alias("edits"), "Count")
+
+
 def counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits by query row and number of substitutions; queries without a hit have no row."""
-    by_row = hits.groupBy("qrow", "edits").agg(F.count("*").alias("Count"))
+    return named_counts(hits.groupBy("qrow", "edits").agg(F.count("*").alias("Count")), queries)
+
+
+def named_counts(by_row: DataFrame, queries: DataFrame) -> DataFrame:
     return by_row.join(queries, "qrow").select(F.col("query_id").alias("Query ID"), F.col("seq").alias("Query Sequence"), F.col("edits").cast("long").alias("Mismatches"), "Count")

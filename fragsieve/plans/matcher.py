@@ -52,6 +52,8 @@ class Preprocessor:
 
     def preprocess(self, k: int) -> DataFrame:
         self.index.metadata()
+        self.index.sequence_blocks()
+        self.index.frequencies(k)
         return self.index.kmers(k)
 
 
@@ -82,8 +84,8 @@ class Matcher:
 
     def _linear(self, corpus: DataFrame, meta: DataFrame) -> DataFrame:
         if self.indels:
-            return result_frame(self.linear, S.indel_search(corpus, self.linear, self.index.kmers), meta, "Indels", self.version)
-        hits = best.best_hits(corpus, self.linear, self.index.kmers) if self.auto else S.search(corpus, self.linear, self.k, self.mismatches, self.index.kmers)
+            return result_frame(self.linear, S.indel_search(corpus, self.linear, self.index), meta, "Indels", self.version)
+        hits = best.best_hits(corpus, self.linear, self.index) if self.auto else S.search(corpus, self.linear, self.k, self.mismatches, self.index)
         if not self.best:
             return result_frame(self.linear, hits, meta, version=self.version)
         return best_frame(self.linear, hits, meta, self.version, self.auto)
@@ -94,7 +96,9 @@ class Matcher:
         if self.counts:
             if not self.anchored.isEmpty():
                 log.warning("position-anchored queries are not counted")
-            return S.counts(S.search(corpus, self.linear, self.k, self.mismatches, self.index.kmers), self.linear)
+            if not self.mismatches:
+                return S.named_counts(S.exact_counts(self.linear, self.k, self.index), self.linear)
+            return S.counts(S.search(None, self.linear, self.k, self.mismatches, self.index), self.linear)
         parts = []
         if not self.linear.isEmpty():
             parts.append(self._linear(corpus, meta))

@@ -1,13 +1,14 @@
 """The search operators over the driver tables, with SQL for each.
 
-Documents are the corpus (letters A-Z of the upper-cased text), benchmark items
-give the queries, with some letters overwritten, removed or added. Queries with SQL
-take letters from the 11th on of each item, as their SQL does; those named ``_whole``
-take all letters of all items, and have no SQL.
+Documents are the corpus (letters A-Z of the upper-cased text), whole benchmark items
+give the queries: all their letters, in successive pieces, with some letters
+overwritten, removed or added. Queries named ``_whole`` have the same result as those
+without, and come to it through an index of the corpus' k-mers, which they build first.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from ..functions import headers as H
 from ..operators import best_match as best
 from ..operators import kmers as K
 from ..operators import search as S
-from ..sources.shared import spread
+from ..operators.scan import exact_scan as scan
+from ..sources.index import KmerIndex
+from ..sources.shared import scratch_path, spread
 
 LOW, UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,17 +37,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return spread(_read(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("protein_num"), _letters("text").alias("sequence"))
 
 
-def _items(spark: SparkSession, sf: str, seq: str, size: int) -> DataFrame:
-    base = _read(spark, sf, "benchmark").select("item_id", _letters("text").alias("x")).select(F.col("item_id").alias("qrow"), F.col("item_id").cast("string").alias("query_id"), F.expr(f"substr(x, 11, {size})").alias("w"))
-    return base.where(f"length(w) = {size}").select("qrow", "query_id", F.expr(seq).alias("seq"))
-
-
-#: Pieces that one item can have; a piece's number is ``qrow % PIECES``, its item ``qrow div PIECES``.
-PIECES = 1 << 20
-
-
 def _pieces(spark: SparkSession, sf: str, seq: str, size: int, least: int = 5) -> DataFrame:
-    """Whole item texts in successive pieces of ``size`` letters, each with its own ``qrow``; the rest is the last one.
+    """Whole item texts in successive pieces of ``size`` letters; ``qrow`` is the item and the number of the piece.
 
     A rest of fewer than ``least`` letters, too short for a seed, stays at the end of the piece before.
     Items without letters are one empty piece.
@@ -52,163 +46,132 @@ def _pieces(spark: SparkSession, sf: str, seq: str, size: int, least: int = 5) -
     count = f"greatest((length(x) + {size - least}) div {size}, 1)"
     cut = f"transform(sequence(0, {count} - 1), i -> CASE WHEN i + 1 < {count} THEN substr(x, CAST(i * {size} + 1 AS int), {size}) ELSE substr(x, CAST(i * {size} + 1 AS int)) END)"
     base = _read(spark, sf, "benchmark").select("item_id", _letters("text").alias("x")).select("item_id", F.posexplode(F.expr(cut)).alias("piece", "w"))
-    return base.select((F.col("item_id") * PIECES + F.col("piece")).alias("qrow"), F.col("item_id").cast("string").alias("query_id"), "w").select("qrow", "query_id", F.expr(WHOLE.get(seq, seq)).alias("seq"))
-
-
-#: None, one or two letters overwritten; with the same text as SQL for the other engine.
-SUBSTITUTED = "CASE qrow % 3 WHEN 0 THEN w WHEN 1 THEN concat(left(w, 3), 'X', substr(w, 5)) ELSE concat(left(w, 3), 'X', substr(w, 5, 6), 'Z', substr(w, 12)) END"
-#: One of 16 letters removed, or one added, or 15 of them.
-EDITED = "CASE qrow % 3 WHEN 0 THEN left(w, 15) WHEN 1 THEN concat(left(w, 7), substr(w, 9)) ELSE concat(left(w, 6), 'X', substr(w, 7, 8)) END"
-
-#: The same for pieces of any length: all letters stay but those overwritten or removed.
-WHOLE = {
-    SUBSTITUTED: f"CASE WHEN length(w) < 11 THEN w ELSE {SUBSTITUTED} END",
-    EDITED: "CASE WHEN length(w) < 9 OR qrow % 3 = 0 THEN w WHEN qrow % 3 = 1 THEN concat(left(w, 7), substr(w, 9)) ELSE concat(left(w, 6), 'X', substr(w, 7)) END",
-}
-
-
-def _named(hits: DataFrame) -> DataFrame:
-    return hits.select(*(F.col(c).cast("long").alias(c) for c in ("qrow", "protein_num", "st")), "matched", F.col("edits").cast("long").alias("edits"), "mutated")
-
+    return base.select(F.struct("item_id", "piece").alias("qrow"), F.col("item_id").cast("string").alias("query_id"), F.expr(seq).alias("seq"))
 
-def exact_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.search(corpus(spark, sf), _items(spark, sf, "w", 15), 5))
 
+#: None, one or two letters of long pieces overwritten; with the same text as SQL for the other engine.
+SUBSTITUTED = "CASE WHEN length(w) < 11 OR (item_id + piece) % 3 = 0 THEN w WHEN (item_id + piece) % 3 = 1 THEN concat(left(w, 3), 'X', substr(w, 5)) ELSE concat(left(w, 3), 'X', substr(w, 5, 6), 'Z', substr(w, 12)) END"
+#: One letter of long pieces removed, or one added, or none.
+EDITED = "CASE WHEN length(w) < 9 OR (item_id + piece) % 3 = 0 THEN w WHEN (item_id + piece) % 3 = 1 THEN concat(left(w, 7), substr(w, 9)) ELSE concat(left(w, 6), 'X', substr(w, 7)) END"
 
-def exact_search_with_misses(spark: SparkSession, sf: str) -> DataFrame:
-    queries = _items(spark, sf, SUBSTITUTED, 15)
-    hits = S.search(corpus(spark, sf), queries, 5)
-    return queries.join(hits, "qrow", "left").select("query_id", "seq", F.col("protein_num").cast("long").alias("protein_num"), F.col("st").cast("long").alias("st"), F.coalesce("mutated", F.lit("[]")).alias("mutated"))
 
+def _index(spark: SparkSession, sf: str) -> KmerIndex:
+    """An index of the corpus in the shared folder, removed with the session."""
+    return KmerIndex(spark, scratch_path(spark), lambda: corpus(spark, sf))
 
-def mismatch_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.search(corpus(spark, sf), _items(spark, sf, SUBSTITUTED, 15), 5, 2))
 
+def _hits(hits: DataFrame) -> DataFrame:
+    """Hits of pieces."""
+    return hits.select("qrow.item_id", "qrow.piece", *(F.col(c).cast("long").alias(c) for c in ("protein_num", "st")), "matched", F.col("edits").cast("long").alias("edits"), "mutated")
 
-def mismatch_search_seed_bound(spark: SparkSession, sf: str) -> DataFrame:
-    """More substitutions than the seeds guarantee to find: an intact run of 7 is part of the rule."""
-    return _named(S.search(corpus(spark, sf), _items(spark, sf, SUBSTITUTED, 15), 7, 6))
 
+def _exact(texts: DataFrame, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
+    """Exact hits of queries of any length; each is found by the longest seed of its group. An index finds those of 5 letters and more."""
+    size, found = F.length("seq"), []
+    for k, most in ((5, None), (1, 5)) if index else ((15, None), (5, 15), (1, 5)):
+        found.append(S.search(texts, queries.where(size >= k) if most is None else queries.where((size >= k) & (size < most)), k, index=index if k > 1 else None))
+    return functools.reduce(DataFrame.unionByName, found)
 
-def counts_only(spark: SparkSession, sf: str) -> DataFrame:
-    queries = _items(spark, sf, SUBSTITUTED, 15)
-    return S.counts(S.search(corpus(spark, sf), queries, 5, 2), queries)
 
+def _indels(texts: DataFrame, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
+    """The seeds' length follows from the shortest query, so long and short pieces are searched apart."""
+    size, found = F.length("seq"), []
+    for some in (size >= 15, (size >= 7) & (size < 15), size < 7):
+        rows = queries.where(some)
+        if not found or not rows.isEmpty():
+            found.append(S.indel_search(texts, rows, index))
+    return functools.reduce(DataFrame.unionByName, found)
 
-def indel_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.indel_search(corpus(spark, sf), _items(spark, sf, EDITED, 16)))
 
+def _both(search: Callable[[DataFrame, KmerIndex | None, SparkSession, str], DataFrame]) -> tuple[Callable, Callable]:
+    """A query over the texts, and one through an index of them."""
+    return (lambda spark, sf: search(corpus(spark, sf), None, spark, sf)), (lambda spark, sf: search(corpus(spark, sf), _index(spark, sf), spark, sf))
 
-#: Letters and positions taken from the first document, one of them wrong in the second query.
-ANCHORED = [(1, "A1, N2, B3, L4"), (2, "A1, N2, X3"), (3, "E5, W6, H7"), (4, "T1, H2, S3, T4")]
 
-
-def discontinuous_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, str(i), s) for i, s in ANCHORED] + [(9, "9", "PLAIN")], "qrow long, query_id string, seq string")
-    anchored, _ = S.discontinuous_queries(rows)
-    return _named(S.discontinuous_search(corpus(spark, sf), anchored, 1))
+def _with_misses(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    return queries.join(hits, "qrow", "left").select("qrow.item_id", "qrow.piece", "query_id", "seq", F.col("protein_num").cast("long").alias("protein_num"), F.col("st").cast("long").alias("st"), F.coalesce("mutated", F.lit("[]")).alias("mutated"))
 
 
-def clean_query_anti(spark: SparkSession, sf: str) -> DataFrame:
-    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("qrow"), (F.col("item_id") % 11).cast("string").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.lit("R3, Q40")).otherwise(F.expr("left(text, 20)")).alias("seq"))
-    return S.discontinuous_queries(items)[1].select("qrow", "query_id", "seq")
+def _counted(texts: DataFrame, index: KmerIndex | None, queries: DataFrame) -> DataFrame:
+    return S.counts(S.search(texts, queries, 5, 2, index), queries)
 
 
-def best_match(spark: SparkSession, sf: str) -> DataFrame:
+def _best(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """Fewest substitutions, then the documents' labels in place of metadata."""
-    hits = S.search(corpus(spark, sf), _items(spark, sf, SUBSTITUTED, 15), 5, 2)
-    labels = _read(spark, sf, "labels").select(F.col("doc_id").alias("protein_num"), "quality", "toxic")
+    labels = labels.select(F.col("doc_id").alias("protein_num"), "quality", "toxic")
     full = hits.join(labels, "protein_num", "left").select(F.col("qrow").alias("Query ID"), "protein_num", F.col("edits").cast("long").alias("edits"), F.col("st").cast("long").alias("st"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
     picked = best.pick(full, [F.col("edits"), F.desc("quality"), F.col("toxic"), F.col("protein_num"), F.col("st")])
-    return picked.select(F.col("Query ID").alias("qrow"), "protein_num", "edits", "st")
-
+    return picked.select("Query ID.item_id", "Query ID.piece", "protein_num", "edits", "st")
 
-def mixed_union(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_search(spark, sf).unionByName(discontinuous_search(spark, sf))
 
-
-def recall(spark: SparkSession, sf: str) -> DataFrame:
+def _recall(exact: DataFrame, near: DataFrame) -> DataFrame:
     """Share of the hits of the tolerant search that the exact one finds, on distinct rows."""
     key = ["qrow", "protein_num", "st"]
-    found, expected = exact_search_all(spark, sf).select(*key).distinct(), mismatch_search(spark, sf).select(*key).distinct()
+    found, expected = exact.select(*key).distinct(), near.select(*key).distinct()
     both = found.join(expected, key).agg(F.count("*").alias("n"))
-    return expected.agg(F.count("*").alias("m")).crossJoin(both).select(F.round(F.least(F.lit(100.0), 100.0 * F.col("n") / F.col("m")), 6).alias("recall"))
-
-
-def exact_search_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.search(corpus(spark, sf), _items(spark, sf, SUBSTITUTED, 15), 5))
-
-
-def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _read(spark, sf, "part").select(F.col("p_partkey").alias("protein_num"), _letters("p_name").alias("sequence"))
-    return K.kmers(K.blocks(parts, 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
-
-
-def kmer_counts_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over the corpus of all other queries."""
-    return K.kmers(K.blocks(corpus(spark, sf), 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
-
-
-def _seeds(size: int, k: int, how: str, items: Callable[..., DataFrame] = _items):
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        return K.seeds(items(spark, sf, "w", size), k, how).select("qrow", F.col("off").cast("long").alias("off"), "kmer")
+    return expected.agg(F.count("*").alias("m")).crossJoin(both).select(F.round(F.least(F.lit(100.0), F.try_divide(100.0 * F.col("n"), F.col("m"))), 6).alias("recall"))
 
-    return query
 
+def _changed(spark: SparkSession, sf: str, least: int = 5) -> DataFrame:
+    return _pieces(spark, sf, SUBSTITUTED, 15, least)
 
-def _exact(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact hits of queries of any length; each is found by the longest seed of its group."""
-    size, found = F.length("seq"), []
-    for k, most in ((15, None), (5, 15), (1, 5)):
-        found.append(S.search(texts, queries.where(size >= k) if most is None else queries.where((size >= k) & (size < most)), k))
-    return found[0].unionByName(found[1]).unionByName(found[2])
 
+exact_search, exact_search_whole = _both(lambda texts, index, spark, sf: _hits(_exact(texts, _pieces(spark, sf, "w", 15), index)))
+exact_search_with_misses, exact_search_with_misses_whole = _both(lambda texts, index, spark, sf: _with_misses(_exact(texts, _changed(spark, sf), index), _changed(spark, sf)))
+mismatch_search, mismatch_search_whole = _both(lambda texts, index, spark, sf: _hits(S.search(texts, _changed(spark, sf), 5, 2, index)))
+#: More substitutions than the seeds guarantee to find: an intact run of 7 is part of the rule.
+mismatch_search_seed_bound, mismatch_search_seed_bound_whole = _both(lambda texts, index, spark, sf: _hits(S.search(texts, _changed(spark, sf, 7), 7, 6, index)))
+counts_only, counts_only_whole = _both(lambda texts, index, spark, sf: _counted(texts, index, _changed(spark, sf)))
+indel_search, indel_search_whole = _both(lambda texts, index, spark, sf: _hits(_indels(texts, _pieces(spark, sf, EDITED, 16, 8), index)))
+best_match, best_match_whole = _both(lambda texts, index, spark, sf: _best(S.search(texts, _changed(spark, sf), 5, 2, index), _read(spark, sf, "labels")))
+recall, recall_whole = _both(lambda texts, index, spark, sf: _recall(_exact(texts, _changed(spark, sf), index), S.search(texts, _changed(spark, sf), 5, 2, index)))
+mixed_union, mixed_union_whole = _both(
+    lambda texts, index, spark, sf: _hits(_exact(texts, _pieces(spark, sf, "w", 15), index)).unionByName(discontinuous_search(spark, sf).withColumnRenamed("qrow", "item_id").withColumn("piece", F.lit(None).cast("int")))
+)
 
-def exact_search_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(_exact(corpus(spark, sf), _pieces(spark, sf, "w", 15)))
 
+def exact_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits as ``exact_search``, by one automaton in one pass."""
+    return _hits(scan(corpus(spark, sf), _pieces(spark, sf, "w", 15)))
 
-def exact_search_with_misses_whole(spark: SparkSession, sf: str) -> DataFrame:
-    queries = _pieces(spark, sf, SUBSTITUTED, 15)
-    hits = _exact(corpus(spark, sf), queries)
-    return queries.join(hits, "qrow", "left").select("qrow", "query_id", "seq", F.col("protein_num").cast("long").alias("protein_num"), F.col("st").cast("long").alias("st"), F.coalesce("mutated", F.lit("[]")).alias("mutated"))
 
+def exact_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of exact hits of pieces of 5 letters and more, from postings alone."""
+    queries = _pieces(spark, sf, "w", 15)
+    return S.named_counts(S.exact_counts(queries, 5, _index(spark, sf)), queries).groupBy("Query ID", "Query Sequence", "Mismatches").agg(F.sum("Count").alias("Count"))
 
-def mismatch_search_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.search(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15), 5, 2))
 
+#: Letters and positions taken from the first document, one of them wrong in the second query.
+ANCHORED = [(1, "A1, N2, B3, L4"), (2, "A1, N2, X3"), (3, "E5, W6, H7"), (4, "T1, H2, S3, T4")]
 
-def mismatch_search_seed_bound_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(S.search(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15, 7), 7, 6))
 
+def discontinuous_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, str(i), s) for i, s in ANCHORED] + [(9, "9", "PLAIN")], "qrow long, query_id string, seq string")
+    anchored, _ = S.discontinuous_queries(rows)
+    found = S.discontinuous_search(corpus(spark, sf), anchored, 1)
+    return found.select(*(F.col(c).cast("long").alias(c) for c in ("qrow", "protein_num", "st")), "matched", F.col("edits").cast("long").alias("edits"), "mutated")
 
-def counts_only_whole(spark: SparkSession, sf: str) -> DataFrame:
-    queries = _pieces(spark, sf, SUBSTITUTED, 15)
-    return S.counts(S.search(corpus(spark, sf), queries, 5, 2), queries)
 
+def clean_query_anti(spark: SparkSession, sf: str) -> DataFrame:
+    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("qrow"), (F.col("item_id") % 11).cast("string").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.lit("R3, Q40")).otherwise(F.col("text")).alias("seq"))
+    return S.discontinuous_queries(items)[1].select("qrow", "query_id", "seq")
 
-def indel_search_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The seeds' length follows from the shortest query, so long and short pieces are searched apart."""
-    queries, texts, size = _pieces(spark, sf, EDITED, 16, 8), corpus(spark, sf), F.length("seq")
-    found = [S.indel_search(texts, queries.where(f)) for f in (size >= 15, (size >= 7) & (size < 15), size < 7)]
-    return _named(found[0].unionByName(found[1]).unionByName(found[2]))
 
+def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _read(spark, sf, "part").select(F.col("p_partkey").alias("protein_num"), _letters("p_name").alias("sequence"))
+    return K.kmers(K.blocks(parts, 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
 
-def clean_query_anti_whole(spark: SparkSession, sf: str) -> DataFrame:
-    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("qrow"), (F.col("item_id") % 11).cast("string").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.lit("R3, Q40")).otherwise(F.col("text")).alias("seq"))
-    return S.discontinuous_queries(items)[1].select("qrow", "query_id", "seq")
 
+def kmer_counts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the corpus of all other queries."""
+    return K.kmers(K.blocks(corpus(spark, sf), 3), 3).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("protein_num").alias("n_sequences"))
 
-def mixed_union_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_search_whole(spark, sf).unionByName(discontinuous_search(spark, sf))
 
+def _seeds(size: int, k: int, how: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return K.seeds(_pieces(spark, sf, "w", size), k, how).select("qrow.item_id", "qrow.piece", F.col("off").cast("long").alias("off"), "kmer")
 
-def recall_whole(spark: SparkSession, sf: str) -> DataFrame:
-    key = ["qrow", "protein_num", "st"]
-    exact = _exact(corpus(spark, sf), _pieces(spark, sf, SUBSTITUTED, 15))
-    found, expected = exact.select(*key).distinct(), mismatch_search_whole(spark, sf).select(*key).distinct()
-    both = found.join(expected, key).agg(F.count("*").alias("n"))
-    return expected.agg(F.count("*").alias("m")).crossJoin(both).select(F.round(F.least(F.lit(100.0), F.try_divide(100.0 * F.col("n"), F.col("m"))), 6).alias("recall"))
+    return query
 
 
 #: Headers made of part columns, with isoforms, missing fields and both kinds of databases.
@@ -233,19 +196,46 @@ def header_metadata(spark: SparkSession, sf: str) -> DataFrame:
 _CORPUS = f"c AS (SELECT doc_id protein_num, regexp_replace(translate(coalesce(text, ''), '{LOW}', '{UP}'), '[^A-Z]', '', 'g') s FROM documents)"
 
 
-def _q(seq: str, size: int) -> str:
-    return f"""i AS (SELECT item_id qrow, substr(regexp_replace(translate(coalesce(text, ''), '{LOW}', '{UP}'), '[^A-Z]', '', 'g'), 11, {size}) w FROM benchmark),
-q AS (SELECT qrow, qrow::VARCHAR query_id, {seq} seq FROM i WHERE length(w) = {size})"""
+_X = f"regexp_replace(translate(coalesce(text, ''), '{LOW}', '{UP}'), '[^A-Z]', '', 'g')"
+
+
+def _q(seq: str, size: int, least: int = 5) -> str:
+    """Pieces of whole items."""
+    return f"""i AS (SELECT item_id, {_X} x FROM benchmark), n AS (SELECT *, greatest((length(x) + {size - least}) // {size}, 1) AS n FROM i),
+p AS (SELECT item_id, piece::INTEGER piece, CASE WHEN piece + 1 < n THEN substr(x, piece::INT * {size} + 1, {size}) ELSE substr(x, piece::INT * {size} + 1) END w FROM (SELECT *, unnest(range(0, n)) piece FROM n)),
+q AS (SELECT item_id, piece, item_id::VARCHAR query_id, {seq} seq FROM p)"""
+
 
+#: The corpus in blocks of 256 letters with some that follow, so that no long text is searched for each of its places.
+_CHUNKS = f"{_CORPUS}, h AS MATERIALIZED (SELECT protein_num, plen, b, substr(s, b::INT * 256 + 1, 320) chunk FROM (SELECT protein_num, s, length(s) plen, unnest(range(0, (length(s) + 255) // 256)) b FROM c WHERE s <> ''))"
 
-def _windows(size: int, name: str = "w") -> str:
-    return f"{name} AS (SELECT protein_num, st, substr(s, st + 1, {size}) win FROM (SELECT protein_num, s, unnest(range(0, length(s) - {size - 1})) st FROM c WHERE length(s) >= {size}))"
 
+def _places(sizes: str, name: str = "g") -> str:
+    """Every k-letter string of the corpus, for each size of ``sizes``."""
+    return f"{name}_size AS (SELECT DISTINCT size FROM ({sizes}) WHERE size > 0), {name} AS (SELECT protein_num, plen, size, b * 256 + i pos, substr(chunk, i::INT + 1, size::INT) g FROM (SELECT *, unnest(range(0, least(256, plen - b * 256 - size + 1))) i FROM h, {name}_size))"
 
-_MUTATED = "'[' || array_to_string(list_filter(range(1, 16), lambda i: substr(seq, i::INT, 1) <> substr(win, i::INT, 1)), ', ') || ']'"
-_EXACT = "SELECT qrow, protein_num, st, win matched, 0::BIGINT edits, '[]' mutated FROM w JOIN q ON win = seq"
-_NEAR = f"SELECT qrow, protein_num, st, win matched, hamming(win, seq)::BIGINT edits, {_MUTATED} mutated, seq FROM w JOIN q ON hamming(win, seq) <= {{most}}"
-_NUM = "qrow, protein_num, st, matched, edits, mutated"
+
+#: Candidates ``item_id, piece, seq, protein_num, st, size`` with their windows.
+_CUT = "SELECT x.*, substr(chunk, (st % 256)::INT + 1, size::INT) win FROM {} x JOIN h ON h.protein_num = x.protein_num AND h.b = x.st // 256 WHERE st + size <= plen"
+_MUTATED = "'[' || array_to_string(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i::INT, 1) <> substr(win, i::INT, 1)), ', ') || ']'"
+
+
+def _exact_sql(seq: str, size: int = 15) -> str:
+    """Windows ``w`` that equal a piece, found by its first five letters."""
+    return f"""{_CHUNKS}, {_q(seq, size)}, {_places("SELECT least(5, length(seq)) size FROM q")},
+o AS (SELECT item_id, piece, query_id, seq, protein_num, pos st, length(seq) size FROM g JOIN q ON g = left(seq, 5)), w AS (SELECT * FROM ({_CUT.format("o")}) WHERE win = seq)"""
+
+
+def _near_sql(most: int, k: int) -> str:
+    """Windows ``near`` within the budget at which a seed of k letters stands: blocks where k divides the length, else any."""
+    return f"""{_CHUNKS}, {_q(SUBSTITUTED, 15, k)}, {_places(f"SELECT {k} size")},
+e AS (SELECT item_id, piece, seq, off, substr(seq, off::INT + 1, {k}) g FROM (SELECT *, unnest(range(0, length(seq) - {k} + 1, CASE WHEN length(seq) % {k} = 0 THEN {k} ELSE 1 END)) off FROM q WHERE length(seq) >= {k})),
+o AS (SELECT DISTINCT item_id, piece, seq, protein_num, pos - off st, length(seq) size FROM g JOIN e USING (g) WHERE pos >= off AND pos - off + length(seq) <= plen),
+near AS (SELECT item_id, piece, seq, protein_num, st, win matched, hamming(win, seq)::BIGINT edits, {_MUTATED} mutated FROM ({_CUT.format("o")}) WHERE hamming(win, seq) <= {most})"""
+
+
+_EXACT = "SELECT item_id, piece, protein_num, st, win matched, 0::BIGINT edits, '[]' mutated FROM w"
+_NUM = "item_id, piece, protein_num, st, matched, edits, mutated"
 _ANCHORED = " UNION ALL ".join(
     f"SELECT {i} qrow, protein_num, {parts[0][1:]} - 1 st, concat_ws(', ', {', '.join(f"concat(substr(s, {p[1:]}, 1), '{p[1:]}')" for p in parts)}) matched, list_filter([{', '.join(f"CASE WHEN substr(s, {p[1:]}, 1) <> '{p[0]}' THEN {p[1:]} END" for p in parts)}], lambda x: x IS NOT NULL) wrong FROM c WHERE length(s) >= {max(int(p[1:]) for p in parts)}"
     for i, parts in ((i, s.split(", ")) for i, s in ANCHORED)
@@ -254,16 +244,21 @@ _DISCONTINUOUS = f"SELECT qrow::BIGINT qrow, protein_num, st::BIGINT st, matched
 
 
 def _seed_sql(size: int, k: int, offs: str) -> str:
-    return f"WITH {_q('w', size)} SELECT qrow, off::BIGINT off, substr(seq, off + 1, {k}) kmer FROM (SELECT qrow, seq, unnest({offs}) off FROM q)"
+    return f"WITH {_q('w', size)} SELECT item_id, piece, off::BIGINT off, substr(seq, off::INT + 1, {k}) kmer FROM (SELECT item_id, piece, seq, unnest({offs}) off FROM q WHERE length(seq) >= {k})"
 
 
+# One half of a query stands before or after its edit; of it four letters, or all of a short one, find the place.
+_HALF = "least(4, length(seq) // 2)"
 _INDEL = f"""
-WITH {_CORPUS}, {_q(EDITED, 16)}, {_windows(14, 'w14')}, {_windows(15, 'w15')}, {_windows(16, 'w16')},
-d AS (SELECT DISTINCT qrow, left(seq, d) || substr(seq, d + 2) v FROM (SELECT qrow, seq, unnest(range(1, 14))::INT d FROM q)),
-b AS (SELECT qrow, seq, protein_num, st, win FROM w16 JOIN q ON left(win, 7) = left(seq, 7) UNION SELECT qrow, seq, protein_num, st, win FROM w16 JOIN q ON right(win, 7) = right(seq, 7))
-SELECT DISTINCT qrow, protein_num, st, win matched, 0::BIGINT edits, '[]' mutated FROM w15 JOIN q ON win = seq
-UNION ALL SELECT DISTINCT qrow, protein_num, st, win, 1, '[]' FROM w14 JOIN d ON win = v
-UNION ALL SELECT DISTINCT qrow, protein_num, st, win, 1, '[]' FROM b WHERE len(list_filter(range(1, 15), lambda i: left(win, i::INT) || substr(win, i::INT + 2) = seq)) > 0
+WITH {_CHUNKS}, {_q(EDITED, 16, 8)}, {_places(f"SELECT {_HALF} size FROM q")},
+f AS (SELECT item_id, piece, seq, protein_num, plen, pos FROM g JOIN q ON g = left(seq, size::INT) AND size = {_HALF}),
+r AS (SELECT item_id, piece, seq, protein_num, plen, pos + {_HALF} stop FROM g JOIN q ON g = right(seq, size::INT) AND size = {_HALF}),
+o AS (SELECT DISTINCT * FROM (SELECT item_id, piece, seq, protein_num, pos st, length(seq) + d size FROM f, (SELECT unnest([-1, 0, 1]) d) UNION ALL SELECT item_id, piece, seq, protein_num, stop - length(seq) - d, length(seq) + d FROM r, (SELECT unnest([-1, 1]) d)) WHERE st >= 0),
+w AS ({_CUT.format("o")})
+SELECT item_id, piece, protein_num, st, win matched, abs(size - length(seq))::BIGINT edits, '[]' mutated FROM w WHERE CASE
+  WHEN size = length(seq) THEN win = seq AND length(seq) > 1
+  WHEN size < length(seq) THEN length(seq) > 3 AND len(list_filter(range(1, length(seq) - 1), lambda i: left(seq, i::INT) || substr(seq, i::INT + 2) = win)) > 0
+  ELSE length(seq) > 2 AND len(list_filter(range(1, length(seq)), lambda i: left(win, i::INT) || substr(win, i::INT + 2) = seq)) > 0 END
 """
 _FIELDS = f"""
 h AS (SELECT p_partkey protein_num, {HEADER.format(s='varchar')} header FROM part),
@@ -274,25 +269,29 @@ f AS (SELECT protein_num, split_part(header, '|', 2) protein_id, trim(split_part
 
 
 def oracle_sql() -> dict[str, str]:
-    near = lambda most: f"WITH {_CORPUS}, {_q(SUBSTITUTED, 15)}, {_windows(15)}, n AS ({_NEAR.format(most=most)})"
-    exact = f"WITH {_CORPUS}, {_q('w', 15)}, {_windows(15)} {_EXACT}"
-    run7 = "len(list_filter(range(1, 10), lambda i: substr(seq, i::INT, 7) = substr(matched, i::INT, 7))) > 0"
-    return {
+    near = lambda most, k=5: f"WITH {_near_sql(most, k)}"
+    exact = f"WITH {_exact_sql('w')} {_EXACT}"
+    counts = lambda texts, name: f"WITH {_CHUNKS.replace(_CORPUS, f'c AS (SELECT {name} protein_num, {texts})')}, {_places('SELECT 3 size')} SELECT g kmer, count(*) n, count(DISTINCT protein_num) n_sequences FROM g GROUP BY g"
+    found = {
         "exact_search": exact,
-        "exact_search_with_misses": f"WITH {_CORPUS}, {_q(SUBSTITUTED, 15)}, {_windows(15)} SELECT query_id, seq, protein_num, st, '[]' mutated FROM q LEFT JOIN w ON win = seq",
-        "mismatch_search": f"{near(2)} SELECT {_NUM} FROM n",
-        "mismatch_search_seed_bound": f"{near(6)} SELECT {_NUM} FROM n WHERE {run7}",
-        "counts_only": f"""{near(2)} SELECT qrow::VARCHAR "Query ID", seq "Query Sequence", edits "Mismatches", count(*) "Count" FROM n GROUP BY qrow, seq, edits""",
+        "exact_search_with_misses": f"WITH {_exact_sql(SUBSTITUTED)} SELECT q.item_id, q.piece, q.query_id, q.seq, protein_num, st, '[]' mutated FROM q LEFT JOIN w ON w.item_id = q.item_id AND w.piece = q.piece",
+        "mismatch_search": f"{near(2)} SELECT {_NUM} FROM near",
+        "mismatch_search_seed_bound": f"{near(6, 7)} SELECT {_NUM} FROM near",
+        "counts_only": f"""{near(2)} SELECT item_id::VARCHAR "Query ID", seq "Query Sequence", edits "Mismatches", count(*) "Count" FROM near GROUP BY item_id, piece, seq, edits""",
         "indel_search": _INDEL,
         "discontinuous_search": f"WITH {_CORPUS} {_DISCONTINUOUS}",
-        "clean_query_anti": "WITH i AS (SELECT item_id qrow, (item_id % 11)::VARCHAR query_id, CASE WHEN item_id % 5 = 0 THEN 'R3, Q40' ELSE left(text, 20) END seq FROM benchmark) SELECT * FROM i WHERE query_id NOT IN (SELECT query_id FROM i WHERE regexp_full_match(seq, '.[0-9]+(, .[0-9]+)*'))",
-        "best_match": f"{near(2)} SELECT qrow, protein_num, edits, st FROM (SELECT n.*, row_number() OVER (PARTITION BY qrow ORDER BY edits, coalesce(quality, -1) DESC, coalesce(toxic, -1), protein_num, st) r FROM n LEFT JOIN labels ON doc_id = protein_num) WHERE r = 1",
-        "mixed_union": f"SELECT * FROM ({exact}) UNION ALL SELECT * FROM (WITH {_CORPUS} {_DISCONTINUOUS})",
-        "recall": f"{near(2)} SELECT round(least(100.0::DOUBLE, 100.0::DOUBLE * count(*) FILTER (edits = 0) / count(*)), 6) recall FROM n",
-        "kmer_counts": f"SELECT kmer, count(*) n, count(DISTINCT p_partkey) n_sequences FROM (SELECT p_partkey, substr(s, st::INT + 1, 3) kmer FROM (SELECT p_partkey, s, unnest(range(0, length(s) - 2)) st FROM (SELECT p_partkey, regexp_replace(translate(p_name, '{LOW}', '{UP}'), '[^A-Z]', '', 'g') s FROM part) WHERE length(s) >= 3)) GROUP BY kmer",
-        "seeds_block": _seed_sql(15, 5, "range(0, 11, 5)"),
-        "seeds_sliding": _seed_sql(15, 4, "range(0, 12)"),
-        "seeds_coverage": _seed_sql(15, 4, "[0, 4, 8, 11]"),
+        "clean_query_anti": "WITH i AS (SELECT item_id qrow, (item_id % 11)::VARCHAR query_id, CASE WHEN item_id % 5 = 0 THEN 'R3, Q40' ELSE text END seq FROM benchmark) SELECT * FROM i WHERE query_id NOT IN (SELECT query_id FROM i WHERE regexp_full_match(seq, '.[0-9]+(, .[0-9]+)*'))",
+        "best_match": f"{near(2)} SELECT item_id, piece, protein_num, edits, st FROM (SELECT near.*, row_number() OVER (PARTITION BY item_id, piece ORDER BY edits, coalesce(quality, -1) DESC, coalesce(toxic, -1), protein_num, st) r FROM near LEFT JOIN labels ON doc_id = protein_num) WHERE r = 1",
+        "mixed_union": f"SELECT * FROM ({exact}) UNION ALL SELECT qrow, NULL, protein_num, st, matched, edits, mutated FROM (WITH {_CORPUS} {_DISCONTINUOUS})",
+        # An exact hit of 5 letters and more has an intact seed.
+        "recall": f"{near(2)} SELECT round(least(100.0::DOUBLE, 100.0::DOUBLE * count(*) FILTER (edits = 0) / count(*)), 6) recall FROM near",
+        "kmer_counts": counts(f"{_X.replace('text', 'p_name')} s FROM part", "p_partkey"),
+        "kmer_counts_whole": counts(f"{_X} s FROM documents", "doc_id"),
+        "exact_scan": exact,
+        "exact_counts": f"""WITH {_exact_sql('w')} SELECT item_id::VARCHAR "Query ID", seq "Query Sequence", 0::BIGINT "Mismatches", count(*) "Count" FROM w WHERE length(seq) >= 5 GROUP BY item_id, seq""",
+        "seeds_block": _seed_sql(15, 5, "range(0, length(seq) - 4, CASE WHEN length(seq) % 5 = 0 THEN 5 ELSE 1 END)"),
+        "seeds_sliding": _seed_sql(15, 4, "range(0, length(seq) - 3, CASE WHEN length(seq) % 4 = 0 THEN 4 ELSE 1 END)"),
+        "seeds_coverage": _seed_sql(15, 4, "list_distinct(list_concat(range(0, length(seq) - 3, 4), [length(seq) - 4]))"),
         "header_fields": f"WITH {_FIELDS} SELECT * FROM f",
         "header_metadata": f"""WITH {_FIELDS},
 k AS (SELECT protein_id accession, arg_max(pe, protein_num) canonical FROM f WHERE NOT isoform AND pe <> '' GROUP BY 1),
@@ -300,16 +299,22 @@ g AS (SELECT protein_num, row_number() OVER (PARTITION BY gene ORDER BY protein_
 SELECT protein_num, CAST(CASE WHEN isoform AND pe IN ('', '0') AND canonical IS NOT NULL THEN canonical WHEN pe = '' THEN '0' ELSE pe END AS BIGINT) pe_level, coalesce((r = 1)::BIGINT, 0) gene_priority,
   nullif(taxon_id, '') taxon_id, protein_id || '.' || sequence_version versioned_id FROM f LEFT JOIN k USING (accession) LEFT JOIN g USING (protein_num)""",
     }
+    return found | {f"{name}_whole": found[name] for name in WHOLE if f"{name}_whole" not in found}
+
+
+#: Queries that have a twin by another way to the same rows, or by another name.
+WHOLE = ["exact_search", "exact_search_with_misses", "mismatch_search", "mismatch_search_seed_bound", "counts_only", "indel_search", "best_match", "recall", "mixed_union", "clean_query_anti", "kmer_counts", "seeds_block", "seeds_sliding", "seeds_coverage"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "exact_search": exact_search, "exact_search_with_misses": exact_search_with_misses, "mismatch_search": mismatch_search, "mismatch_search_seed_bound": mismatch_search_seed_bound,
         "counts_only": counts_only, "indel_search": indel_search, "discontinuous_search": discontinuous_search, "clean_query_anti": clean_query_anti, "best_match": best_match, "mixed_union": mixed_union,
         "recall": recall, "kmer_counts": kmer_counts, "seeds_block": _seeds(15, 5, "mismatch"), "seeds_sliding": _seeds(15, 4, "mismatch"), "seeds_coverage": _seeds(15, 4, "coverage"),
-        "header_fields": header_fields, "header_metadata": header_metadata,
+        "header_fields": header_fields, "header_metadata": header_metadata, "exact_scan": exact_scan, "exact_counts": exact_counts,
         "exact_search_whole": exact_search_whole, "exact_search_with_misses_whole": exact_search_with_misses_whole, "mismatch_search_whole": mismatch_search_whole,
-        "mismatch_search_seed_bound_whole": mismatch_search_seed_bound_whole, "counts_only_whole": counts_only_whole, "indel_search_whole": indel_search_whole,
-        "clean_query_anti_whole": clean_query_anti_whole, "mixed_union_whole": mixed_union_whole, "recall_whole": recall_whole, "kmer_counts_whole": kmer_counts_whole,
-        "seeds_block_whole": _seeds(15, 5, "mismatch", _pieces), "seeds_sliding_whole": _seeds(15, 4, "mismatch", _pieces), "seeds_coverage_whole": _seeds(15, 4, "coverage", _pieces),
+        "mismatch_search_seed_bound_whole": mismatch_search_seed_bound_whole, "counts_only_whole": counts_only_whole, "indel_search_whole": indel_search_whole, "best_match_whole": best_match_whole,
+        "recall_whole": recall_whole, "mixed_union_whole": mixed_union_whole, "kmer_counts_whole": kmer_counts_whole,
     }
+    # These always took whole items where they were named so.
+    return found | {f"{name}_whole": found[name] for name in WHOLE if f"{name}_whole" not in found}

@@ -38,11 +38,11 @@ def tables(spark, tmp_path_factory):
 
 
 def cut(items, size, least, change=lambda i, w: w):
-    return {i * Q.PIECES + n: change(i + n, w) for i, x in enumerate(items) for n, w in enumerate(pieces(x, size, least))}
+    return {(i, n): change(i + n, w) for i, x in enumerate(items) for n, w in enumerate(pieces(x, size, least))}
 
 
 def got(df):
-    return sorted((r.qrow, r.protein_num, r.st, r.matched, r.edits) for r in df.collect())
+    return sorted(((r.item_id, r.piece), r.protein_num, r.st, r.matched, r.edits) for r in df.collect())
 
 
 def want(docs, qs, k, most):
@@ -52,8 +52,8 @@ def want(docs, qs, k, most):
 
 def test_pieces_hold_all_letters(spark, tables):
     sf, items, _ = tables
-    rows = sorted(tuple(r) for r in Q._pieces(spark, sf, "w", 15).collect())
-    assert rows == [(q, str(q // Q.PIECES), w) for q, w in cut(items, 15, 5).items()]
+    rows = sorted((tuple(r.qrow), r.query_id, r.seq) for r in Q._pieces(spark, sf, "w", 15).collect())
+    assert rows == [(q, str(q[0]), w) for q, w in cut(items, 15, 5).items()]
     for i, x in enumerate(items):
         assert "".join(w for _, item, w in rows if item == str(i)) == x
 
@@ -62,13 +62,18 @@ def test_searches_of_whole_items(spark, tables):
     sf, items, docs = tables
     plain, changed = cut(items, 15, 5), cut(items, 15, 5, substituted)
     every = sorted((q, p, st, w, 0) for q, w in plain.items() if w for p, d in enumerate(docs, 1) for st in range(len(d)) if d.startswith(w, st))
-    assert got(Q.exact_search_whole(spark, sf)) == every
-    late = {q for q, *_ in every if q % Q.PIECES > 1}
-    assert late and {q // Q.PIECES for q, *_ in every} >= {2, 7, 8}
-    assert got(Q.mismatch_search_whole(spark, sf)) == want(docs, changed, 5, 2)
-    assert got(Q.mismatch_search_seed_bound_whole(spark, sf)) == want(docs, cut(items, 15, 7, substituted), 7, 6)
+    for query in (Q.exact_search, Q.exact_search_whole, Q.exact_scan):
+        assert got(query(spark, sf)) == every
+    late = {q for q, *_ in every if q[1] > 1}
+    assert late and {q[0] for q, *_ in every} >= {2, 7, 8}
+    for query in (Q.mismatch_search, Q.mismatch_search_whole):
+        assert got(query(spark, sf)) == want(docs, changed, 5, 2)
+    for query in (Q.mismatch_search_seed_bound, Q.mismatch_search_seed_bound_whole):
+        assert got(query(spark, sf)) == want(docs, cut(items, 15, 7, substituted), 7, 6)
+    counted = {(r["Query ID"], r["Query Sequence"]): r["Count"] for r in Q.exact_counts(spark, sf).collect()}
+    assert counted == {(str(i), plain[i, n]): sum(plain[q[0], q[1]] == plain[i, n] and q[0] == i for q, *_ in every) for (i, n), *_ in every if len(plain[i, n]) >= 5}
     missed = Q.exact_search_with_misses_whole(spark, sf)
-    assert {(r.qrow, r.seq) for r in missed.collect()} == set(changed.items())
+    assert {((r.item_id, r.piece), r.seq) for r in missed.collect()} == set(changed.items())
 
 
 def test_indels_of_whole_items(spark, tables):
@@ -84,15 +89,16 @@ def test_indels_of_whole_items(spark, tables):
                     last = n - 1 if size < n else n
                     if len(v) == size and (v == w if size == n else any(b[:i] + b[i + 1 :] == a for i in range(1, last))):
                         found.add((q, p, st, v, abs(size - n)))
-    short = {i * Q.PIECES for i, x in enumerate(items) if len(x) < 4}
-    assert [r for r in got(Q.indel_search_whole(spark, sf)) if r[0] not in short] == sorted(found)
+    short = {(i, 0) for i, x in enumerate(items) if len(x) < 4}
+    for query in (Q.indel_search, Q.indel_search_whole):
+        assert [r for r in got(query(spark, sf)) if r[0] not in short] == sorted(found)
 
 
 def test_other_queries_take_whole_items(spark, tables):
     sf, items, docs = tables
-    offs = {(r.qrow, r.off, r.kmer) for r in Q.queries()["seeds_block_whole"](spark, sf).collect()}
+    offs = {((r.item_id, r.piece), r.off, r.kmer) for r in Q.queries()["seeds_block_whole"](spark, sf).collect()}
     assert offs == {(q, o, w[o : o + 5]) for q, w in cut(items, 15, 5).items() for o in (range(0, len(w) - 4, 5) if len(w) % 5 == 0 else range(len(w) - 4))}
-    assert max(len(r.seq) for r in Q.clean_query_anti_whole(spark, sf).collect()) == len(items[8]) + 1
+    assert max(len(r.seq) for r in Q.clean_query_anti(spark, sf).collect()) == len(items[8]) + 1
     hits = want(docs, cut(items, 15, 5, substituted), 5, 2)
     assert sum(r["Count"] for r in Q.counts_only_whole(spark, sf).collect()) == len(hits)
     both = sum(1 for q, _, _, w, e in hits if e == 0)
