@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .search import search
+from .search import least_edits, search
 
 if TYPE_CHECKING:
     from ..sources.index import KmerIndex
@@ -22,20 +22,34 @@ def stages(shortest: int) -> list[int]:
     return sorted(set(found), reverse=True)
 
 
-def best_hits(corpus: DataFrame, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
+def last_level(frontier: list[tuple[int | None, int]], level: int) -> int:
+    """The budget at which deepening ends: it grows by one while it is below the shortest query left, and queries leave with their least edits.
+
+    ``frontier``: the different pairs of least edits (None: no place at all) and length.
+    """
+    left = list(frontier)
+    while left and level < min(size for _, size in left):
+        level += 1
+        left = [(least, size) for least, size in left if least is None or least > level]
+    return level
+
+
+def best_hits(corpus: DataFrame | None, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
     """Hits of the first stage that has any for a query id; queries that leave are not searched again.
 
-    Every stage is written, so that plans don't grow with the number of stages;
-    with an ``index`` it is a lookup.
+    Stages with seeds of falling length, as many as the length can be halved, come
+    first. What they leave is decided by one table: the least edits of every query at
+    any place with a seed of two letters. From its few different rows follows where a budget
+    that grows by one at a time would stop, so one search brings the hits with the
+    least edits, instead of one for each budget. Every stage is written; with an ``index`` it is a lookup.
     """
     left, found = written(queries), None
 
     def shortest() -> int | None:
         return left.agg(F.min(F.length("seq"))).first()[0]
 
-    def stage(k: int, most: int) -> None:
+    def leave(hits: DataFrame) -> None:
         nonlocal left, found
-        hits = written(search(corpus, left, k, most, index))
         ids = left.join(hits.select("qrow").distinct(), "qrow").select("query_id").distinct()
         found = hits if found is None else found.unionByName(hits)
         left = written(left.join(ids, "query_id", "left_anti").select("qrow", "query_id", "seq"))
@@ -43,14 +57,17 @@ def best_hits(corpus: DataFrame, queries: DataFrame, index: KmerIndex | None = N
     for k in stages(shortest() or 2):
         if (size := shortest()) is None:
             return found
-        stage(k, max(size // k - 1, 0))
-    size = shortest()
-    most = (size or 0) // 2
-    while size is not None and most < size:
-        most += 1
-        stage(2, most)
-        size = shortest()
-    return found
+        leave(written(search(corpus, left, k, max(size // k - 1, 0), index)))
+    if (size := shortest()) is None:
+        return found
+    least = left.join(least_edits(corpus, left, 2, index), "qrow", "left")
+    by_id = written(least.groupBy("query_id").agg(F.min("least").alias("least"), F.min(F.length("seq")).alias("size")))
+    # One row for each pair of edits and length, however many queries there are.
+    frontier = [(r["least"], r["size"]) for r in by_id.select("least", "size").distinct().collect()]
+    most = last_level(frontier, size // 2)
+    wanted = left.join(by_id.where(F.col("least") <= most), "query_id").select("qrow", "query_id", "seq", "least")
+    hits = search(corpus, wanted.drop("least"), 2, most, index).join(wanted.select("qrow", "least"), "qrow").where("edits = least").drop("least")
+    return found.unionByName(written(hits))
 
 
 def pick(results: DataFrame, order: list | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def rarest_seeds(queries: DataFrame, k: int, index: KmerIndex) -> DataFrame:
     known = index.frequencies(k, _few(every, "kmer"))
     counted = every.join(known, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = counted.groupBy("qrow").agg(F.min_by(F.struct(*every.columns, "n"), F.struct("n", "off")).alias("s"))
-    return best.where("s.n > 0").select("s.*")
+    return written(best.where("s.n > 0").select("s.*"))
 
 
 def _postings(wanted: DataFrame, k: int, index: KmerIndex) -> DataFrame:
@@ -122,9 +122,7 @@ def search(corpus: DataFrame | None, queries: DataFrame, k: int, max_mismatches:
         same = placed.where("all").select("qrow", "seq", "protein_num", "st", F.col("seq").alias("matched"), F.lit(0).alias("edits"))
         found = near.select(*same.columns).unionByName(same) if max_mismatches else near.select(*same.columns)
         return found.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
-    met = _seed_join(corpus, queries, k, "mismatch" if max_mismatches else "anchor", _longest(queries) + 1)
-    placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen")
-    windows = placed.withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
+    windows = _text_windows(corpus, queries, k, "mismatch" if max_mismatches else "anchor")
     if not max_mismatches:
         return windows.where("matched = seq").select("qrow", "protein_num", "st", "matched", F.lit(0).alias("edits"), F.lit("[]").alias("mutated"))
     near = windows.withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
@@ -132,6 +130,23 @@ def search(corpus: DataFrame | None, queries: DataFrame, k: int, max_mismatches:
     return once.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
 
 
+def _text_windows(corpus: DataFrame, queries: DataFrame, k: int, how: str) -> DataFrame:
+    """Seeds' windows (``matched``) in the sequences, one for each seed that stands there."""
+    met = _seed_join(corpus, queries, k, how, _longest(queries) + 1)
+    placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen")
+    return placed.withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
+
+
+def least_edits(corpus: DataFrame | None, queries: DataFrame, k: int, index: KmerIndex | None = None) -> DataFrame:
+    """``qrow, least``: the fewest substitutions of any place at which a seed of k letters stands. Only the least of each task is sent on."""
+    if index is not None:
+        placed = candidates(queries, k, 1, index)
+        windows = _windows(placed, index).withColumnRenamed("window", "matched")
+    else:
+        windows = _text_windows(corpus, queries, k, "mismatch")
+    return windows.groupBy("qrow").agg(F.min(hamming("seq", "matched")).alias("least"))
+
+
 def hamming_search(corpus: DataFrame, queries: DataFrame, max_mismatches: int) -> DataFrame:
     """Every place with at most ``max_mismatches`` substitutions, without a condition on seeds.
 

@@ -15,8 +15,9 @@ from ..functions import headers as H
 from ..operators import best_match as best
 from ..operators import search as S
 from ..sources.readers import fasta
+from ..sources.readers import queries as read_queries
 from ..sources.shared import scratch_path
-from ..sources.sinks import write_parts
+from ..sources.sinks import write_file, write_parts
 from .matcher import best_frame, result_frame
 from .queries import _FIELDS, LOW, UP, _headers, _letters, _read
 
@@ -67,6 +68,43 @@ def _parts(fmt: str):
     return query
 
 
+def fasta_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of the documents' records, written as FASTA in the order of their ids and read again over all splits."""
+    path = scratch_path(spark)
+    rows = _read(spark, sf, "documents").select("doc_id", F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit("\n"), _letters("text")).alias("value"))
+    rows.orderBy("doc_id").select("value").write.text(path)
+    return fasta(spark, path).select("protein_num", "header", F.length("sequence").cast("long").alias("letters"))
+
+
+def text_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries from text files: a line for each part's name, with blank lines between some."""
+    path = f"{scratch_path(spark)}.txt"
+    name = F.concat(F.lit(" "), "p_name", F.lit("\t"))
+    lines = _read(spark, sf, "part").select("p_partkey", F.explode(F.when(F.col("p_partkey") % 5 == 3, F.array(F.lit("  "), name)).otherwise(F.array(name))).alias("value"))
+    lines.orderBy("p_partkey").select("value").write.text(path)
+    return read_queries(spark, path).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+
+
+def _one_file(fmt: str):
+    """The result as one file in the shared folder, read again."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        result = metadata_join(spark, sf)
+        path, reader = write_file(result, fmt, scratch_path(spark)), spark.read.schema(result.schema)
+        return reader.json(path, multiLine=True) if fmt == "json" else reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"')
+
+    return query
+
+
+def hamming_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All places within 0 to 3 substitutions, whatever seeds stand there."""
+    queries, found = _named(spark, sf), None
+    for most in range(4):
+        hits = S.hamming_search(_corpus(spark, sf), queries, most).join(queries.select("qrow", "query_id"), "qrow").select(F.lit(most).alias("budget"), "query_id", "protein_num", F.col("st").cast("long").alias("st"), "matched", F.col("edits").cast("long").alias("edits"), "mutated")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 _LETTERS = f"regexp_replace(translate(coalesce({{}}, ''), '{LOW}', '{UP}'), '[^A-Z]', '', 'g')"
 _META = f"""{_FIELDS},
 k AS (SELECT protein_id accession, arg_max(pe, protein_num) canonical FROM f WHERE NOT isoform AND pe <> '' GROUP BY 1),
@@ -91,9 +129,16 @@ SELECT {_COLUMNS} FROM q LEFT JOIN (SELECT * FROM r WHERE nth = 1) n ON n.query_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"metadata_join": metadata_join, "best_match_staged": best_match_staged, "fasta_round_trip": fasta_round_trip, **{f"{fmt}_parts": _parts(fmt) for fmt in ("csv", "tsv", "json")}}
+    return {"metadata_join": metadata_join, "best_match_staged": best_match_staged, "fasta_round_trip": fasta_round_trip, "fasta_numbers": fasta_numbers, "text_queries": text_queries, "hamming_search": hamming_search, **{f"{fmt}_parts": _parts(fmt) for fmt in ("csv", "tsv", "json")}, **{f"{fmt}_file": _one_file(fmt) for fmt in ("csv", "tsv", "json")}}
 
 
 def oracle_sql() -> dict[str, str]:
     records = f"SELECT trim('D' || doc_id || ' ' || coalesce(source, '')) header, {_LETTERS.format('text')} \"sequence\" FROM documents"
-    return {"metadata_join": _RESULT, "best_match_staged": _BEST, "fasta_round_trip": records, **{f"{fmt}_parts": _RESULT for fmt in ("csv", "tsv", "json")}}
+    numbers = f"SELECT row_number() OVER (ORDER BY doc_id) protein_num, 'D' || doc_id header, length({_LETTERS.format('text')}) letters FROM documents"
+    lines = "SELECT r qrow, 'q' || r query_id, upper(trim(p_name)) seq FROM (SELECT row_number() OVER (ORDER BY p_partkey) r, p_name FROM part)"
+    near = f"""WITH {_META} SELECT budget, query_id, protein_num, st, win matched, hamming(win, seq)::BIGINT edits,
+  '[' || array_to_string(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i::INT, 1) <> substr(win, i::INT, 1)), ', ') || ']' mutated FROM w, (SELECT unnest([0, 1, 2, 3])::INTEGER budget) WHERE hamming(win, seq) <= budget"""
+    return {
+        "metadata_join": _RESULT, "best_match_staged": _BEST, "fasta_round_trip": records, "fasta_numbers": numbers, "text_queries": lines, "hamming_search": near,
+        **{f"{fmt}_{how}": _RESULT for fmt in ("csv", "tsv", "json") for how in ("parts", "file")},
+    }

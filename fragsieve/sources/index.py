@@ -8,7 +8,6 @@ rename, in any store that Spark writes to.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +22,7 @@ from .storage import exists, published, qualified
 #: Rows of a page, and of a file on average.
 PAGE_ROWS, FILE_ROWS = 1024, 8_000_000
 #: Ranges of keys that a lookup pushes to the files; more keys share ranges.
-RANGES = 256
+RANGES = 64
 
 
 def content_key(rows: DataFrame) -> str:
@@ -40,7 +39,11 @@ def key_ranges(keys: list, most: int = RANGES) -> list[tuple]:
 
 
 def _any(conditions: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+    """Their disjunction as a balanced tree: the optimizer's work on a chain would grow with the square of its length."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
 
 
 class KmerIndex:
@@ -57,7 +60,7 @@ class KmerIndex:
 
         def build(own: str) -> None:
             rows = make()
-            files = max(1, rows.count() * wide // FILE_ROWS)
+            files = max(self.spark.sparkContext.defaultParallelism, rows.count() * wide // FILE_ROWS)
             rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", max(1, PAGE_ROWS // wide)).parquet(own)
             ends = self.spark.read.parquet(own).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("rows"))
             # Hidden, so that a reader of the folder doesn't take it for rows.

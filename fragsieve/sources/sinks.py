@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import csv
 import json
+import tempfile
 import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
+from .storage import copied
+
 FORMATS = ["dataframe", "csv", "tsv", "xlsx", "json"]
 
 
@@ -54,10 +57,17 @@ def _xlsx(df: DataFrame, path: str) -> None:
 
 
 def write_file(df: DataFrame, fmt: str, name: str) -> str:
-    """One file, streamed partition by partition; the suffix is added unless it is there."""
+    """One file, streamed partition by partition; the suffix is added unless it is there.
+
+    A name with a store (``scheme://...``) is written by the driver beside it first and then copied there.
+    """
     path = str(name)
     if not path.lower().endswith(f".{fmt}"):
         path += f".{fmt}"
+    if "://" in path:
+        with tempfile.TemporaryDirectory() as folder:
+            copied(df.sparkSession, write_file(df, fmt, f"{folder}/part"), path)
+        return path
     if fmt == "xlsx":
         _xlsx(df, path)
     elif fmt == "json":

@@ -30,6 +30,12 @@ def removed(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def copied(spark: SparkSession, local: str, path: str) -> None:
+    """A file of the driver's own disk into a store, replacing what is there."""
+    target, system = _place(spark, path)
+    system.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+
+
 def published(spark: SparkSession, path: str, build: Callable[[str], None]) -> str:
     """``path``, made by ``build(folder)`` in a folder beside it that is then renamed, unless it is there already.
 

@@ -114,6 +114,37 @@ def test_best_hits_have_the_fewest_edits(spark):
     assert 2 not in got and 3 not in got
 
 
+def _one_budget_at_a_time(corpus_rows, query_rows):
+    """The definition: stages by seed length, then budgets that grow by one."""
+    left, found = dict(enumerate(query_rows)), {}
+
+    def stage(k, most):
+        hits = brute(corpus_rows, list(left.values()), k, most)
+        keys = list(left)
+        for r in {h[0] for h in hits}:
+            found[keys[r]] = min((h[4] for h in hits if h[0] == r))
+        for q in found:
+            left.pop(q, None)
+
+    for k in best_match.stages(min(map(len, query_rows))):
+        if left:
+            stage(k, max(min(map(len, left.values())) // k - 1, 0))
+    most = min(map(len, left.values()), default=0) // 2
+    while left and most < min(map(len, left.values())):
+        most += 1
+        stage(2, most)
+    return found
+
+
+def test_one_frontier_equals_growing_budgets(spark):
+    rng = random.Random(11)
+    for n in range(3):
+        seqs = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.randint(10, 60))) for _ in range(5)]
+        qs = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWYX") for _ in range(rng.choice([6, 7, 9, 12, 15][n:]))) for _ in range(14)] + [seqs[0][2:9], "XXXXXXXXXXXX"]
+        found = best_match.best_hits(corpus(spark, seqs), queries(spark, qs)).groupBy("qrow").min("edits").collect()
+        assert {r[0]: r[1] for r in found} == _one_budget_at_a_time(seqs, qs)
+
+
 def test_seed_offsets(spark):
     q = queries(spark, ["ABCDEFGHIJ", "ABC"])
     offs = lambda k, how: sorted(r.off for r in K.seeds(q.where("qrow = 0"), k, how).collect())
