@@ -33,6 +33,12 @@ def mutated_positions(a: str, b: str) -> Column:
     return F.expr(f"concat('[', array_join(filter(sequence(1, length({a})), i -> substr({a}, i, 1) <> substr({b}, i, 1)), ', '), ']')")
 
 
+def _within(windows: DataFrame, most: int) -> DataFrame:
+    """Windows ``matched`` with at most ``most`` substitutions (``edits``). The edit distance with a threshold, which is never more, is compiled and leaves few to be counted."""
+    likely = windows.where(F.levenshtein("seq", "matched", most) >= 0)
+    return likely.withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= most)
+
+
 def _longest(queries: DataFrame) -> int:
     return queries.agg(F.max(F.length("seq"))).first()[0] or 0
 
@@ -118,14 +124,14 @@ def search(corpus: DataFrame | None, queries: DataFrame, k: int, max_mismatches:
     if index is not None:
         placed = candidates(queries, k, max_mismatches, index)
         # Where all seeds stand, the text is the query's; the seeds cover it.
-        near = _windows(placed.where("NOT all"), index).withColumnRenamed("window", "matched").withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
+        near = _within(_windows(placed.where("NOT all"), index).withColumnRenamed("window", "matched"), max_mismatches)
         same = placed.where("all").select("qrow", "seq", "protein_num", "st", F.col("seq").alias("matched"), F.lit(0).alias("edits"))
         found = near.select(*same.columns).unionByName(same) if max_mismatches else near.select(*same.columns)
         return found.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
     windows = _text_windows(corpus, queries, k, "mismatch" if max_mismatches else "anchor")
     if not max_mismatches:
         return windows.where("matched = seq").select("qrow", "protein_num", "st", "matched", F.lit(0).alias("edits"), F.lit("[]").alias("mutated"))
-    near = windows.withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
+    near = _within(windows, max_mismatches)
     once = near.select("qrow", "seq", "protein_num", "st", "matched", "edits").dropDuplicates(["qrow", "protein_num", "st"])
     return once.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
 
@@ -165,7 +171,7 @@ def hamming_search(corpus: DataFrame, queries: DataFrame, max_mismatches: int) -
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
         met = (kmers(blocked, k) if listed is None else kmers_among(blocked, k, listed)).join(wanted, "kmer")
         placed = met.withColumn("st", F.col("pos") - F.col("off")).where("st >= 0 AND st + length(seq) <= plen").withColumn("matched", F.expr("substr(chunk, st - c0 + 1, length(seq))"))
-        near = placed.withColumn("edits", hamming("seq", "matched")).where(F.col("edits") <= max_mismatches)
+        near = _within(placed, max_mismatches)
         once = near.select("qrow", "seq", "protein_num", "st", "matched", "edits").dropDuplicates(["qrow", "protein_num", "st"])
         found = once if found is None else found.unionByName(once)
     if found is None:
