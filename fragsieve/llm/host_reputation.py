@@ -4,7 +4,8 @@ Outcomes of pages with a verdict (1: blocked) are summed by host, registered
 domain and suffix. From the whole down to the host, a level's share is the mean of
 a beta distribution whose prior has the share of the level above and a strength
 fitted to the spread between the level's groups (method of moments). A host is
-blocked if the lower posterior bound of its share is above a limit.
+blocked if the lower posterior bound of its share is above a limit. The bound is a
+normal approximation: the mean less ``z`` standard deviations of the beta posterior.
 """
 
 from __future__ import annotations
