@@ -250,10 +250,10 @@ def _whole(distinct: DataFrame, length: int) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            raw, at, rest, merged = (text.as_py() or "").encode(), 0, hashlib.sha256(), []
-            for s in sorted((x["low"], x["high"]) for x in spans or ()):
+            raw, at, rest, merged = text.as_py().encode(), 0, hashlib.sha256(), []
+            for s in sorted((x["low"], x["high"]) for x in spans):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -262,12 +262,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest.update(raw[at:a])
                 at = b
             rest.update(raw[at:])
-            for c, v in zip(out, (len(raw), sum(b - a for a, b in merged), len(merged), rest.hexdigest()), strict=True):
+            for c, v in zip(out, (sum(b - a for a, b in merged), len(merged), rest.hexdigest()), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("name"), *(pa.array(c, pa.int64()) for c in out[:2]), pa.array(out[2], pa.string())], names=["name", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 20_000, share: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _one_each(named: DataFrame, names: DataFrame, bound: int) -> DataFrame:
+    """``name, text`` of one row for each of ``names``, or more; up to ``bound`` names are broadcast, and texts of other names stay where they are."""
+    some = named.join(F.broadcast(names), "name", "left_semi") if names.count() <= bound else named
+    return some.groupBy("name").agg(F.first("text").alias("text"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 20_000, share: int = 2_000, bound: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes that covers it starts anywhere
@@ -275,9 +281,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int
     least ``length`` bytes everything is removed; an empty table gives no rows;
     other columns are ignored. ``most``: surroundings that one sort takes; larger
     groups are split first. ``share``: grams with more than one of so many anchors
-    are counted before they are shuffled; this changes the plan only.
+    are counted before they are shuffled. Of equal texts one is sent, and only those
+    with bytes to fetch or spans, if these are up to ``bound`` different texts (whose
+    names are broadcast). These two change the plan only.
     """
-    named = texts(docs, id_col, text_col).withColumn("name", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    named = texts(docs, id_col, text_col).withColumn("whole", F.sha2("text", 256)).withColumn("name", F.substring(F.unhex("whole"), 1, 16))
     long = named.where(F.octet_length("text") >= length).select("name", "text")
     found = written(long.mapInArrow(_anchored(length, gram), "name binary, place long, key long, digest binary, back int, ahead int"))
     # Grams that occur more than once.
@@ -291,8 +299,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int
     one = written(parts[0].unionByName(parts[1]))
     # Bytes of one of each of the different surroundings of a gram; of equal texts one is sent.
     differ = one.groupBy("key").agg(F.count("*").alias("different")).where("different > 1").select("key")
-    wanted = one.join(differ, "key", "left_semi").groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
-    fetched = long.groupBy("name").agg(F.first("text").alias("text")).join(wanted, "name").select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
+    asked = one.join(differ, "key", "left_semi")
+    wanted = asked.groupBy("name").agg(F.collect_list(F.struct("key", "digest", "place", "back", "ahead")).alias("wanted"))
+    fetched = _one_each(long, written(asked.select("name").distinct()), bound).join(wanted, "name").select("text", "wanted").mapInArrow(_fetched, "key long, digest binary, back int, around binary")
     several = written(fetched.select("key", "digest", "back", "around", F.lit(0).alias("left"), F.lit(gram).alias("right")))
     ranges = ranges_of(several, length, most).unionByName(_whole(one, length)).select("key", "digest", F.explode("ranges").alias("r"))
     placed = found.select("name", "place", "key", "digest").join(ranges, ["key", "digest"]).select("name", (F.col("place") + F.col("r.low")).alias("low"), (F.col("place") + F.col("r.high")).alias("high")).distinct()
@@ -301,5 +310,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, most: int
     opens = F.coalesce(F.col("low") > F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     runs = placed.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order)).groupBy("name", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     spans = written(runs.groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
-    out = named.join(spans, "name", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    met = _one_each(long, spans.select("name"), bound).join(spans, "name").select("name", "text", "spans")
+    kept = met.mapInArrow(_kept, "name binary, n_removed long, n_spans long, kept string")
+    rows = named.select("doc_id", "name", F.octet_length("text").cast("long").alias("n_bytes"), "whole").join(kept, "name", "left")
+    removed = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    return rows.select("doc_id", "n_bytes", *removed, F.coalesce("kept", "whole").alias("kept_sha256"))

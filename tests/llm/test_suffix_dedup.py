@@ -44,11 +44,11 @@ def corpus(seed):
     return list(enumerate(docs)) + [(7, base), (None, passages[3])]
 
 
-@pytest.mark.parametrize(("most", "share"), [(20_000, 2_000), (3, 50)])
-def test_equals_brute_force(spark, most, share):
+@pytest.mark.parametrize(("most", "share", "bound"), [(20_000, 2_000, 200_000), (3, 50, 0)])
+def test_equals_brute_force(spark, most, share, bound):
     for seed in (1, 2)[: 2 if most > 3 else 1]:
         docs = corpus(seed)
-        assert run(spark, docs, length=40, gram=12, most=most, share=share) == brute(docs, 40)
+        assert run(spark, docs, length=40, gram=12, most=most, share=share, bound=bound) == brute(docs, 40)
 
 
 def test_production_length_and_no_rows(spark):
@@ -61,6 +61,19 @@ def test_production_length_and_no_rows(spark):
     assert [r[:4] for r in run(spark, [(1, None)])] == [(1, 0, 0, 0)]
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_copies_are_judged_once_and_other_texts_stay(spark, bound):
+    """A third of the rows are one text, and most of the others have nothing to remove; no shuffle to the results carries a text."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copied, passage = some(900), some(90)
+    docs = [(i, copied if i % 3 == 0 else some(30) + passage + some(30) if i % 30 == 1 else some(150)) for i in range(300)]
+    assert run(spark, docs, length=40, gram=12, bound=bound) == brute(docs, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = D.remove_repeats(df, length=40, gram=12, bound=bound)._jdf.queryExecution().optimizedPlan().children().head().children().head()
+    assert {left.output().apply(i).name() for i in range(left.output().size())} == {"doc_id", "name", "n_bytes", "whole"}
+
+
 def test_suffix_order_is_lexicographic():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 400).astype(np.uint8)
