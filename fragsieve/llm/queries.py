@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .host_reputation import SUFFIXES
 from .shipping import ship
 
 
@@ -140,6 +141,9 @@ _OP8_FIT = " UNION ALL ".join(
 )
 
 
+_OP8_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
+
+
 def _op8_strength(key: str) -> str:
     between = "(spread - t * (b / t) * (b / t) - (k - 1) * (b / t) * (1 - b / t)) / (t - squares / t)"
     return f"""(SELECT CASE WHEN t > 0 AND k > 1 AND t > squares / t AND {between} > 0 THEN least(1000.0, greatest(1.0, (b / t) * (1 - b / t) / ({between}) - 1)) ELSE 1000.0 END FROM
@@ -152,7 +156,8 @@ u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCD
 fit AS ({_OP8_FIT}),
 best AS (SELECT page_id, arg_max(rule, size) rule, arg_max(verdict, size) verdict FROM fit GROUP BY 1),
 hosts AS (SELECT host, count(verdict) n, count(*) FILTER (verdict = 'block') bad FROM u LEFT JOIN best USING (page_id) GROUP BY 1),
-leveled AS (SELECT *, regexp_extract(host, '[^.]*$') suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM hosts),
+leveled AS (SELECT *, CASE WHEN two IN ({_OP8_SUFFIXES}) THEN two ELSE regexp_extract(host, '[^.]*$') END suffix, CASE WHEN two IN ({_OP8_SUFFIXES}) THEN regexp_extract(host, '([^.]*[.]){{0,2}}[^.]*$') ELSE two END AS domain
+  FROM (SELECT *, regexp_extract(host, '([^.]*[.])?[^.]*$') two FROM hosts)),
 p AS (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) p0, {_op8_strength("suffix")} m1, {_op8_strength("domain")} m2, {_op8_strength("host")} m3 FROM leveled),
 s AS (SELECT suffix, (sum(bad) + any_value(m1) * any_value(p0)) / (sum(n) + any_value(m1)) ps FROM leveled, p GROUP BY 1),
 d AS (SELECT domain, (sum(bad) + any_value(m2) * any_value(ps)) / (sum(n) + any_value(m2)) pd FROM leveled JOIN s USING (suffix), p GROUP BY 1),

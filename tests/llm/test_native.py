@@ -125,3 +125,34 @@ def test_bad_hosts_are_blocked_and_shrunk(spark):
     for bound in (0, 1000):
         got = {r.page_id: r.verdict for r in host_reputation.judge(df, RULES, bound=bound).where(F.col("rule").isNull()).collect()}
         assert [got[i] for i in range(600, 604)] == ["block", "block", "allow", "allow"]
+
+
+def test_labels_apart_from_rules_and_listed_suffixes(spark):
+    """Hosts without labels have their domain's reputation, and domains under a listed suffix don't share theirs."""
+    bad = [(f"http://h{i % 7}.evil.co.uk/{i}", 1) for i in range(200)] + [(f"http://w{i % 5}.bad.city.kawasaki.jp/{i}", 1) for i in range(200)]
+    good = [(f"http://h{i % 7}.fine{i % 20}.co.uk/{i}", 0) for i in range(400)] + [(f"http://g{i}.city.kawasaki.jp/", 0) for i in range(200)]
+    outcomes = spark.createDataFrame([*bad, *good, ("http://x.evil.co.uk", None), ("http://x.evil.co.uk", 7), (None, 1)], "url string, bad int")
+    asked = ["http://new.evil.co.uk/", "http://h1.evil.co.uk/fr/", "http://new.fine3.co.uk/", "http://unseen.co.uk/", "http://new.bad.city.kawasaki.jp", "http://none.city.kawasaki.jp", "http://evil.org/", None]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    suffixes = ["co.uk", "city.kawasaki.jp"]
+    for bound in (0, 1000):
+        got = {r.page_id: r.verdict for r in host_reputation.judge(pages, RULES, bound=bound, outcomes=outcomes, suffixes=suffixes).collect()}
+        assert [got[i] for i in range(8)] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
+    # Without the list, a domain is two labels, and the good ones outweigh the bad.
+    assert {r.page_id: r.verdict for r in host_reputation.judge(pages, RULES, outcomes=outcomes, suffixes=[]).collect()}[0] == "allow"
+    assert host_reputation.judge(pages, RULES, outcomes=outcomes.where("false")).where("verdict = 'block'").count() == 0
+
+
+def test_verdicts_equal_sql_where_reputation_decides(spark, tmp_path):
+    import duckdb
+
+    from fragsieve.llm import queries
+
+    urls = [f"http://h{i % 9}.{d}.com/{'de' if d == 'evil' or i % 4 == 0 else 'fr'}/{i}" for d in ("evil", "mixed", "fine") for i in range(60)] + [f"http://h{i}.{d}/x" for d in ("evil.com", "mixed.com", "com", "co.uk", "a.co.uk", "b.a.co.uk", "io") for i in range(12)]
+    spark.createDataFrame(list(enumerate([*urls, "http://co.uk/", None, "", "none"])), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = queries.op8_host_reputation(spark, f"file://{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op8_host_reputation']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(r.rule is None and r.verdict == "block" for r in got) == 12
