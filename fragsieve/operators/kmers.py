@@ -36,13 +36,15 @@ def kmers_among(blocked: DataFrame, k: int, wanted: list[str]) -> DataFrame:
 
 
 def offsets(k: int, how: str) -> Column:
-    """Seed offsets of ``seq``: ``anchor`` (the first), ``mismatch`` (blocks if k divides the length, else all), ``coverage`` (blocks and the last)."""
+    """Seed offsets of ``seq``: ``anchor`` (the first), ``mismatch`` (blocks if k divides the length, else all), ``coverage`` (blocks and the last), ``ends`` (the first and the last)."""
     size = F.length("seq")
     steps, every = F.sequence(F.lit(0), size - k, F.lit(k)), F.sequence(F.lit(0), size - k)
     if how == "anchor":
         return F.array(F.lit(0))
     if how == "mismatch":
         return F.when(size % k == 0, steps).otherwise(every)
+    if how == "ends":
+        return F.array_distinct(F.array(F.lit(0), size - k))
     return F.array_distinct(F.concat(steps, F.array(size - k)))
 
 

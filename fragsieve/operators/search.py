@@ -179,26 +179,41 @@ def hamming_search(corpus: DataFrame, queries: DataFrame, max_mismatches: int) -
     return found.withColumn("mutated", mutated_positions("seq", "matched")).select(*HIT)
 
 
+#: Windows that a seed stands for, as ``t``: the query's own place, one letter less and one more behind the seed, one less and one more before it.
+#: Of a query of two seeds or more the first seed needs the former three and the last one the latter two.
+TRIES = """explode(filter(array(
+    named_struct('st', pos - off, 'size', length(seq), 'behind', true), named_struct('st', pos - off, 'size', length(seq) - 1, 'behind', true), named_struct('st', pos - off, 'size', length(seq) + 1, 'behind', true),
+    named_struct('st', pos - off + 1, 'size', length(seq) - 1, 'behind', false), named_struct('st', pos - off - 1, 'size', length(seq) + 1, 'behind', false)),
+    t -> length(seq) < 2 * {k} OR t.behind = (off = 0)))"""
+#: Whether the window ``w`` is the query, or lacks one of its inner letters, or has one more inside. The compiled edit distance leaves few windows whose places are tried.
+FITS = """CASE
+    WHEN size = length(seq) THEN w = seq
+    WHEN levenshtein(w, seq, 1) < 0 THEN false
+    WHEN size < length(seq) THEN length(seq) > 2 AND exists(sequence(1, greatest(length(seq) - 2, 1)), d -> left(w, d) = left(seq, d) AND substr(w, d + 1) = substr(seq, d + 2))
+    ELSE length(seq) > 1 AND exists(sequence(1, greatest(length(seq) - 1, 1)), i -> left(w, i) = left(seq, i) AND substr(w, i + 2) = substr(seq, i + 1)) END"""
+
+
 def indel_search(corpus: DataFrame | None, queries: DataFrame, index: KmerIndex | None = None) -> DataFrame:
-    """Hits that equal the query, or lack one of its inner characters, or have one more inside."""
+    """Hits that equal the query, or lack one of its inner characters, or have one more inside.
+
+    One edit leaves the first or the last k letters of a query of 2 k or more as they
+    are, so these two seeds find every hit. Shorter queries (of 2 or 3 letters) are
+    found where a seed of 2 letters stands beside the edit.
+    """
     shortest = queries.agg(F.min(F.length("seq"))).first()[0] or 0
     k = max(2, shortest // 2)
-    tries = F.expr("""explode(array(
-        named_struct('st', pos - off, 'size', length(seq)), named_struct('st', pos - off, 'size', length(seq) - 1), named_struct('st', pos - off + 1, 'size', length(seq) - 1),
-        named_struct('st', pos - off, 'size', length(seq) + 1), named_struct('st', pos - off - 1, 'size', length(seq) + 1)))""").alias("t")
-    fits = """CASE
-        WHEN size = length(seq) THEN w = seq
-        WHEN size < length(seq) THEN length(seq) > 2 AND exists(sequence(1, greatest(length(seq) - 2, 1)), d -> left(w, d) = left(seq, d) AND substr(w, d + 1) = substr(seq, d + 2))
-        ELSE length(seq) > 1 AND exists(sequence(1, greatest(length(seq) - 1, 1)), i -> left(w, i) = left(seq, i) AND substr(w, i + 2) = substr(seq, i + 1)) END"""
+    tries = F.expr(TRIES.format(k=k)).alias("t")
     if index is not None:
-        met = _postings(seeds(queries, k, "coverage"), k, index)
+        met = _postings(seeds(queries, k, "ends"), k, index)
         placed = met.select("qrow", "seq", "protein_num", tries).select("qrow", "seq", "protein_num", "t.st", "t.size").distinct()
         windows = _windows(placed, index).withColumnRenamed("window", "w")
     else:
-        met = _seed_join(corpus, queries, k, "coverage", _longest(queries) + 2)
-        placed = met.select("qrow", "seq", "protein_num", "plen", "c0", "chunk", tries).select("*", "t.st", "t.size").where("st >= 0 AND size > 0 AND st + size <= plen")
-        windows = placed.withColumn("w", F.expr("substr(chunk, st - c0 + 1, size)"))
-    once = windows.where(F.expr(fits)).select("qrow", "protein_num", "st", F.col("w").alias("matched"), F.abs(F.col("size") - F.length("seq")).alias("edits")).distinct()
+        met = _seed_join(corpus, queries, k, "ends", _longest(queries) + 2)
+        # Only the letters around a seed go on, not its block.
+        around = met.select("qrow", "seq", "protein_num", "plen", "pos", "off", F.greatest(F.expr("pos - off - 1"), "c0").alias("a0"), F.expr("substr(chunk, greatest(pos - off - 1 - c0, 0) + 1, length(seq) + 2)").alias("around"))
+        placed = around.select("*", tries).select("qrow", "seq", "protein_num", "plen", "a0", "around", "t.st", "t.size").where("st >= 0 AND size > 0 AND st + size <= plen")
+        windows = placed.withColumn("w", F.expr("substr(around, st - a0 + 1, size)"))
+    once = windows.where(F.expr(FITS)).select("qrow", "protein_num", "st", F.col("w").alias("matched"), F.abs(F.col("size") - F.length("seq")).alias("edits")).distinct()
     return once.withColumn("mutated", F.lit("[]")).select(*HIT)
 
 

@@ -46,11 +46,13 @@ def test_search_equals_the_definition(spark, k, most):
     assert rows(search.search(corpus(spark, seqs), queries(spark, qs), k, most)) == brute(seqs, qs, k, most)
 
 
-def test_indels_equal_the_definition(spark):
+@pytest.mark.parametrize("letters,least,most", [("ACD", 4, 9), ("AB", 4, 9), ("AB", 9, 24)])
+def test_indels_equal_the_definition(spark, letters, least, most):
     rng = random.Random(4)
-    some = lambda n: "".join(rng.choice("ACD") for _ in range(n))
-    seqs = [some(n) for n in (30, 250, 300, 5, 4)]
-    qs = [some(rng.randint(4, 9)) for _ in range(25)]
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    seqs = [some(n) for n in (30, 250, 300, 5, 4, 520)]
+    # Some queries are cut from the sequences, so that long ones have hits at both ends and across blocks.
+    qs = [some(rng.randint(least, most)) for _ in range(25)] + [s[i : i + most] for s in seqs for i in (0, 245, 250, len(s) - most) if len(s[i : i + most]) == most]
     want = set()
     for r, q in enumerate(qs):
         n = len(q)
