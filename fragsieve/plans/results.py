@@ -17,7 +17,7 @@ from ..operators import search as S
 from ..sources.readers import fasta
 from ..sources.readers import queries as read_queries
 from ..sources.shared import scratch_path
-from ..sources.sinks import write_file, write_parts
+from ..sources.sinks import read_json_file, write_file, write_parts
 from .matcher import best_frame, result_frame
 from .queries import _FIELDS, LOW, UP, _headers, _letters, _read
 
@@ -91,7 +91,7 @@ def _one_file(fmt: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         result = metadata_join(spark, sf)
         path, reader = write_file(result, fmt, scratch_path(spark)), spark.read.schema(result.schema)
-        return reader.json(path, multiLine=True) if fmt == "json" else reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"')
+        return read_json_file(spark, path, result.schema) if fmt == "json" else reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"')
 
     return query
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import tempfile
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import copied
+from .shared import scratch_path
+from .storage import copied, joined, removed
 
 FORMATS = ["dataframe", "csv", "tsv", "xlsx", "json"]
 
@@ -56,14 +60,53 @@ def _xlsx(df: DataFrame, path: str) -> None:
             sheet.write(b"</sheetData></worksheet>")
 
 
+def _field(name: str, kind: T.DataType, sep: str):
+    """A column as a field of a line: null is empty, quotes only where they are needed."""
+    value = F.col(f"`{name}`").cast("string")
+    if isinstance(kind, T.StringType):
+        value = F.when(value.rlike(f'["\r\n{sep}]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+    return F.coalesce(value, F.lit(""))
+
+
+def _joined_file(df: DataFrame, fmt: str, path: str) -> None:
+    """Every task writes its own lines in the shared folder; their bytes are joined to one file."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession)
+    sep = "\t" if fmt == "tsv" else ","
+    if fmt == "json":
+        # One record a line, each after the first with a comma before it: an array that can be read by lines.
+        line = F.concat(F.lit(","), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}))
+        head, tail, skip = "[", "]", 1
+    else:
+        line = F.concat_ws(sep, *(_field(f.name, f.dataType, sep) for f in df.schema))
+        text = io.StringIO(newline="")
+        csv.writer(text, delimiter=sep, lineterminator="\n").writerow(df.columns)
+        head, tail, skip = text.getvalue(), "", 0
+    try:
+        df.select(line.alias("value")).write.text(folder)
+        joined(spark, folder, path, head.encode(), tail.encode(), skip)
+    finally:
+        removed(spark, folder)
+
+
+def read_json_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of a JSON file of ``write_file``, read by lines, so that a large file is split."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^[\[,]\{"))
+    return lines.select(F.from_json(F.expr("substr(value, 2)"), schema).alias("x")).select("x.*")
+
+
 def write_file(df: DataFrame, fmt: str, name: str) -> str:
-    """One file, streamed partition by partition; the suffix is added unless it is there.
+    """One file; the suffix is added unless it is there.
 
-    A name with a store (``scheme://...``) is written by the driver beside it first and then copied there.
+    Texts, whole numbers and booleans are written by all tasks and joined by bytes.
+    Other columns, and XLSX, are streamed partition by partition; a name with a
+    store (``scheme://...``) is then written by the driver beside it first and copied there.
     """
     path = str(name)
     if not path.lower().endswith(f".{fmt}"):
         path += f".{fmt}"
+    if fmt != "xlsx" and all(isinstance(f.dataType, T.StringType | T.IntegralType | T.BooleanType) for f in df.schema) and len(df.columns) > 1:
+        _joined_file(df, fmt, path)
+        return path
     if "://" in path:
         with tempfile.TemporaryDirectory() as folder:
             copied(df.sparkSession, write_file(df, fmt, f"{folder}/part"), path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -36,6 +37,33 @@ def copied(spark: SparkSession, local: str, path: str) -> None:
     system.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
 
 
+def joined(spark: SparkSession, folder: str, path: str, head: bytes = b"", tail: bytes = b"", skip: int = 0) -> None:
+    """The part files of a folder, in the order of their names, as one file with ``head`` and ``tail``, less the first ``skip`` bytes of the parts.
+
+    The driver's JVM copies bytes from store to store through a small buffer; no row is read. A path without a store is on the driver's disk.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, store = _place(spark, folder)
+    if "://" in path:
+        target, system = _place(spark, path)
+    else:
+        target, system = jvm.org.apache.hadoop.fs.Path(os.path.abspath(path)), jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).getRaw()
+    parts = sorted((f.getPath().getName(), f.getPath()) for f in store.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen())
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(head))
+        for i, (_, part) in enumerate(parts):
+            rows = store.open(part)
+            try:
+                rows.seek(0 if i else skip)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, 1 << 20, False)
+            finally:
+                rows.close()
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+
+
 def published(spark: SparkSession, path: str, build: Callable[[str], None]) -> str:
     """``path``, made by ``build(folder)`` in a folder beside it that is then renamed, unless it is there already.
 
