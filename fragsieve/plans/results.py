@@ -16,14 +16,15 @@ from ..operators import best_match as best
 from ..operators import search as S
 from ..sources.readers import fasta
 from ..sources.readers import queries as read_queries
-from ..sources.shared import scratch_path
+from ..sources.shared import scratch_path, spread
 from ..sources.sinks import read_json_file, write_file, write_parts
 from .matcher import best_frame, result_frame
 from .queries import _FIELDS, LOW, UP, _headers, _letters, _read
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "part").select(F.col("p_partkey").alias("protein_num"), _letters("p_name").alias("sequence"))
+    # A million parts are a file of a few MB, which would be one task.
+    return spread(_read(spark, sf, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("protein_num"), _letters("p_name").alias("sequence"))
 
 
 #: Words of part names, in those of 6 or 9 letters the third one overwritten.

@@ -52,3 +52,10 @@ def test_totals_send_a_row_for_each_kmer(spark, k, texts):
         assert {r.kmer: (r.n, r.n_sequences) for r in found.collect()} == {x: (n[x], len(held[x])) for x in n}
         if ids is rows:
             assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_are_read_by_all_cores(spark):
+    """The table of parts is one small file: its search must not be one task."""
+    from fragsieve.plans import results
+
+    assert results._corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
