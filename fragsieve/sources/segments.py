@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.letters import letters, letters_in
 from .shipping import ship
 from .storage import published, qualified
 
@@ -36,23 +37,27 @@ def _segment(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["chunks", "nums", "begins", "owned", "places"])
 
 
-def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, letters = [], 0
-    for batch in batches:
-        for num, text in zip(*(batch.column(c).to_pylist() for c in ("protein_num", "sequence")), strict=True):
-            for begin in range(0, len(text or ""), BLOCK):
-                chunk = text[begin : begin + BLOCK + HALO]
-                if letters + len(chunk) > SEGMENT:
-                    yield _segment(rows)
-                    rows, letters = [], 0
-                rows.append((num, begin, chunk))
-                letters += len(chunk)
-    if rows:
-        yield _segment(rows)
+def _made(only_letters: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            texts = batch.column("sequence")
+            for num, text in zip(batch.column("protein_num").to_pylist(), (letters_in(texts) if only_letters else texts).to_pylist(), strict=True):
+                for begin in range(0, len(text or ""), BLOCK):
+                    chunk = text[begin : begin + BLOCK + HALO]
+                    if size + len(chunk) > SEGMENT:
+                        yield _segment(rows)
+                        rows, size = [], 0
+                    rows.append((num, begin, chunk))
+                    size += len(chunk)
+        if rows:
+            yield _segment(rows)
+
+    return run
 
 
 class SegmentIndex:
-    """Segments of the sequences of ``make()`` (``protein_num, sequence``), made once under ``folder``.
+    """Segments of the sequences of ``make()`` (``protein_num, sequence``; with ``only_letters`` of their upper-cased letters A to Z), made once under ``folder``.
 
     Every query is looked up in every segment, so this is for many queries;
     ``KmerIndex`` reads only the pages of a few.
@@ -60,15 +65,16 @@ class SegmentIndex:
 
     halo = HALO
 
-    def __init__(self, spark: SparkSession, folder: str, make):
-        self.spark, self.folder, self._make = spark, qualified(spark, folder), make
+    def __init__(self, spark: SparkSession, folder: str, make, only_letters: bool = False):
+        self.spark, self.folder, self._make, self.only_letters = spark, qualified(spark, folder), make, only_letters
 
     def proteins(self) -> DataFrame:
-        return self._make()
+        made = self._make()
+        return made.withColumn("sequence", letters(F.col("sequence"))) if self.only_letters else made
 
     def segments(self) -> DataFrame:
         def build(own: str) -> None:
             ship(self.spark)
-            self._make().select(F.col("protein_num").cast("long").alias("protein_num"), "sequence").mapInArrow(_made, SCHEMA).write.option("compression", "zstd").parquet(own)
+            self._make().select(F.col("protein_num").cast("long").alias("protein_num"), "sequence").mapInArrow(_made(self.only_letters), SCHEMA).write.option("compression", "zstd").parquet(own)
 
         return self.spark.read.parquet(published(self.spark, f"{self.folder}/segments", build))

@@ -70,3 +70,35 @@ def test_letters_of_any_text(spark):
     texts = ["aBc1 xßıſZ", "", None, "Äa\n-b"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(_letters("t")).collect()]
     assert got == ["ABCXZ", "", "", "AB"]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_letters_picked_in_tasks(large):
+    import pyarrow as pa
+
+    from fragsieve.functions.letters import letters_in
+
+    texts = ["aBc1 xßıſZ", "", None, "@[`{é", "Äa\n-b", "", "Qé\U0001f600z"]
+    column = pa.array(["cut off", *texts], pa.large_string() if large else pa.string())
+    assert letters_in(column[1:]).to_pylist() == ["ABCXZ", "", "", "", "AB", "", "QZ"]
+    assert letters_in(column[:0]).to_pylist() == [] and letters_in(pa.array([None, ""], column.type)).to_pylist() == ["", ""]
+
+
+def test_search_of_texts_picks_their_letters_without_the_plan(spark, tmp_path):
+    texts = ["ab-c d! ab ß cd", "", "x.A.b.C.d.x"]
+    index = SegmentIndex(spark, str(tmp_path / "i"), lambda: corpus(spark, texts), only_letters=True)
+    want = brute(["ABCDABCD", "", "XABCDX"], ["ABCD", "BCDA"], 2, 1)
+    plain = search.search(corpus(spark, texts), queries(spark, ["ABCD", "BCDA"]), 2, 1, letters=True)
+    assert rows(plain) == rows(search.search(None, queries(spark, ["ABCD", "BCDA"]), 2, 1, index)) == want
+    # A pattern for each text is what the tasks spent half of their time on.
+    assert "regexp_replace" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_where_the_joins_search(spark, tmp_path):
+    """A query longer than a segment's overlap, and one of too many letters for one pass, take the joins."""
+    text = some(random.Random(3), 1500, "abcd -é")
+    own = "".join(c for c in text if c in "abcd").upper()
+    many = "".join(chr(0x4E00 + i) for i in range(200))
+    index = SegmentIndex(spark, str(tmp_path / "i"), lambda: corpus(spark, [text * 2]), only_letters=True)
+    assert [(r["st"], r["matched"]) for r in search.search(None, queries(spark, [(own * 2)[:1100]]), 5, 0, index).collect()] == [(0, (own * 2)[:1100])]
+    assert [(r["st"], r["matched"]) for r in search.search(corpus(spark, [text]), queries(spark, [many, own[9:30]]), 5, 0, letters=True).collect()] == [(9, own[9:30])]
