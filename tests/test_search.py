@@ -152,3 +152,15 @@ def test_seed_offsets(spark):
     offs = lambda k, how: sorted(r.off for r in K.seeds(q.where("qrow = 0"), k, how).collect())
     assert offs(5, "mismatch") == [0, 5] and offs(4, "mismatch") == list(range(7)) and offs(4, "coverage") == [0, 4, 6] and offs(4, "anchor") == [0]
     assert K.seeds(q, 5, "mismatch").where("qrow = 1").count() == 0
+
+
+def test_recall_runs_each_search_once(spark):
+    from pyspark.sql import functions as F
+
+    from fragsieve.plans.queries import _recall
+
+    hits = lambda n: spark.range(n).select(F.struct(F.lit(1).alias("item_id"), F.lit(0).alias("piece")).alias("qrow"), F.when(F.col("id") % 4 != 1, F.col("id") % 4).alias("protein_num"), F.lit(5).alias("st"))
+    # Four different places (one in a record without a number), each found twice; the exact search finds three, and two that the other doesn't.
+    made = _recall(hits(3).unionByName(hits(2).withColumn("st", F.lit(9))), hits(8))
+    assert made.first()["recall"] == 75.0
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 3
