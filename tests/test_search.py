@@ -200,3 +200,15 @@ def test_recall_runs_each_search_once(spark):
     made = _recall(hits(3).unionByName(hits(2).withColumn("st", F.lit(9))), hits(8))
     assert made.first()["recall"] == 75.0
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 3
+
+
+def test_scratch_folders_are_marked_for_removal_and_tables_dealt_in_bounded_parts(spark, monkeypatch):
+    from fragsieve.sources import shared
+
+    path = shared.scratch_path(spark)
+    target, system = shared._place(spark, path)
+    assert not system.exists(target) and system.cancelDeleteOnExit(target.getParent())
+    monkeypatch.setattr(shared, "PART", 10)
+    one = spark.range(95).coalesce(1)
+    assert shared.spread(one).rdd.getNumPartitions() == 10 and sorted(r[0] for r in shared.spread(one).collect()) == list(range(95))
+    assert shared.spread(one.limit(0)).count() == 0
