@@ -33,7 +33,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.unique((pair // max(words.n, 1))[entry] * BUCKETS + bucket)
         cut = np.searchsorted(both // BUCKETS, np.arange(part.num_rows + 1))
         found = (both % BUCKETS).astype("<i4")
-        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["toxic", "buckets"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["doc_id", "toxic", "buckets"])
 
 
 def _by_word(words: S.Words) -> tuple[np.ndarray, int, np.ndarray]:
@@ -47,6 +47,17 @@ class Model:
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights, intercept
 
+    def __reduce__(self):
+        """Only features that are used are sent."""
+        used = np.flatnonzero(self.weights).astype(np.int32)
+        return _model, (used, self.weights[used], self.intercept)
+
+
+def _model(features: np.ndarray, values: np.ndarray, intercept: float) -> Model:
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[features] = values
+    return Model(weights, intercept)
+
 
 def fit(rows: list[tuple[int, bytes]], rounds: int = 300, ridge: float = 5.0, least: int = 4, ratio: float = 0.7) -> Model:
     """Fit on ``(label, buckets)``."""
@@ -59,12 +70,14 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 300, ridge: float = 5.0, le
     for label, own in zip(y, x, strict=True):  # the buckets of a text are distinct
         (one if label else zero)[own] += 1
     # Presence in texts: shares of the texts of each class.
-    r = np.log((one + 1) / (y.sum() + 2)) - np.log((zero + 1) / ((1 - y).sum() + 2))
-    use = (one + zero >= least) & (np.abs(r) >= ratio)
-    x = [own[use[own]] for own in x]
-    row, flat = np.repeat(np.arange(len(x)), [len(own) for own in x]), np.concatenate(x)
-    names, col = np.unique(flat, return_inverse=True)
-    scale = r[names]
+    names = np.flatnonzero(one + zero >= least)
+    scale = np.log((one[names] + 1) / (y.sum() + 2)) - np.log((zero[names] + 1) / ((1 - y).sum() + 2))
+    use = np.abs(scale) >= ratio
+    names, scale = names[use], scale[use]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    x = [place[own][place[own] >= 0] for own in x]
+    row, col = np.repeat(np.arange(len(x)), [len(own) for own in x]), np.concatenate(x)
     value = scale[col]
     w, b = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -77,9 +90,7 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 300, ridge: float = 5.0, le
         rate = 0.02 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= rate * m / (np.sqrt(v) + 1e-12)
         b -= rate * mb / (np.sqrt(vb) + 1e-12)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[names] = w * scale
-    return Model(weights, float(b))
+    return _model(names, w * scale, float(b))
 
 
 def line(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -123,11 +134,20 @@ def calibrated(rows: list[tuple[int, bytes]], share: float | None = None, folds:
     return Model((model.weights * slope).astype(np.float32), model.intercept * slope + intercept)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], share: float | None) -> pa.RecordBatch:
+    """``feature, weight`` of the fit on all rows of ``toxic, buckets``; the intercept has feature -1."""
+    rows = [(y, bag) for batch in batches for y, bag in zip(batch.column("toxic").to_pylist(), batch.column("buckets").to_pylist(), strict=True)]
+    model = calibrated(rows, share)
+    used = np.flatnonzero(model.weights)
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[model.intercept, model.weights[used].astype(float)])], names=["feature", "weight"])
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 5) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, those with the least hash of their id.
 
     Labels count only where the remainder of the id's crc32 by ``parts`` is not 0.
-    A document with several labels is toxic if one of them says so.
+    A document with several labels is toxic if one of them says so. One task fits,
+    on rows in order of their ids, so that only the weights pass through the driver.
     """
     known = written(
         labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % parts != 0))
@@ -140,9 +160,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int
         drawn = own if drawn is None else drawn.unionByName(own)
     # At most twice ``per_class`` ids: bounded, whatever the size of the tables.
     sample = docs.join(F.broadcast(drawn), "doc_id")
-    rows = [(r["toxic"], bytes(r["buckets"])) for r in sample.mapInArrow(_features, "toxic int, buckets binary").toLocalIterator()]
+    bags = sample.mapInArrow(_features, "doc_id long, toxic int, buckets binary").repartition(1).sortWithinPartitions("doc_id", "toxic", "buckets").select("toxic", "buckets")
     total = sum(counts.values())
-    return calibrated(rows, counts.get(1, 0) / total if total and 0 < counts.get(1, 0) < total else None)
+    share = counts.get(1, 0) / total if total and 0 < counts.get(1, 0) < total else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _fitted(batches, share)
+
+    found = bags.mapInArrow(run, "feature int, weight double").toArrow()
+    feature, weight = (found.column(c).to_numpy() for c in ("feature", "weight"))
+    # A plan without rows may have no task.
+    return _model(feature[feature >= 0], weight[feature >= 0], float(weight[feature < 0][0])) if len(feature) else fit([])
 
 
 def _score(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

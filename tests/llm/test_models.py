@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -41,6 +42,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in rows if not r.predicted)
 
 
+def test_toxicity_is_fitted_in_a_task_whatever_the_order_of_rows(spark, monkeypatch):
+    docs, labels = corpus(spark)
+
+    def in_driver(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "fit", in_driver)
+    monkeypatch.setattr(toxicity, "calibrated", in_driver)
+    one, other = (toxicity.train(rows.select("doc_id", "text"), labels) for rows in (docs, docs.repartition(7, "doc_id")))
+    assert np.count_nonzero(one.weights) and np.array_equal(one.weights, other.weights) and one.intercept == other.intercept
+    sent = pickle.dumps(one)
+    assert len(sent) < 10_000 + 20 * np.count_nonzero(one.weights)
+    again = pickle.loads(sent)
+    assert np.array_equal(again.weights, one.weights) and again.intercept == one.intercept
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = corpus(spark, 20)
     assert {r.predicted for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0}
